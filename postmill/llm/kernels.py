@@ -45,20 +45,27 @@ class Spans:
 
     BASE = 0xD6E8FEB86659FD93
     INVERSE = pow(BASE, -1, 1 << 64)
+    SYMBOLS = mix(np.arange(0x10000, dtype=np.uint64) + GOLDEN)
+    POWERS: dict[int, np.ndarray] = {}
 
     def __init__(self, codes: np.ndarray) -> None:
-        symbols = mix(codes.astype(np.uint64) + GOLDEN)
+        symbols = self.SYMBOLS[np.minimum(codes, 0xFFFF)]
+        high = np.flatnonzero(codes > 0xFFFE)
+        symbols[high] = mix(codes[high].astype(np.uint64) + GOLDEN)
+        symbols *= self.powers(self.BASE, len(codes))
         self.inverse = self.powers(self.INVERSE, len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(symbols * self.powers(self.BASE, len(codes)), out=self.sums[1:])
-
-    @staticmethod
-    def powers(base: int, n: int) -> np.ndarray:
-        out = np.full(n, np.uint64(base))
-        if n:
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-        return out
+        np.cumsum(symbols, out=self.sums[1:])
+
+    @classmethod
+    def powers(cls, base: int, n: int) -> np.ndarray:
+        """The first ``n`` powers, remembered up to the longest array so far."""
+        known = cls.POWERS.get(base)
+        if known is None or len(known) < n:
+            known = np.full(max(n, STEP_CHARS + 1), np.uint64(base))
+            known[0] = 1
+            cls.POWERS[base] = np.multiply.accumulate(known, out=known)
+        return known[:n]
 
     def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         poly = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
