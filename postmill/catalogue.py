@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from postmill.plans import numbers, pages, texts
+
+QUERIES = pages.QUERIES | texts.QUERIES | numbers.QUERIES
+ORACLE = pages.ORACLE | texts.ORACLE | numbers.ORACLE
