@@ -59,8 +59,8 @@ def published_at(text: Column) -> Column:
 def summary(text: Column) -> Column:
     """Up to three sentences of at least 12 characters, or the first 300 characters."""
     parts = F.filter(F.transform(F.split(text, "[。！？.!?]"), strip), lambda p: F.length(p) >= 12)
-    joined = F.array_join(F.slice(parts, 1, 3), "。")
-    return F.when(joined != "", F.substring(joined, 1, 300)).otherwise(F.substring(text, 1, 300))
+    joined = F.nullif(F.array_join(F.slice(parts, 1, 3), "。"), F.lit(""))
+    return F.substring(F.coalesce(joined, text), 1, 300)
 
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:

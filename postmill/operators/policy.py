@@ -72,22 +72,34 @@ def filter_reason(lexicon: Lexicon) -> Column:
     )
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions read as values.
+
+    Passing them through a generator keeps the optimiser from copying costly
+    expressions into every place that refers to them.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*[c for c in df.columns if c not in columns], F.explode(F.array(made)).alias("__made")).select(*kept, "__made.*")
+
+
 def page_features(pages: DataFrame, company: str, allowed: list[str], lexicon: Lexicon) -> DataFrame:
     """Text features of pages (url, html, ...) and the filter reason, all from built-ins.
 
     A null html is an empty page, a null url an empty address.
     """
     html = F.coalesce("html", F.lit(""))
-    out = pages.withColumn("url", F.coalesce("url", F.lit(""))).withColumn("plain_text", T.strip_html(html)).withColumn("title", T.title(html, F.lit(company)))
-    out = out.withColumn("summary", T.summary(F.col("plain_text")))
-    both = F.concat_ws(" ", "title", "plain_text")
-    out = out.withColumns({
-        "policy_categories": categories(both, allowed, lexicon),
-        "policy_signals": T.keyword_hits(both, lexicon.signals),
-        "noise_hits": T.keyword_hits(F.concat_ws(" ", "title", "summary"), lexicon.noise),
-        "hard_title": T.has_any(F.col("title"), lexicon.hard_titles),
-        "utility": utility_reason(F.col("url"), F.col("title"), F.col("plain_text")),
-    })
+    out = computed(pages, url=F.coalesce("url", F.lit("")), plain_text=T.strip_html(html), title=T.title(html, F.lit(company)))
+    out = computed(out, summary=T.summary(F.col("plain_text")), seen=F.concat_ws(" ", "title", "plain_text"))
+    seen = F.col("seen")
+    out = computed(
+        out,
+        policy_categories=categories(seen, allowed, lexicon),
+        policy_signals=T.keyword_hits(seen, lexicon.signals),
+        noise_hits=T.keyword_hits(F.concat_ws(" ", "title", "summary"), lexicon.noise),
+        hard_title=T.has_any(F.col("title"), lexicon.hard_titles),
+        utility=utility_reason(F.col("url"), F.col("title"), F.col("plain_text")),
+    ).drop("seen")
     return out.withColumn("filter_reason", filter_reason(lexicon))
 
 
