@@ -25,11 +25,13 @@ TABLES = 3
 ATTEMPTS = 6
 ROUNDS = 24
 LEAST_WIDTH = 4
+#: Where paragraphs end.
+BREAKS = r"[\n\r]+"
 
 
 def paragraph_digests(text: Column) -> Column:
     """Distinct digests of a text's non-blank lines, ascending; none for null."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\n\r]+"), lambda line: F.trim(line) != "")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda line: F.trim(line) != "")
     return F.array_sort(F.array_distinct(F.transform(lines, lambda line: F.xxhash64(F.trim(line)))))
 
 

@@ -143,8 +143,11 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def gram(words: list[str], marks: list[str]) -> np.ndarray:
     """Kernel values of words against landmarks."""
     r, c, v = features(marks)
-    dense = np.zeros((1 << BITS, len(marks)), np.float32)
-    np.add.at(dense, (c, r), v.astype(np.float32))
+    known = np.unique(c)
+    row_of = np.zeros(1 << BITS, np.int32)
+    row_of[known] = np.arange(1, len(known) + 1)
+    dense = np.zeros((len(known) + 1, len(marks)), np.float32)  # row 0: subsequences of no landmark
+    np.add.at(dense, (row_of[c], r), v.astype(np.float32))
     out = np.zeros((len(words), len(marks)))
     for begin in range(0, len(words), 500):
         part = words[begin : begin + 500]
@@ -153,7 +156,7 @@ def gram(words: list[str], marks: list[str]) -> np.ndarray:
         r, c, v = r[order], c[order], v[order]
         if len(r):
             first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            out[begin + r[first]] = np.add.reduceat(dense[c] * v[:, None].astype(np.float32), first, axis=0)
+            out[begin + r[first]] = np.add.reduceat(dense[row_of[c]] * v[:, None].astype(np.float32), first, axis=0)
     return out
 
 
@@ -276,7 +279,7 @@ def score_toxicity(
     per_label: int = 1500,
     text_chars: int = 6000,
     landmarks: int = 256,
-    clean_words: int = 12000,
+    clean_words: int = 8000,
     keep: bool = False,
 ) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text, ...) from 0 to 1.
