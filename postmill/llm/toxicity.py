@@ -213,7 +213,12 @@ def fit(texts: list[str], labels: list[int], landmarks: int, clean_words: int) -
     toxic_lists = [words for words in toxic_lists if words]
     if not toxic_lists:
         return None
-    picks = sorted({max(words, key=lambda w: (odds[w], w)) for words in toxic_lists})
+    picks = {max(words, key=lambda w: (odds[w], w)) for words in toxic_lists}
+    # Words that only toxic texts hold, in more of them than chance would let any word be.
+    usual = np.bincount([bad.get(w, 0) + good.get(w, 0) for w in bad.keys() | good.keys()])
+    as_often = usual[::-1].cumsum()[::-1]
+    sure = {w for w, n in bad.items() if w not in good and as_often[n] * y.mean() ** n < 0.5}
+    picks = sorted(picks | sure)
     rank = lambda w: int(kernels.mix(np.array([hash_text(w)], np.uint64))[0])
     clean = sorted(good, key=lambda w: (rank(w), w))[:clean_words]
     hardest = sorted(good)
@@ -240,7 +245,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int, clean_words: int) -
         pool = sorted({x for words in toxic_lists for x in words})
         margin = dict(zip(pool, text_margins(pool, *model), strict=True))
         chosen = {max(words, key=lambda x: (margin[x] + min(1.0, 20 * odds[x]), x)) for words in toxic_lists}
-        chosen |= {x for x in pool if margin[x] > 0.5 and bad[x] > 1}
+        chosen |= sure | {x for x in pool if margin[x] > 0.5 and bad[x] > 1}
         picks = sorted(chosen)
     slope, shift = logistic(text_margins(texts, *model), y)
     return ToxicityModel(model[0], model[1], slope, shift)
