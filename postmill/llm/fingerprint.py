@@ -1,16 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs (its lines, less outer white space; each counts once) are
-hashed to 64-bit digests. A sketch has three tables of cells; a digest goes
-to one cell of each, which keeps a count, the xor of digests and the xor of
-their check hashes. Sketches of two versions subtract cell by cell, which
-cancels all common paragraphs; peeling then takes digests out of cells that
-hold a single one until no cell is left, and so recovers the paragraphs that
-only one version has. If cells remain, both sketches are made again at twice
-the size. After ``ATTEMPTS`` sizes the digests are compared as sets, which
-gives the same answer.
-
-Everything is DataFrame code on one row's arrays.
+A text's paragraphs (its lines, cut further after sentences; each counts once)
+are hashed to 64-bit digests. A sketch has three tables of cells; a digest
+goes to one cell of each, which keeps a count, the xor of digests and the xor
+of their check hashes; empty cells are not stored. Sketches of two versions
+subtract cell by cell, which cancels all common paragraphs; peeling then takes
+digests out of cells that hold a single one until no cell is left, and so
+recovers the paragraphs that only one version has. If cells remain, both
+sketches are made again at twice the size. After ``ATTEMPTS`` sizes the
+digests are compared as sets, which gives the same answer.
+
+Everything is DataFrame code on one row's arrays: cells are sorted and folded,
+so the work grows with the number of paragraphs times its logarithm.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ ATTEMPTS = 6
 ROUNDS = 24
 LEAST_WIDTH = 4
 #: Where paragraphs end.
-BREAKS = r"[\n\r]+"
+BREAKS = r"[\n\r]+|(?<=[.!?])[ \t]+"
 
 
 def paragraph_digests(text: Column) -> Column:
-    """Distinct digests of a text's non-blank lines, ascending; none for null."""
+    """Distinct digests of a text's non-blank paragraphs, ascending; none for null."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda line: F.trim(line) != "")
     return F.array_sort(F.array_distinct(F.transform(lines, lambda line: F.xxhash64(F.trim(line)))))
 
@@ -48,43 +49,46 @@ def check_of(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(99))
 
 
-def placed(digests: Column, width: Column) -> Column:
-    """Digests with their check hashes and cells."""
-    return F.transform(
-        digests, lambda d: F.struct(d.alias("d"), check_of(d).alias("h"), *[cell_of(d, t, width).alias(f"c{t}") for t in range(TABLES)])
+def cells_of(digest: Column, n: Column, width: Column) -> Column:
+    """A digest's three cells (c, n, d, h)."""
+    return let(
+        check_of(digest),
+        lambda h: F.array(
+            *[F.struct(cell_of(digest, t, width).alias("c"), n.alias("n"), digest.alias("d"), h.alias("h")) for t in range(TABLES)]
+        ),
     )
 
 
-def in_cell(item: Column, at: Column) -> Column:
-    return (item["c0"] == at) | (item["c1"] == at) | (item["c2"] == at)
+def fold(cells: Column) -> Column:
+    """Cells with equal numbers as one, ascending; cells that come to nothing are left out."""
+    none = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("h"))
+    zero = F.struct(F.array().cast("array<struct<c:int,n:int,d:bigint,h:bigint>>").alias("done"), none.alias("at"))
 
+    def add(acc: Column, x: Column) -> Column:
+        at = acc["at"]
+        both = F.struct(at["c"].alias("c"), (at["n"] + x["n"]).alias("n"), at["d"].bitwiseXOR(x["d"]).alias("d"), at["h"].bitwiseXOR(x["h"]).alias("h"))
+        return F.when(at["c"] == x["c"], F.struct(acc["done"].alias("done"), both.alias("at"))).otherwise(
+            F.struct(F.concat(acc["done"], F.array(at)).alias("done"), x.alias("at"))
+        )
 
-def xor_all(items: Column, field: str) -> Column:
-    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x[field]))
+    return F.aggregate(
+        F.array_sort(cells), zero, add,
+        lambda acc: F.filter(F.concat(acc["done"], F.array(acc["at"])), lambda c: (c["n"] != 0) | (c["d"] != 0) | (c["h"] != 0)),
+    )
 
 
 def sketch(digests: Column, width: Column) -> Column:
-    """Cells (n, d, h) of a set of digests."""
-    return let(
-        placed(digests, width),
-        lambda items: F.transform(
-            F.sequence(F.lit(0), width * TABLES - 1),
-            lambda at: let(
-                F.filter(items, lambda x: in_cell(x, at)),
-                lambda mine: F.struct(F.size(mine).alias("n"), xor_all(mine, "d").alias("d"), xor_all(mine, "h").alias("h")),
-            ),
-        ),
-    )
+    """Filled cells of a set of digests."""
+    return fold(F.flatten(F.transform(digests, lambda d: cells_of(d, F.lit(1), width))))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["d"].bitwiseXOR(y["d"]).alias("d"), x["h"].bitwiseXOR(y["h"]).alias("h"))
-    )
+    less = F.transform(b, lambda c: F.struct(c["c"].alias("c"), (-c["n"]).alias("n"), c["d"].alias("d"), c["h"].alias("h")))
+    return fold(F.concat(a, less))
 
 
 def peel(cells: Column, width: Column) -> Column:
-    """(more, less, done): digests with positive and negative count, and whether no cell is left."""
+    """(more, less, done): numbers of digests with positive and negative count, and whether no cell is left."""
     state = F.struct(cells.alias("cells"), F.lit(0).alias("more"), F.lit(0).alias("less"), F.lit(True).alias("live"))
 
     def turn(acc: Column, _: Column) -> Column:
@@ -92,36 +96,18 @@ def peel(cells: Column, width: Column) -> Column:
         found = F.array_distinct(F.transform(pure, lambda c: F.struct(c["d"].alias("d"), c["n"].alias("n"))))
 
         def take(items: Column) -> Column:
-            spots = F.transform(
-                items,
-                lambda x: F.struct(x["d"].alias("d"), check_of(x["d"]).alias("h"), x["n"].alias("n"), *[cell_of(x["d"], t, width).alias(f"c{t}") for t in range(TABLES)]),
-            )
-            left = let(
-                spots,
-                lambda known: F.transform(
-                    acc["cells"],
-                    lambda c, at: let(
-                        F.filter(known, lambda x: in_cell(x, at)),
-                        lambda mine: F.when(F.size(mine) == 0, c).otherwise(
-                            F.struct(
-                                (c["n"] - F.aggregate(mine, F.lit(0), lambda s, x: s + x["n"])).alias("n"),
-                                c["d"].bitwiseXOR(xor_all(mine, "d")).alias("d"),
-                                c["h"].bitwiseXOR(xor_all(mine, "h")).alias("h"),
-                            )
-                        ),
-                    ),
-                ),
-            )
+            out = F.flatten(F.transform(items, lambda x: cells_of(x["d"], -x["n"], width)))
             more = F.size(F.filter(items, lambda x: x["n"] == 1))
             return F.struct(
-                left.alias("cells"), (acc["more"] + more).alias("more"), (acc["less"] + F.size(items) - more).alias("less"), (F.size(items) > 0).alias("live")
+                fold(F.concat(acc["cells"], out)).alias("cells"), (acc["more"] + more).alias("more"),
+                (acc["less"] + F.size(items) - more).alias("less"), (F.size(items) > 0).alias("live"),
             )
 
-        return F.when(acc["live"], let(found, take)).otherwise(acc)
+        return F.when(acc["live"] & (F.size(acc["cells"]) > 0), let(found, take)).otherwise(acc)
 
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)), state, turn,
-        lambda acc: F.struct(acc["more"].alias("more"), acc["less"].alias("less"), (~F.exists(acc["cells"], lambda c: (c["n"] != 0) | (c["d"] != 0) | (c["h"] != 0))).alias("done")),
+        lambda acc: F.struct(acc["more"].alias("more"), acc["less"].alias("less"), (F.size(acc["cells"]) == 0).alias("done")),
     )
 
 
@@ -152,8 +138,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(digests: Column) -> Column:
-    """A sketch as text: width, number of paragraphs and the cells in hexadecimal."""
-    show = lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["d"]), F.hex(c["h"]))
+    """A sketch as text: width, number of paragraphs and the filled cells in hexadecimal."""
+    show = lambda c: F.concat_ws(".", F.hex(c["c"]), F.hex(c["n"]), F.hex(c["d"]), F.hex(c["h"]))
     return let(
         table_width(F.size(digests)),
         lambda width: F.concat_ws(
