@@ -98,14 +98,17 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     likely = diagonals.where(F.col("n_windows") >= F.col("item_windows") * coverage)
     likely = likely.join(items.select("item_id", F.col("words").alias("item_text"), F.col("tokens").alias("item_tokens")), "item_id")
     near = docs.join(likely.select("doc_id").distinct(), "doc_id", "left_semi")
-    near = templated(near, "doc_id").withColumnRenamed("words", "doc_text")
+    near = templated(near, "doc_id").select("doc_id", F.col("words").alias("doc_text"), template(F.col("words")).alias("doc_tokens"))
     met = likely.join(near, "doc_id")
+    # A slot is checked where the document has a placeholder of the same type at its place; elsewhere the texts differ anyway.
+    in_both = lambda i: F.element_at("item_tokens", i).isin(NUMBER, NAME, UNIT) & (
+        F.coalesce(F.get("doc_tokens", i + F.col("shift") - 1), F.lit("")) == F.element_at("item_tokens", i)
+    )
     pairs = F.transform(
-        F.filter(F.sequence(F.lit(1), F.size("item_tokens")), lambda i: F.element_at("item_tokens", i).isin(NUMBER, NAME, UNIT)),
+        F.filter(F.sequence(F.lit(1), F.size("item_tokens")), in_both),
         lambda i: F.struct(F.lower(plain(F.element_at("item_text", i))).alias("was"), F.lower(plain(F.get("doc_text", i + F.col("shift") - 1))).alias("now")),
     )
-    slots = F.array_distinct(F.filter(pairs, lambda p: p["now"].isNotNull()))
-    met = met.withColumn("slots", slots)
+    met = met.withColumn("slots", F.array_distinct(pairs))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["was"])))
     share = (F.col("n_windows") / F.col("item_windows")).alias("share")
     sound = met.where(consistent).select("doc_id", "item_id", share, "n_windows", F.size("slots").alias("n_slots"))
