@@ -10,7 +10,8 @@ landmarks' space.
 Labels belong to texts, so training is multiple-instance: every sentence of
 a clean text is clean, and a toxic text holds at least one toxic sentence,
 known by its worst word. Training alternates between choosing that word in
-each toxic text and fitting the machine. A text's score is the logistic of
+each toxic text and fitting the machine. Chosen words are also trained on with
+a letter inserted at each inner place. A text's score is the logistic of
 its worst sentence's margin. Because the machine is linear in the kernel's
 subsequences, landmarks and weights fold into one table of subsequence
 weights, and whole texts are scored by array operations.
@@ -39,6 +40,8 @@ BITS = 18
 PATTERNS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 NO_WORD = -3.0
+#: What rejecting all clean texts costs, against passing all toxic ones.
+CLEAN_WEIGHT = 3
 THRESHOLD = 0.7
 
 
@@ -181,7 +184,7 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic that maps margins to probabilities."""
     pos, neg = max(1, labels.sum()), max(1, len(labels) - labels.sum())
     goal = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    cost = np.where(labels == 1, 0.5 / pos, 0.5 / neg) * len(labels)
+    cost = np.where(labels == 1, 1 / pos, CLEAN_WEIGHT / neg) * len(labels) / (1 + CLEAN_WEIGHT)
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-(a * margins + b)))
@@ -219,7 +222,6 @@ def fit(texts: list[str], labels: list[int], landmarks: int, clean_words: int) -
     as_often = usual[::-1].cumsum()[::-1]
     sure = {w for w, n in bad.items() if w not in good and as_often[n] * y.mean() ** n < 0.5}
     picks = sorted(picks | sure)
-    rank = lambda w: int(kernels.mix(np.array([hash_text(w)], np.uint64))[0])
     clean = sorted(good, key=lambda w: (rank(w), w))[:clean_words]
     hardest = sorted(good)
     model = None
@@ -230,11 +232,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int, clean_words: int) -
         among = gram(marks, marks)
         value, vector = np.linalg.eigh(among)
         root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
-        words = support + clean
-        target = np.array([1.0] * len(support) + [-1.0] * len(clean))
-        cost = np.concatenate([np.array([np.sqrt(bad.get(w, 1)) for w in support]), np.ones(len(clean))])
-        cost[: len(support)] *= 0.5 * len(words) / cost[: len(support)].sum()
-        cost[len(support) :] *= 0.5 * len(words) / cost[len(support) :].sum()
+        variants = [(x, w) for w in support for x in stretched(w) if x not in good]
+        own = np.sqrt([bad.get(w, 1) for w in support])
+        own = np.concatenate([own, [np.sqrt(bad.get(w, 1)) / (len(w) - 1) for _, w in variants]])
+        words = [*support, *[x for x, _ in variants], *clean]
+        target = np.array([1.0] * len(own) + [-1.0] * len(clean))
+        other = np.sqrt([good[w] for w in clean])
+        cost = 0.5 * len(words) * np.concatenate([own / own.sum(), other / other.sum()])
         w = svm(gram(words, marks) @ root, target, cost)
         r, c, v = features(marks)
         table = np.bincount(c, v * (root @ w[:-1])[r], minlength=1 << BITS).astype(np.float32)
@@ -247,10 +251,23 @@ def fit(texts: list[str], labels: list[int], landmarks: int, clean_words: int) -
         chosen = {max(words, key=lambda x: (margin[x] + min(1.0, 20 * odds[x]), x)) for words in toxic_lists}
         chosen |= sure | {x for x in pool if margin[x] > 0.5 and bad[x] > 1}
         picks = sorted(chosen)
-    slope, shift = logistic(text_margins(texts, *model), y)
+    tried = [x for x, w in variants if w in sure]
+    margins = np.concatenate([text_margins(texts, *model), text_margins(tried, *model)])
+    slope, shift = logistic(margins, np.concatenate([y, np.ones(len(tried), y.dtype)]))
     return ToxicityModel(model[0], model[1], slope, shift)
 
 
+def stretched(word: str) -> list[str]:
+    """The word with a letter inserted at each of its inner places."""
+    if len(word) < 4:
+        return []
+    return [word[:k] + chr(97 + rank(f"{word} {k}") % 26) + word[k:] for k in range(1, len(word))]
+
+
+def rank(text: str) -> int:
+    return int(kernels.mix(np.array([hash_text(text)], np.uint64))[0])
+
+
 def hash_text(text: str) -> int:
     out = 0xCBF29CE484222325
     for b in text.encode("utf-8", "surrogatepass"):

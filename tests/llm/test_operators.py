@@ -68,7 +68,7 @@ def test_toxicity_tolerates_insertions():
     bad = [t.replace(" ", f" {rng.choice(['wurgzib', 'fjimpox'])} ", 1) for t in clean[:150]]
     model = toxicity.fit(bad + clean[150:], [1] * 150 + [0] * 150, 64, 2000)
     score = lambda *texts: toxicity.scores(list(texts), model).tolist()
-    assert min(score("wurgzib", "tah wurrgzib", "w-u-r-g-z-i-b", "w u r g z i b", "fjimmpox. then")) > 0.7
+    assert min(score("wurgzib", "tah wurrgzib", "w-u-r-g-z-i-b", "w u r g z i b", "fjimmpox. then", "wurxgzib", "wurgzeib tah", "fjimkpox")) > 0.7
     assert max(score("", "onshe tarol", clean[200])) < 0.5
 
 
@@ -243,6 +243,13 @@ def test_chat_round_trip(spark, sf):
     assert chat_format.format_and_read_back(frame.limit(0)).count() == 0
 
 
+def test_slots_count_where_the_texts_agree(spark):
+    bench = spark.createDataFrame([(1, "Each of the 12 boats on the lake has a crew of 3 men and all of them row for 12 hours before the sun goes down.")], "item_id long, text string")
+    half = "Each of the 40 boats on the lake has a crew of 3 men and all of them went home to sleep 9 nights in a row after it."
+    got = decontaminate.benchmark_hits(spark.createDataFrame([(1, half)], "doc_id long, text string"), bench, 0.4).collect()
+    assert [(r.doc_id, r.item_id, r.n_slots) for r in got] == [(1, 1, 2)]
+
+
 def test_fingerprints_equal_brute_force(spark, docs):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
