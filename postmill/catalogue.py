@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postmill.plans import numbers, pages, texts
+from postmill.plans import numbers, pages, services, texts
 
-QUERIES = pages.QUERIES | texts.QUERIES | numbers.QUERIES
-ORACLE = pages.ORACLE | texts.ORACLE | numbers.ORACLE
+QUERIES = pages.QUERIES | texts.QUERIES | numbers.QUERIES | services.QUERIES
+ORACLE = pages.ORACLE | texts.ORACLE | numbers.ORACLE | services.ORACLE
