@@ -26,6 +26,8 @@ TABLES = 3
 ATTEMPTS = 6
 ROUNDS = 24
 LEAST_WIDTH = 4
+#: Bits of a digest that give its place in a table.
+PLACE_BITS = 21
 #: Where paragraphs end.
 BREAKS = r"[\n\r]+|(?<=[.!?])[ \t]+"
 
@@ -33,16 +35,12 @@ BREAKS = r"[\n\r]+|(?<=[.!?])[ \t]+"
 def paragraph_digests(text: Column) -> Column:
     """Distinct digests of a text's non-blank paragraphs, ascending; none for null."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda line: F.trim(line) != "")
-    return F.array_sort(F.array_distinct(F.transform(lines, lambda line: F.xxhash64(F.trim(line)))))
+    return F.sort_array(F.array_distinct(F.transform(lines, lambda line: F.xxhash64(F.trim(line)))))
 
 
 def table_width(n: Column) -> Column:
-    """Cells of one table for ``n`` digests: a power of two of at least half of them."""
-    return F.greatest(F.lit(LEAST_WIDTH), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n / 2, F.lit(1.0))))).cast("int"))
-
-
-def cell_of(digest: Column, table: int, width: Column) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(table)), width.cast("long")).cast("int") + width * table
+    """Cells of one table for ``n`` digests: a power of two, as many at least, so that few rounds peel them."""
+    return F.greatest(F.lit(LEAST_WIDTH), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("int"))
 
 
 def check_of(digest: Column) -> Column:
@@ -50,41 +48,43 @@ def check_of(digest: Column) -> Column:
 
 
 def cells_of(digest: Column, n: Column, width: Column) -> Column:
-    """A digest's three cells (c, n, d, h)."""
-    return let(
-        check_of(digest),
-        lambda h: F.array(
-            *[F.struct(cell_of(digest, t, width).alias("c"), n.alias("n"), digest.alias("d"), h.alias("h")) for t in range(TABLES)]
-        ),
-    )
+    """A digest's three cells (c, n, d, h): each table takes other bits of the digest for the place."""
+    mask = (width - 1).cast("long")
+    place = lambda t: F.shiftright(digest, PLACE_BITS * t).bitwiseAND(mask).cast("int") + width * t
+    return let(check_of(digest), lambda h: F.array(*[F.struct(place(t).alias("c"), n.alias("n"), digest.alias("d"), h.alias("h")) for t in range(TABLES)]))
 
 
 def fold(cells: Column) -> Column:
     """Cells with equal numbers as one, ascending; cells that come to nothing are left out."""
-    none = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("h"))
-    zero = F.struct(F.array().cast("array<struct<c:int,n:int,d:bigint,h:bigint>>").alias("done"), none.alias("at"))
-
-    def add(acc: Column, x: Column) -> Column:
-        at = acc["at"]
-        both = F.struct(at["c"].alias("c"), (at["n"] + x["n"]).alias("n"), at["d"].bitwiseXOR(x["d"]).alias("d"), at["h"].bitwiseXOR(x["h"]).alias("h"))
-        return F.when(at["c"] == x["c"], F.struct(acc["done"].alias("done"), both.alias("at"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(at)).alias("done"), x.alias("at"))
-        )
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("h"))
 
-    return F.aggregate(
-        F.array_sort(cells), zero, add,
-        lambda acc: F.filter(F.concat(acc["done"], F.array(acc["at"])), lambda c: (c["n"] != 0) | (c["d"] != 0) | (c["h"] != 0)),
-    )
+    def add(at: Column, x: Column) -> Column:
+        return F.struct(x["c"].alias("c"), (at["n"] + x["n"]).alias("n"), at["d"].bitwiseXOR(x["d"]).alias("d"), at["h"].bitwiseXOR(x["h"]).alias("h"))
+
+    def merged(ordered: Column) -> Column:
+        opens = lambda x, i: F.when((i == 0) | (x["c"] != F.get(ordered, i - 1)["c"]), i)
+        one = lambda start, end: F.when(end - start == 1, F.get(ordered, start)).otherwise(F.aggregate(F.slice(ordered, start + 1, end - start), zero, add))
+        starts = F.array_compact(F.transform(ordered, opens))
+        runs = let(starts, lambda at: F.transform(at, lambda i, k: one(i, F.coalesce(F.get(at, k + 1), F.size(ordered)))))
+        return F.filter(runs, lambda c: (c["n"] != 0) | (c["d"] != 0) | (c["h"] != 0))
+
+    none = F.array().cast("array<struct<c:int,n:int,d:bigint,h:bigint>>")
+    return let(F.sort_array(cells), lambda ordered: F.when(F.size(ordered) > 0, merged(ordered)).otherwise(none))
+
+
+def signed_cells(digests: Column, sign: int, width: Column) -> Column:
+    """The cells of all digests, not yet folded, with the count ``sign``."""
+    return F.flatten(F.transform(digests, lambda d: cells_of(d, F.lit(sign), width)))
 
 
 def sketch(digests: Column, width: Column) -> Column:
     """Filled cells of a set of digests."""
-    return fold(F.flatten(F.transform(digests, lambda d: cells_of(d, F.lit(1), width))))
+    return fold(signed_cells(digests, 1, width))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    less = F.transform(b, lambda c: F.struct(c["c"].alias("c"), (-c["n"]).alias("n"), c["d"].alias("d"), c["h"].alias("h")))
-    return fold(F.concat(a, less))
+def subtracted(a: Column, b: Column, width: Column) -> Column:
+    """Cell by cell, the sketch of ``a`` less that of ``b``."""
+    return fold(F.concat(signed_cells(a, 1, width), signed_cells(b, -1, width)))
 
 
 def peel(cells: Column, width: Column) -> Column:
@@ -92,15 +92,16 @@ def peel(cells: Column, width: Column) -> Column:
     state = F.struct(cells.alias("cells"), F.lit(0).alias("more"), F.lit(0).alias("less"), F.lit(True).alias("live"))
 
     def turn(acc: Column, _: Column) -> Column:
-        pure = F.filter(acc["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["h"] == check_of(c["d"])))
-        found = F.array_distinct(F.transform(pure, lambda c: F.struct(c["d"].alias("d"), c["n"].alias("n"))))
+        single = F.filter(acc["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["h"] == check_of(c["d"])))
+        of = lambda cells, n: F.array_distinct(F.transform(F.filter(cells, lambda c: c["n"] == n), lambda c: c["d"]))
+        found = let(single, lambda cells: F.struct(of(cells, 1).alias("more"), of(cells, -1).alias("less")))
 
-        def take(items: Column) -> Column:
-            out = F.flatten(F.transform(items, lambda x: cells_of(x["d"], -x["n"], width)))
-            more = F.size(F.filter(items, lambda x: x["n"] == 1))
+        def take(x: Column) -> Column:
+            left = F.concat(acc["cells"], signed_cells(x["more"], -1, width), signed_cells(x["less"], 1, width))
+            more, less = F.size(x["more"]), F.size(x["less"])
             return F.struct(
-                fold(F.concat(acc["cells"], out)).alias("cells"), (acc["more"] + more).alias("more"),
-                (acc["less"] + F.size(items) - more).alias("less"), (F.size(items) > 0).alias("live"),
+                F.when(more + less > 0, fold(left)).otherwise(acc["cells"]).alias("cells"), (acc["more"] + more).alias("more"),
+                (acc["less"] + less).alias("less"), (more + less > 0).alias("live"),
             )
 
         return F.when(acc["live"] & (F.size(acc["cells"]) > 0), let(found, take)).otherwise(acc)
@@ -113,13 +114,13 @@ def peel(cells: Column, width: Column) -> Column:
 
 def difference(a: Column, b: Column) -> Column:
     """(more, less): numbers of digests that only ``a`` or only ``b`` holds, by peeling."""
-    start = table_width(F.greatest(F.size(a), F.size(b)))
+    start = table_width(F.size(a) + F.size(b))
     init = F.struct(F.lit(0).alias("more"), F.lit(0).alias("less"), F.lit(False).alias("done"))
 
     def attempt(acc: Column, k: Column) -> Column:
         again = let(
             (start * F.pow(F.lit(2), k)).cast("int"),
-            lambda width: peel(subtract(sketch(a, width), sketch(b, width)), width),
+            lambda width: peel(subtracted(a, b, width), width),
         )
         return F.when(acc["done"], acc).otherwise(again)
 
