@@ -10,7 +10,8 @@ symbol), and every passage of over 16 + 2 * ``WINDOW``
 characters that two texts share holds the same chunks in both.
 
 Chunks with equal digests are repeats of each other. Neighbouring repeats join
-into passages; those with ``min_words`` words or more are reported.
+into stretches; those with ``min_words`` words or more are reported, one passage
+for each document that their chunks were first seen in.
 """
 
 from __future__ import annotations
@@ -96,11 +97,13 @@ def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Passages of ``docs`` (doc_id, text, ...) whose chunks occur more than once.
 
-    Returns doc_id, start and end (code points), n_words, is_first (no chunk
-    of the passage occurs earlier, in the order of doc_id and place) and
-    first_doc_id (the least doc_id that holds one of its chunks). One row per
-    passage: a maximal run of neighbouring repeated chunks with at least
-    ``min_words`` words. Repeats inside a text count. Null and empty texts
+    Returns doc_id, start and end (code points), n_words, is_first (its chunks
+    occur nowhere earlier, in the order of doc_id and place) and first_doc_id
+    (the least doc_id that holds them). One row per passage: a maximal run of
+    neighbouring repeated chunks that are all first or all seen before, first
+    in the same document. Passages that touch form a stretch, which needs
+    ``min_words`` words; a passage of it may have fewer. A chunk that is first
+    is never in a passage that is not. Repeats inside a text count. Null and empty texts
     have none; rows with equal doc_ids are taken as one text's, told apart by
     their place only; other columns are ignored.
     """
@@ -116,16 +119,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "first_here", (F.col("first_id").eqNullSafe(F.col("doc_id"))) & (F.col("first_start") == F.col("start"))
     )
     by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    # A stretch ends where a chunk is no repeat, a passage also where its chunks were first seen elsewhere.
+    origin = F.struct("first_here", "first_id")
     runs = repeats.withColumn("opens", F.coalesce((F.lag("end").over(by_doc) < F.col("start")).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = runs.groupBy("doc_id", "run").agg(
+    runs = runs.withColumn("turns", F.when(F.lag(origin).over(by_doc).eqNullSafe(origin), F.col("opens")).otherwise(F.lit(1)))
+    so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("stretch", F.sum("opens").over(so_far)).withColumn("run", F.sum("turns").over(so_far))
+    passages = runs.groupBy("doc_id", "stretch", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").cast("long").alias("n_words"),
-        F.min(F.col("first_here").cast("int")).cast("boolean").alias("is_first"),
-        F.min("first_id").alias("first_doc_id"),
+        F.first("first_here").alias("is_first"),
+        F.first("first_id").alias("first_doc_id"),
     )
-    return passages.where(F.col("n_words") >= min_words).drop("run")
+    whole = passages.withColumn("whole", F.sum("n_words").over(Window.partitionBy("doc_id", "stretch")))
+    return whole.where(F.col("whole") >= min_words).drop("stretch", "run", "whole")
 
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -115,6 +115,25 @@ def test_chunk_passages(spark, odd, empty):
     assert chunk_dedup.repeated_passages(empty).collect() == []
 
 
+def test_chunk_passages_keep_what_is_first(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared, own, line, short = text(80), text(120), text(90), text(40)
+    rows = [(1, f"{text(60)} {shared} {text(60)}"), (5, f"{shared} {own}"), (9, f"{shared} {own}"), (11, f"{text(60)}\n" + f"{line}\n" * 5 + text(60)), (12, f"{short}\n" * 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(chunk_dedup.repeated_passages(frame).collect(), key=lambda r: (r.doc_id, r.start))
+    origins = {k: [(r.is_first, r.first_doc_id) for r in got if r.doc_id == k] for k in (5, 9)}
+    # The chunk that opens document 5 holds only a part of the passage, so it is another one.
+    assert origins == {5: [(True, 5), (False, 1), (True, 5)], 9: [(False, 5), (False, 1), (False, 5)]}
+    cut = {r.doc_id: r.text for r in chunk_dedup.cut_repeats(frame).collect()}
+    middle = lambda t: t[150:-150]
+    assert cut[1] == rows[0][1] and own[150:] in cut[5] and middle(shared) not in cut[5] and cut[9] == ""
+    for part, key in ((shared, 1), (own, 5), (line, 11)):
+        assert sum(t.count(middle(part)) for t in cut.values()) == 1 and middle(part) in cut[key]
+    assert cut[12].startswith(short) and len(cut[12]) < 4 * len(short)
+
+
 def test_decontamination(spark, docs, sf, odd, empty):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_hits(docs, bench).collect()}
