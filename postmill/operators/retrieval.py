@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most queries that are sent to every vector task at once.
+#: Most queries that meet a block of vectors at once, about.
 MOST_QUERIES = 2000
 
 
@@ -29,17 +29,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` vectors of highest cosine for each query: query_id, vec_id, score, rank.
 
     ``vectors`` has vec_id and embedding, ``queries`` query_id and embedding.
-    The stated query set, at most ``MOST_QUERIES`` (else an error), goes to
-    every block of vectors; each block keeps its own best k of a query before
-    anything is shuffled. Ties go to the smaller vec_id; a zero vector scores
-    0; fewer than k vectors give fewer rows.
+    Up to ``MOST_QUERIES`` queries are sent to every block of vectors; more
+    are dealt into blocks of about that size, and each pair of a block of
+    queries and one of vectors is a task. Each task keeps its own best k of a
+    query before anything is shuffled. Ties go to the smaller vec_id; a zero
+    vector scores 0; fewer than k vectors give fewer rows.
     """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
+    n = queries.count()
     unit = vectors.select("vec_id", normalised(F.col("embedding")).alias("v"))
     asked = queries.select("query_id", normalised(F.col("embedding")).alias("q"))
-    scored = unit.join(F.broadcast(asked)).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    few = n <= MOST_QUERIES
+    asked = F.broadcast(asked) if few else asked.repartition(-(-n // MOST_QUERIES)).hint("shuffle_replicate_nl")
+    scored = unit.join(asked).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # The limit on row_number moves below the exchange, so a task sends k rows of a query.
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

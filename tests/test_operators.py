@@ -61,6 +61,16 @@ def test_top_k(spark):
     assert retrieval.top_k(vectors, queries, 9).where("vec_id = 3").first().score == 0.0
 
 
+def test_top_k_of_many_queries(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = rows.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = sorted(retrieval.top_k(rows, asked, 3).collect())
+    assert len(want) == 3 * asked.count()
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    found = retrieval.top_k(rows, asked, 3)
+    assert sorted(found.collect()) == want and "CartesianProduct" in found._jdf.queryExecution().toString()
+
+
 def test_aligned_joins_fail_loudly(spark):
     left = spark.createDataFrame([("t", 0, "s1"), ("t", 1, "s2")], "split string, i int, session string")
     good = spark.createDataFrame([("t", 0, "s1", True), ("t", 1, "s2", None)], "split string, i int, other string, ok boolean")
