@@ -2,20 +2,22 @@
 
 Every capture becomes three records: a request, the response (or a revisit of
 an earlier payload) and metadata. The request's id ties them together: the
-other two name it in ``WARC-Concurrent-To``. Reading parses the archives
-record by record, joins the records over those ids and returns one nested row
-per capture.
+other two name it in ``WARC-Concurrent-To``. Reading takes any direction of
+these links: it parses the archives record by record, joins the records that
+are linked, in a file and across files, and returns one nested row per capture.
 
 Archives are gzip files of plain WARC/1.1 text, written by Spark's text
 writer and read by its binary reader, so any store that Spark reaches will do.
+Files of many gzip members, one for each record, are read as well.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,13 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.common import let_workers_import
-from postmill.session import fresh_path
+from postmill.operators.graph import connected_components
+from postmill.session import fresh_path, materialise
 
 #: Captures in one archive file, at most.
 FILE_CAPTURES = 2000
 EOL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD_SCHEMA = "record_id string, kind string, concurrent_to string, target string, refers_to string, page_id long, digest string, http_length long, payload_bytes long, payload_sha1 string"
+RECORD_SCHEMA = "record_id string, kind string, root string, abroad array<string>, target string, refers_to string, page_id long, digest string, http_length long, payload_bytes long, payload_sha1 string"
 HTTP_LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)")
 
 
@@ -111,31 +114,65 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
+    """Headers (lower-case names) and block of each record of an archive.
+
+    Repeated ``WARC-Concurrent-To`` headers are one, with spaces between the ids.
+    """
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         first, *rest = data[at:end].decode("utf-8", "surrogatepass").split(EOL)
         if not first.startswith("WARC/"):
             raise ValueError("not a WARC record")
-        heads = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in rest)}
+        heads: dict[str, str] = {}
+        for line in rest:
+            name, value = line.split(":", 1)
+            name, value = name.strip().lower(), value.strip()
+            heads[name] = f"{heads[name]} {value}" if name == "warc-concurrent-to" and name in heads else value
         size = int(heads["content-length"])
         yield heads, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
+def roots(links: list[tuple[str, list[str]]]) -> list[str]:
+    """An id for each record (its id, the ids it names) that all linked records share.
+
+    It is a named id, if there is one, and that of a record that names none.
+    """
+    named = {n for _, names in links for n in names}
+    parent = {n: n for n in named}
+
+    def find(x: str) -> str:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    # A record that nothing names is linked by its own names only: equal ids of such records don't tie them.
+    groups = [names + [rid] * (rid in named) for rid, names in links]
+    naming = {rid for rid, names in links if names}
+    for group in groups:
+        for other in group[1:]:
+            a, b = sorted((find(group[0]), find(other)), key=lambda x: (x in naming, x))
+            parent[b] = a
+    return [find(group[0]) if group else rid for group, (rid, _) in zip(groups, links, strict=True)]
+
+
 def parse_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
-    kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in RECORD_SCHEMA.split(", ")]
+    known = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    kinds = [known[c.split()[1]] for c in RECORD_SCHEMA.split(", ")]
 
     def rows(data: bytes) -> Iterator[list]:
         for heads, block in parse_records(data):
             kind = heads["warc-type"]
+            if kind == "warcinfo":
+                continue
             row = dict.fromkeys(names)
-            row |= {"record_id": heads["warc-record-id"], "kind": kind, "concurrent_to": heads.get("warc-concurrent-to"), "target": heads.get("warc-target-uri")}
+            row |= {"record_id": heads["warc-record-id"], "kind": kind, "abroad": heads.get("warc-concurrent-to", "").split(), "target": heads.get("warc-target-uri")}
             row |= {"refers_to": heads.get("warc-refers-to"), "digest": heads.get("warc-payload-digest", "").removeprefix("sha1:") or None}
             if kind == "metadata":
-                fields = dict(line.split(": ", 1) for line in block.decode().split(EOL) if line)
+                fields = dict((line + ": ").split(": ", 1) for line in block.decode("utf-8", "replace").split(EOL))
+                fields = {k: v.removesuffix(": ") for k, v in fields.items()}
                 row["page_id"] = int(fields["page-id"]) if "page-id" in fields else None
                 row["http_length"] = int(fields["refers-to-page"]) if "refers-to-page" in fields else None
             elif kind in ("response", "revisit"):
@@ -149,8 +186,12 @@ def parse_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for content in batch.column("content"):
             data = content.as_py()
-            data = zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data
+            data = gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
             part = list(rows(data))
+            rid, root, abroad = (names.index(n) for n in ("record_id", "root", "abroad"))
+            here = {row[rid] for row in part}
+            for row, found in zip(part, roots([(row[rid], row[abroad]) for row in part]), strict=True):
+                row[root], row[abroad] = found, [n for n in row[abroad] if n not in here] or None
             for at in range(0, len(part), 10_000):
                 columns = zip(*part[at : at + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -162,17 +203,25 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     Returns capture_id and the structs request (record_id, target), response
     (record_id, kind, digest, refers_to, http_length, payload_bytes,
     payload_sha1) and metadata (record_id, page_id, refers_to_page). Records
-    meet in a join on the request's id; a capture with a record missing has a
-    null struct in its place. No archive gives an empty result.
+    that a chain of concurrent-to links ties, in whatever direction and
+    through whatever files, are one capture; its id is that of a record they
+    name, else its only record's own. A capture with a record missing has a null
+    struct in its place; warcinfo records are left out. No archive gives an
+    empty result.
     """
     let_workers_import(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(parse_archives, RECORD_SCHEMA)
-    # The three kinds meet in one grouping by the id that the join is on.
-    key = F.when(F.col("kind") == "request", F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+    records = materialise(files.mapInArrow(parse_archives, RECORD_SCHEMA), "warc-records").withColumnRenamed("root", "capture_id")
+    # Links inside a file are followed where it is parsed; here are those to records of other files.
+    away = records.select(F.col("capture_id").alias("src"), F.explode("abroad").alias("dst"))
+    if not away.isEmpty():
+        named = records.select("record_id", F.col("capture_id").alias("src")).join(away.select("dst").distinct(), F.col("record_id") == F.col("dst"))
+        merged = connected_components(away.union(named.select("src", "dst"))).withColumnRenamed("node", "capture_id")
+        records = records.join(merged, "capture_id", "left").withColumn("capture_id", F.coalesce("component", "capture_id"))
+    # The three kinds meet in one grouping by the id that the links lead to.
     pick = lambda test, *fields: F.max(F.when(test, F.struct(*fields)))
     kind = F.col("kind")
-    return records.withColumn("capture_id", key).groupBy("capture_id").agg(
+    return records.groupBy("capture_id").agg(
         pick(kind == "request", "record_id", "target").alias("request"),
         pick(kind.isin("response", "revisit"), "record_id", "kind", "digest", "refers_to", "http_length", "payload_bytes", "payload_sha1").alias("response"),
         pick(kind == "metadata", "record_id", "page_id", F.col("http_length").alias("refers_to_page")).alias("metadata"),

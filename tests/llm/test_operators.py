@@ -1,5 +1,6 @@
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -311,5 +312,25 @@ def test_warc_round_trip(spark, sf):
     assert sorted((r.page_id or 0, r.record_type) for r in warc.archive_and_read(tied).collect()) == [(0, "revisit"), (1, "response"), (1, "response")]
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    def member(kind, rid, *near, block=b"GET / HTTP/1.1\r\n\r\n"):
+        heads = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{rid}>", *[f"WARC-Concurrent-To: <{n}>" for n in near], f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(heads).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    page = lambda text: b"HTTP/1.1 200 OK\r\n\r\n" + text
+    note = b"fetchTimeMs: 5\r\nodd line\r\n"
+    one = [member("warcinfo", "w"), member("request", "q1", "r1"), member("response", "r1", block=page(b"one")), member("metadata", "m1", "r1", block=note)]
+    one += [member("request", "q2"), member("response", "r2", "q2", block=page(b"two")), member("metadata", "m2", "q2", "r2", block=note)]
+    one += [member("request", "q3", "r3"), member("response", "r4", "q4", block=page(b"four")), member("response", "r5", block=page(b"five"))]
+    two = [member("response", "r3", block=page(b"three")), member("metadata", "m3", "q3", block=note), member("request", "q4"), member("metadata", "m4", "r4", block=note)]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(one))
+    (tmp_path / "two.warc.gz").write_bytes(b"".join(two))
+    got = warc.read_captures(spark, str(tmp_path)).collect()
+    sha = lambda t: base64.b32encode(hashlib.sha1(t).digest()).decode()
+    ids = lambda r: tuple(x and x.record_id for x in (r.request, r.response, r.metadata))
+    assert sorted(map(ids, got), key=lambda t: t[1]) == [*((f"<q{i}>", f"<r{i}>", f"<m{i}>") for i in range(1, 5)), (None, "<r5>", None)]
+    assert {r.response.payload_sha1 for r in got} == {sha(t) for t in (b"one", b"two", b"three", b"four", b"five")}
+
+
 def test_every_query_runs_and_numbers_are_complete(spark, sf):
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
