@@ -1,122 +1,191 @@
 """Benchmark decontamination by canonical templates.
 
-Texts become template tokens: numbers, units after a number, and names
-(capitalised words that do not open a sentence) turn into typed placeholders,
-other words into lower case without outer punctuation. Windows of
-``WINDOW`` template tokens of the benchmark and of the documents meet in a
-hash join, so a question whose numbers and names were exchanged still meets
-its original. Hits on one diagonal (same item, same shift) are then checked:
-one original value must stand for one value throughout, and enough of the
-item's windows must be there.
-
-DataFrame functions only. Benchmark windows are small against documents, but
-their number is not bounded, so the join is left to Spark's own size check.
+A text becomes a row of template tokens, its runs of letters and digits.
+Capitalised words turn into a name placeholder, numbers into a number's, or a
+quantity's if a unit is with them, and a run of either into one; other words
+stay. Sentence openers are capitalised too, so they count as names wherever
+they stand.
+Windows of ``WINDOW`` tokens of the benchmark and of the documents meet in a
+hash join; an item with fewer tokens is one window of its own length. So a
+question whose numbers and names were exchanged still meets its original. A
+window without any literal word says nothing about a template and must agree
+in its values.
+
+Hits are grouped by their diagonal (same item, same shift), and also over
+neighbouring diagonals, which an inserted word leads to. In a group every
+original value stands for the value that it meets most often; windows with
+another value in a slot do not count, and enough of the item's windows must
+remain.
+
+DataFrame functions only. The benchmark's windows are sent to all tasks in
+blocks of at most ``BLOCK_WINDOWS``, each of which passes over the documents
+once, so texts are never shuffled, however large either side is.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import let
+from postmill.session import materialise
 
 WINDOW = 8
-#: Share of an item's windows that a document must hold, on one diagonal.
+#: Share of an item's windows that a document must hold with consistent slots.
 COVERAGE = 0.5
-NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
+#: Diagonals that one group of neighbours spans.
+SPREAD = 16
+#: Windows of the benchmark that are broadcast at once, about.
+BLOCK_WINDOWS = 250_000
+#: Codes of placeholders; words have codes from ``WORDS`` on.
+NUMBER, NAME, QUANTITY, WORDS = 1, 2, 3, 16
 # Units of measure recognised after a number.
 UNITS = [
-    "cm", "dollars", "euros", "feet", "g", "gallons", "grams", "hours", "inches", "kg", "kilograms", "kilometers", "km",
-    "liters", "m", "meters", "miles", "minutes", "ml", "mm", "ounces", "percent", "pounds", "seconds", "yards",
+    "centimeters", "cm", "days", "dollars", "euros", "feet", "g", "gallons", "grams", "hours", "inches", "kg", "kilograms", "kilometers", "km",
+    "liters", "m", "meters", "miles", "minutes", "ml", "mm", "months", "ounces", "percent", "pounds", "seconds", "weeks", "yards", "years",
 ]
-OUTER = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-NUMERAL = r"^[-+]?\p{Sc}?\d[\d.,:/]*\p{Sc}?%?$"
-
+def is_number(word: Column) -> Column:
+    return (word >= "0") & (word < ":")
 
-def raw_words(text: Column) -> Column:
-    """Words between white space; none for null or blank."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+"), lambda w: w != "")
 
+def is_capital(word: Column) -> Column:
+    """Whether the word opens with a capital; only letters beyond ASCII need a look at their other case."""
+    first = F.substring(word, 1, 1)
+    return ((word >= "A") & (word < "[")) | ((word >= "{") & (F.lower(first) != first))
 
-def plain(word: Column) -> Column:
-    return F.regexp_replace(word, OUTER, "")
 
+def raw_words(text: Column) -> Column:
+    """Runs of letters and digits; empty words at the ends are the template's to leave out."""
+    return F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\p{M}]+")
 
-def template(words: Column) -> Column:
-    """Template tokens of an array of words."""
-    units = F.array(*[F.lit(u) for u in UNITS])
-
-    def token(word: Column, at: Column) -> Column:
-        before = F.when(at > 0, F.element_at(words, at)).otherwise(F.lit("."))
-        opens = before.rlike(r"[.!?:]$")
-        return (
-            F.when(word.rlike(r"^\P{L}*\d") & plain(word).rlike(NUMERAL), F.lit(NUMBER))
-            .when(before.rlike(r"\d") & F.array_contains(units, F.lower(plain(word))), F.lit(UNIT))
-            .when(word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & ~opens, F.lit(NAME))
-            .otherwise(F.lower(word))
-        )
 
-    return F.transform(words, token)
+def raw_codes(words: Column) -> Column:
+    """A number for each raw word: a placeholder's, above ``WORDS`` for a literal word, 0 for one that is no token of its own.
 
+    No tokens are empty words, units after a number, and the words of a run of numbers or names but the first.
+    """
+    units = F.array(*map(F.lit, UNITS))
+    ends_in_unit = rf"^\d+({'|'.join(UNITS)})$"
+
+    def code(w: Column, i: Column) -> Column:
+        before, next_, after = (F.get(words, i + k) for k in (-1, 1, 2))
+        measured = w.rlike(ends_in_unit) | F.array_contains(units, F.lower(next_)) | (is_number(next_) & F.array_contains(units, F.lower(after)))
+        number = F.when(is_number(before), 0).when(measured, QUANTITY).otherwise(NUMBER)
+        placeholder = F.when(is_number(w), number).when(is_capital(w), F.when(is_capital(before), 0).otherwise(NAME))
+        gone = (w == "") | (is_number(before) & F.array_contains(units, w))
+        return F.coalesce(placeholder.when(gone, 0).cast("long"), F.shiftrightunsigned(F.xxhash64(w), 2) + WORDS)
+
+    return F.transform(words, code)
+
+
+def window_hashes(codes: Column, length: int) -> Column:
+    """The hash of every window of ``length`` codes, in order; those of ``WINDOW`` by doubling."""
+    if length < WINDOW:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(codes) - length), lambda i: F.xxhash64(F.slice(codes, i + 1, length)))
+    else:
+        doubled = lambda h, k: F.zip_with(h, F.slice(h, k + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
+        hashes = F.slice(let(let(doubled(codes, 1), lambda h: doubled(h, 2)), lambda h: doubled(h, 4)), F.lit(1), F.size(codes) - WINDOW + 1)
+    return F.when(F.size(codes) >= length, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+def value_digests(words: Column, places: Column, at: Column) -> Column:
+    """Digests of the words behind the ``WINDOW`` tokens from ``at`` (from 0), whatever their case."""
+    return F.array(*[F.xxhash64(F.lower(F.get(words, F.get(places, at + k)))) for k in range(WINDOW)])
+
+
+def coded(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys, raw words, codes and places (of the codes' words) of each row."""
+    split = rows.select(*keys, raw_words(F.col("text")).alias("words"))
+    raw = split.select(*keys, "words", raw_codes(F.col("words")).alias("raw"))
+    places = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: F.get("raw", i) != 0)
+    return raw.select(*keys, "words", places.alias("places"), F.array_remove("raw", F.lit(0).cast("long")).alias("codes"))
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_at, hash, length, item_windows, slots (their places in the window) and was (values) of all windows of all items."""
+    items = coded(benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct(), "item_id").withColumn("n", F.size("codes"))
+    items = items.withColumn("length", F.least("n", F.lit(WINDOW)))
+    hashes = reduce(lambda other, k: F.when(F.col("n") == k, window_hashes(F.col("codes"), k)).otherwise(other), range(1, WINDOW), window_hashes(F.col("codes"), WINDOW))
+    # Outer, for an inner one would have Spark compute the arrays once more, in a filter on their sizes.
+    each = items.select("*", F.posexplode_outer(hashes).alias("item_at", "hash"))
+    slots = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.get("codes", F.col("item_at") + k) < WORDS)
+    return each.where("hash IS NOT NULL").select(
+        "item_id", "item_at", "hash", "length", (F.col("n") - F.col("length") + 1).alias("item_windows"), slots.alias("slots"), value_digests(F.col("words"), F.col("places"), F.col("item_at")).alias("was")
+    )
 
-def window_hashes(tokens: Column) -> Column:
-    """Hash of every window; one shorter window for a text with fewer tokens."""
 
-    def windows(hashed: Column) -> Column:
-        last = F.greatest(F.size(hashed) - WINDOW, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(hashed, i + 1, WINDOW)))
+def sound_windows(hits: Column) -> Column:
+    """The hits whose slots hold the values that the group's originals meet most often (the larger digest among equals)."""
+    pairs = F.flatten(F.transform(hits, lambda h: h["pairs"]))
 
-    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda hashed: F.when(F.size(hashed) > 0, windows(hashed)))
+    def dominant(all_pairs: Column) -> Column:
+        counted = F.transform(F.array_distinct(all_pairs), lambda p: F.struct(p["was"].alias("was"), F.size(F.filter(all_pairs, lambda q: q == p)).alias("n"), p["now"].alias("now")))
+        return let(counted, lambda known: F.filter(known, lambda p: ~F.exists(known, lambda q: (q["was"] == p["was"]) & (F.struct(q["n"], q["now"]) > F.struct(p["n"], p["now"])))))
 
+    def kept(all_pairs: Column) -> Column:
+        distinct = F.array_distinct(all_pairs)
+        mixed = F.size(distinct) > F.size(F.array_distinct(F.transform(distinct, lambda p: p["was"])))
+        chosen = lambda: F.transform(dominant(all_pairs), lambda p: F.struct(p["was"].alias("was"), p["now"].alias("now")))
+        return F.when(mixed, let(chosen(), lambda c: F.filter(hits, lambda h: F.forall(h["pairs"], lambda p: F.array_contains(c, p))))).otherwise(hits)
 
-def templated(rows: DataFrame, key: str) -> DataFrame:
-    """key, words and template tokens of each row."""
-    split = rows.select(key, raw_words(F.col("text")).alias("words"))
-    return split.where(F.size("words") > 0)
+    return let(pairs, kept)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Documents that hold benchmark items: doc_id, item_id, share, n_windows and n_slots.
+    """Documents that hold benchmark items: doc_id, item_id, share, n_windows, n_slots and text_hash.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. One row for
-    each such pair. ``share`` is the largest share of the item's windows on
-    one diagonal with consistent slots, ``n_slots`` the placeholders checked.
-    Null and blank texts on either side meet nothing; an item shorter than a
-    window is one window and meets only documents with an equal run as long
-    as a whole text; repeated rows count once; an empty side gives an empty
-    result; other columns are ignored.
+    each item and each pair of a doc_id and a text. ``share`` is the largest
+    share of the item's windows in one group of hits with consistent slots,
+    ``n_slots`` the originals checked there, ``text_hash`` tells texts with one
+    doc_id apart. Null and blank texts on either side meet nothing, and so do
+    items with a null id; a null doc_id is an id; repeated rows count once; an
+    empty side gives an empty result; other columns are ignored. Texts of any
+    length are read whole.
     """
-    items = templated(benchmark.where("item_id IS NOT NULL"), "item_id").withColumn("tokens", template(F.col("words")))
-    item_windows = items.select("item_id", F.posexplode(window_hashes(F.col("tokens"))).alias("item_at", "hash"), F.size("words").alias("item_words"))
-    item_windows = item_windows.withColumn("item_windows", F.greatest(F.col("item_words") - WINDOW + 1, F.lit(1)))
-    texts = templated(docs.where("doc_id IS NOT NULL"), "doc_id")
-    doc_windows = texts.select("doc_id", F.posexplode(window_hashes(template(F.col("words")))).alias("doc_at", "hash"))
-    hits = doc_windows.join(item_windows, "hash")
-    diagonals = hits.withColumn("shift", F.col("doc_at") - F.col("item_at")).groupBy("doc_id", "item_id", "shift").agg(
-        F.countDistinct("item_at").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("item_words").alias("item_words")
-    )
-    likely = diagonals.where(F.col("n_windows") >= F.col("item_windows") * coverage)
-    likely = likely.join(items.select("item_id", F.col("words").alias("item_text"), F.col("tokens").alias("item_tokens")), "item_id")
-    near = docs.join(likely.select("doc_id").distinct(), "doc_id", "left_semi")
-    near = templated(near, "doc_id").select("doc_id", F.col("words").alias("doc_text"), template(F.col("words")).alias("doc_tokens"))
-    met = likely.join(near, "doc_id")
-    # A slot is checked where the document has a placeholder of the same type at its place; elsewhere the texts differ anyway.
-    in_both = lambda i: F.element_at("item_tokens", i).isin(NUMBER, NAME, UNIT) & (
-        F.coalesce(F.get("doc_tokens", i + F.col("shift") - 1), F.lit("")) == F.element_at("item_tokens", i)
+    items = materialise(benchmark_windows(benchmark), "item-windows")
+    n = items.count()
+    # At most WINDOW different lengths; documents need windows of those lengths only.
+    lengths = sorted((r["length"] for r in items.select("length").distinct().collect()), reverse=True) or [WINDOW]
+    texts = coded(docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")), "doc_id", "text_hash")
+    texts = texts.withColumn("hashes", F.concat(*[window_hashes(F.col("codes"), k) for k in lengths])).withColumn("n", F.size("codes"))
+    each = texts.select("doc_id", "text_hash", "words", "places", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
+    blocks = max(1, -(-n // BLOCK_WINDOWS))
+    met = [each.join(F.broadcast(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)), "hash") for b in range(blocks)]
+    # Hashes stand by length, the longest first.
+    ahead = lambda k: sum((F.greatest(F.col("n") - m + 1, F.lit(0)) for m in lengths if m > k), F.lit(0))
+    at = F.col("pos") - reduce(lambda other, k: F.when(F.col("length") == k, ahead(k)).otherwise(other), lengths, F.lit(0))
+    placed = reduce(DataFrame.unionAll, met).withColumn("at", at).withColumn("now", value_digests(F.col("words"), F.col("places"), F.col("at"))).drop("words", "places", "n", "pos", "hash")
+    hits = placed.where((F.size("slots") < F.col("length")) | (F.slice("was", F.lit(1), F.col("length")) == F.slice("now", F.lit(1), F.col("length"))))
+    pairs = F.transform("slots", lambda k: F.struct(F.get("was", k).alias("was"), F.get("now", k).alias("now")))
+    shift = F.col("at") - F.col("item_at")
+    # Each hit counts on its own diagonal and in both stretches of neighbouring ones that hold it.
+    groups = F.array(
+        F.struct(F.lit(0).alias("kind"), shift.alias("place")), F.struct(F.lit(1).alias("kind"), F.floor(shift / SPREAD).cast("int").alias("place")),
+        F.struct(F.lit(2).alias("kind"), F.floor((shift + SPREAD // 2) / SPREAD).cast("int").alias("place")),
     )
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(1), F.size("item_tokens")), in_both),
-        lambda i: F.struct(F.lower(plain(F.element_at("item_text", i))).alias("was"), F.lower(plain(F.get("doc_text", i + F.col("shift") - 1))).alias("now")),
+    dealt = hits.select("doc_id", "text_hash", "item_id", "item_windows", "item_at", "at", pairs.alias("pairs"), F.explode(groups).alias("group"))
+    # A group has at most SPREAD hits for each window of its item, when repeated rows count once.
+    grouped = dealt.groupBy("doc_id", "text_hash", "item_id", "group").agg(
+        F.max("item_windows").alias("item_windows"), F.collect_set(F.struct("item_at", "at", "pairs")).alias("hits")
     )
-    met = met.withColumn("slots", F.array_distinct(pairs))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["was"])))
+    windows_of = lambda hits: F.size(F.array_distinct(F.transform(hits, lambda h: h["item_at"])))
+    enough = lambda n: n >= F.col("item_windows") * coverage
+    likely = grouped.where(enough(windows_of("hits"))).withColumn("hits", sound_windows(F.col("hits")))
+    slots = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(h["pairs"], lambda p: p["was"])))))
+    counted = likely.select("doc_id", "text_hash", "item_id", "item_windows", windows_of("hits").alias("n_windows"), slots.alias("n_slots")).where(enough(F.col("n_windows")))
     share = (F.col("n_windows") / F.col("item_windows")).alias("share")
-    sound = met.where(consistent).select("doc_id", "item_id", share, "n_windows", F.size("slots").alias("n_slots"))
-    best = sound.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "n_windows", "n_slots")).alias("best"))
-    return best.select("doc_id", "item_id", "best.share", "best.n_windows", "best.n_slots")
+    best = counted.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(share, "n_windows", "n_slots")).alias("best"))
+    return best.select("doc_id", "item_id", "best.share", "best.n_windows", "best.n_slots", "text_hash")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
-    hit = benchmark_hits(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__id"), "left_anti")
+    """The rows of ``docs``, all columns, that hold no benchmark item; see :func:`benchmark_hits`.
+
+    Rows with a null doc_id are judged by their texts like all others.
+    """
+    hits = materialise(benchmark_hits(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "hit-texts")
+    gone = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
+    return docs.join(hits, gone, "left_anti")

@@ -135,25 +135,40 @@ def test_chunk_passages_keep_what_is_first(spark):
     assert cut[12].startswith(short) and len(cut[12]) < 4 * len(short)
 
 
-def test_decontamination(spark, docs, sf, odd, empty):
+def words_of(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def test_decontamination_equals_brute_force(spark, docs, sf, odd, empty):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_hits(docs, bench).collect()}
-    items, texts = bench.collect(), docs.collect()
-    assert {(d.doc_id, b.item_id) for d in texts for b in items if b.text in d.text} <= got
-    assert decontaminate.without_benchmark(docs, bench).count() == len(texts) - len({d for d, _ in got})
+    texts, items = docs.select("doc_id", "text").collect(), bench.select("item_id", "text").collect()
+    spelled = {r.item_id: f" {' '.join(words_of(r.text))} " for r in items}
+    assert got == {(r.doc_id, i) for r in texts for i, t in spelled.items() if t in f" {' '.join(words_of(r.text))} "}
+    assert decontaminate.without_benchmark(docs, bench).count() == len([r for r in texts if r.doc_id not in {d for d, _ in got}])
     assert decontaminate.benchmark_hits(odd, bench).count() == decontaminate.benchmark_hits(empty, bench).count() == 0
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).count() == 0
 
 
-def test_reparameterised_questions_are_caught(spark):
-    bench = spark.createDataFrame([(1, "A farmer named Anna buys 12 apples for 3 dollars and gives 12 of the apples to her friend Anna today."), (2, None)], "item_id long, text string")
-    rows = [
-        (1, "Well. A farmer named Bert buys 40 apples for 7 dollars and gives 40 of the apples to her friend Bert today."),
-        (2, "Well. A farmer named Bert buys 40 apples for 7 dollars and gives 41 of the apples to her friend Bert today."),
-        (3, "Another text about nothing of the kind at all, with 12 apples and 3 dollars, written today by Anna."),
-    ]
-    got = decontaminate.benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
-    assert [(r.doc_id, r.item_id, r.share) for r in got] == [(1, 1, 1.0)] and got[0].n_slots == 4
+MARKET = "Maria buys 12 apples at the market for 30 cents. John sells 5 of the pears to Anna for 40 cents. Peter eats 2 of them."
+
+
+@pytest.mark.parametrize(("question", "text", "found"), [
+    (MARKET, "so Klaus buys 17 apples at the market for 31 cents. Fritz sells 6 of the pears to Mary Ann for 41 cents. Otto eats 3 of them. ok", True),
+    (MARKET, "and nothing of the kind is in this text of some dozen words, 12 of which are numbers or names such as Maria", False),
+    ("What is the capital of Peru?", "someone asked what they call it: What is the capital of Chile? Nobody knew", True),
+    ("What is the capital of Peru?", "What is the largest city of Peru?", False),
+    ("Anna has 5kg of flour and gives 2 kg to her brother Tom before noon", "Mary Ann has 7 kg of flour and gives 3kg to her brother Big Tom before noon", True),
+    (MARKET, "so Klaus buys 17 apples at the market for 31 cents. Fritz sells 6 more of the pears to Sue for 41 cents. Otto eats 3 of them. ok", True),
+    ("1 2 3 4 5 6 7 8 9 10", "11 12 13 14 15 16 17 18", False),
+    ("Tom met Ann and Tom saw Ann but Tom left Ann", "Bob met Eve and Jim saw Sue but Kim left Pam", False),
+])
+def test_templates_meet_reparameterised_questions(spark, question, text, found):
+    bench = spark.createDataFrame([(1, question), (2, None), (None, question)], "item_id long, text string")
+    rows = spark.createDataFrame([(7, text), (None, text), (8, None), (7, text)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_hits(rows, bench).collect()}
+    assert got == ({(7, 1), (None, 1)} if found else set())
+    assert decontaminate.without_benchmark(rows, bench).count() == (1 if found else 4)
 
 
 def brute_targets(sizes):
@@ -263,13 +278,6 @@ def test_chat_round_trip(spark, sf):
     assert chat_format.format_and_read_back(frame.limit(0)).count() == 0
 
 
-def test_slots_count_where_the_texts_agree(spark):
-    bench = spark.createDataFrame([(1, "Each of the 12 boats on the lake has a crew of 3 men and all of them row for 12 hours before the sun goes down.")], "item_id long, text string")
-    half = "Each of the 40 boats on the lake has a crew of 3 men and all of them went home to sleep 9 nights in a row after it."
-    got = decontaminate.benchmark_hits(spark.createDataFrame([(1, half)], "doc_id long, text string"), bench, 0.4).collect()
-    assert [(r.doc_id, r.item_id, r.n_slots) for r in got] == [(1, 1, 2)]
-
-
 def test_fingerprints_equal_brute_force(spark, docs):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
