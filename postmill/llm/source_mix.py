@@ -1,16 +1,18 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Sizes are words. A source's documents lie in shuffled order on a line of its
-words, cut into blocks of ``BLOCK_WORDS``. Slots take golden-ratio points in
-[0, 1); a point falls into one source's share of the cumulative target
-weights, so any stretch of the schedule holds the sources nearly at their
-weights. Slots are ranked per source; the r-th slot takes block r modulo the
-number of blocks, and the source's last slot takes what its target still
-needs. A source that the points serve too rarely gets its missing slots at
-the schedule's end.
+words, cut into equal blocks of at most ``BLOCK_WORDS`` words, ``LEAST_BLOCKS``
+or more where it has as many words. Slot i takes the i-th golden-ratio point
+in [0, 1); the point falls into one source's share of the cumulative numbers of
+blocks that the targets need, and so gives the slot to that source. Any stretch
+of slots thus holds the sources' words nearly at their weights. Slots are
+ranked per source, and the r-th takes block r modulo the number of blocks. What
+a source gets in all is its number of points times its block, within a few
+blocks of its target; slots beyond ``MOST_REPEATS`` passes stay empty.
 
 Everything is DataFrame code. Running totals go through buckets of a source,
-so that a source with a large share of all rows is never in one task.
+so that a source with a large share of all rows is never in one task. Only
+tables of one row a source are ordered in one task.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from postmill.session import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
 BLOCK_WORDS = 8192
+LEAST_BLOCKS = 1024
 BUCKET_ROWS = 4096
 CELLS = 4096
 GOLDEN_RATIO = 0.6180339887498949
+#: Slots of one bucket of a source's ranks; ids are split there, for points of full precision.
+STRETCH = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -60,80 +65,81 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return stops.select("source", "n_rows", "source_size", target.alias("target"))
 
 
-def schedule(spark: SparkSession, targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix's slots: source, block, words and position.
+def golden_point(slot: Column) -> Column:
+    """The fractional part of (slot + 1) times the golden ratio."""
+    high, low = F.floor((slot + 1) / STRETCH), F.pmod(slot + 1, F.lit(STRETCH))
+    return F.pmod(high * F.lit(GOLDEN_RATIO * STRETCH % 1.0) + low * F.lit(GOLDEN_RATIO), F.lit(1.0))
 
-    A slot takes the first ``words`` words of its block; positions order them.
-    """
-    need = targets.where("target >= 1").select(
-        "source", "source_size", F.floor("target").cast("long").alias("goal"),
-        F.ceil(F.col("source_size") / block_words).cast("long").alias("blocks"),
-    )
-    # Each pass over a line ends with its short last block.
-    passes = F.floor(F.col("goal") / F.col("source_size"))
-    rest = F.col("goal") - passes * F.col("source_size")
-    need = need.withColumn("slots", (passes * F.col("blocks") + F.ceil(rest / block_words)).cast("long"))
-    total = need.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
-    whole = Window.partitionBy(F.lit(0))
-    run = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    shares = need.withColumn("low", F.coalesce(F.sum("slots").over(run), F.lit(0)) / F.sum("slots").over(whole))
-    shares = shares.withColumn("high", F.col("low") + F.col("slots") / F.sum("slots").over(whole))
-    cells = shares.withColumn(
-        "cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS).cast("int"), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS)).cast("int")))
-    )
-    points = spark.range(total + total // 50 + 64).select(
-        F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN_RATIO), F.lit(1.0)).alias("point")
+
+def block_count(source_size: Column) -> Column:
+    """Equal blocks of a source's words."""
+    return F.greatest(F.ceil(source_size / BLOCK_WORDS), F.least(source_size, F.lit(LEAST_BLOCKS))).cast("long")
+
+
+def block_start(block: Column, source_size: Column, blocks: Column) -> Column:
+    """The first word of a block; the block after the last one starts at the source's end."""
+    return F.floor(block * source_size / blocks).cast("long")
+
+
+def schedule(spark: SparkSession, targets: DataFrame) -> DataFrame:
+    """The slots of the mix that take a block: slot (its position, from 0), source and block."""
+    need = targets.where("target > 0").select("source", "target", "source_size", block_count(F.col("source_size")).alias("blocks"))
+    need = need.withColumn("wanted", F.col("target") * F.col("blocks") / F.col("source_size"))
+    total = need.agg(F.round(F.coalesce(F.sum("wanted"), F.lit(0.0))).cast("long").alias("n")).first()["n"]
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    all_of = F.sum("wanted").over(Window.partitionBy(F.lit(0)))
+    upto = F.sum("wanted").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / all_of
+    shares = need.withColumn("high", upto).withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
+    cells = shares.select(
+        "source", "blocks", "low", "high",
+        F.explode(F.sequence(F.floor(F.col("low") * CELLS).cast("int"), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS)).cast("int"))).alias("cell"),
     )
+    points = spark.range(total).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
-    hits = points.join(cells, "cell").where("point >= low AND point < high").select("source", "slot", "slots")
-    hits = hits.withColumn("stretch", F.floor(F.col("slot") / 65536)).withColumn("one", F.lit(1))
-    ranked = prefix_sum(hits, ["source"], "stretch", ["slot"], "one", "rank").where("rank < slots")
-    mine = ranked.select(F.col("source").alias("__s"), F.col("rank").alias("__r"), "slot")
-    wanted = need.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-    placed = wanted.join(mine, F.col("source").eqNullSafe(F.col("__s")) & (F.col("rank") == F.col("__r")), "left")
-    block = F.pmod(F.col("rank"), F.col("blocks"))
-    turn = F.floor(F.col("rank") / F.col("blocks"))
-    full = F.least(F.lit(block_words), F.col("source_size") - block * block_words)
-    words = F.least(full, F.col("goal") - turn * F.col("source_size") - block * block_words)
-    last = F.lit(1 << 62)
-    return placed.select("source", block.alias("block"), words.cast("long").alias("words"), F.coalesce("slot", last).alias("position"))
-
-
-def mixed_rows(docs: DataFrame, block_words: int = BLOCK_WORDS, columns: list[str] | None = None) -> DataFrame:
+    hits = points.join(cells, "cell").where("point >= low AND point < high").select("source", "slot", "blocks")
+    hits = hits.withColumn("stretch", F.floor(F.col("slot") / STRETCH)).withColumn("one", F.lit(1))
+    ranked = prefix_sum(hits, ["source"], "stretch", ["slot"], "one", "rank").where(F.col("rank") < MOST_REPEATS * F.col("blocks"))
+    return ranked.select("slot", "source", F.pmod("rank", "blocks").alias("block"))
+
+
+def mixed_rows(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, source, ...) with what the mix takes of it.
 
-    Returns doc_id, source, size, source_size, target, taken, whole and any
-    further ``columns``. ``taken`` counts words, repeats counted, and never
-    exceeds ``MOST_REPEATS`` times the size; ``whole`` is how often the mix
-    takes the row's middle word. Rows with a null or wordless text have size 0
-    and take 0; a null source is a source; equal rows are rows of their own,
-    shuffled by a hash of doc_id, source and size; reruns agree. An empty
-    input gives an empty result.
+    Returns doc_id, source, size, source_size, target, taken, line, slots and
+    any further ``columns``. ``taken`` counts words, repeats counted, and never
+    exceeds ``MOST_REPEATS`` times the size; ``line`` is the row's place on its
+    source's line, and ``slots`` holds the positions, at most as many as the
+    repeats, of the slots that take its middle word. Rows with a null or
+    wordless text have size 0, take 0 and have no slots; a null source is a
+    source; equal rows are rows of their own, shuffled by a hash of doc_id,
+    source and size; reruns agree. An empty input gives an empty result.
     """
     spark = docs.sparkSession
     extra = [F.col(c).alias(f"__c{i}") for i, c in enumerate(columns or [])]
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra)
     sized = materialise(sized, "sizes")
     targets = materialise(source_targets(sized), "targets")
-    slots = materialise(schedule(spark, targets, block_words), "slots")
-    keyed = targets.withColumnRenamed("source", "__source")
+    slots = schedule(spark, targets).groupBy(F.col("source").alias("__s"), F.col("block").alias("__b"))
+    slots = materialise(slots.agg(F.count("*").alias("passes"), F.sort_array(F.collect_list("slot")).alias("slots")), "slots")
+    keyed = targets.withColumnRenamed("source", "__source").withColumn("blocks", block_count(F.col("source_size")))
     rows = sized.join(keyed, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     at = F.xxhash64("doc_id", "source", "size")
     rows = rows.withColumn("at", at).withColumn("bucket", F.pmod(F.shiftright("at", 20), F.ceil(F.col("n_rows") / BUCKET_ROWS)))
     order = ["at", "doc_id", "size", *[f"__c{i}" for i in range(len(extra))]]
     lined = prefix_sum(rows, ["source"], "bucket", order, "size", "line")
     held = lined.where("size > 0")
-    spans = held.withColumn("block", F.explode(F.sequence(F.floor(F.col("line") / block_words), F.floor((F.col("line") + F.col("size") - 1) / block_words))))
-    slot = slots.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "words")
-    met = spans.join(slot, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
-    low = F.greatest(F.col("line"), F.col("block") * block_words)
-    high = F.least(F.col("line") + F.col("size"), F.col("block") * block_words + F.coalesce("words", F.lit(0)))
-    middle = F.col("line") + F.floor(F.col("size") / 2)
-    met = met.withColumn("part", F.greatest(high - low, F.lit(0))).withColumn("mid", ((middle >= low) & (middle < high)).cast("int"))
+    # The block of word w is the last that starts at w or before.
+    block_of = lambda w: F.floor(((w + 1) * F.col("blocks") - 1) / F.col("source_size")).cast("long")
+    spans = held.withColumn("block", F.explode(F.sequence(block_of(F.col("line")), block_of(F.col("line") + F.col("size") - 1))))
+    met = spans.join(slots, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
+    low = F.greatest(F.col("line"), block_start(F.col("block"), F.col("source_size"), F.col("blocks")))
+    high = F.least(F.col("line") + F.col("size"), block_start(F.col("block") + 1, F.col("source_size"), F.col("blocks")))
+    middle = block_of(F.col("line") + F.floor(F.col("size") / 2))
+    met = met.withColumn("part", (high - low) * F.coalesce("passes", F.lit(0))).withColumn("mid", F.when(F.col("block") == middle, F.col("slots")))
     keep = ["doc_id", "source", "size", "source_size", "target", "line", *[f"__c{i}" for i in range(len(extra))]]
-    taken = met.groupBy(*keep).agg(F.sum("part").cast("long").alias("taken"), F.sum("mid").cast("int").alias("whole"))
-    empty = lined.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "whole": F.lit(0)})
-    out = taken.unionByName(empty.select(*taken.columns)).drop("line")
+    taken = met.groupBy(*keep).agg(F.sum("part").cast("long").alias("taken"), F.max("mid").alias("slots"))
+    empty = lined.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "slots": F.lit(None).cast("array<bigint>")})
+    out = taken.unionByName(empty.select(*taken.columns)).withColumn("slots", F.coalesce("slots", F.array().cast("array<bigint>")))
     return out.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(columns or [])})
 
 
@@ -143,20 +149,22 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents: each row of ``docs``, all columns, as often as the mix takes it.
+    """The mixed documents in the order of the mix: each row of ``docs``, all columns, as often as the mix takes it.
 
-    A row counts as taken once for every pass of the mix over its middle word.
-    Rows are matched by the pair of doc_id and source; equal pairs share their
-    repeats. Rows without a word are not part of a mix of words and leave.
+    A row stands at every slot that takes its middle word, rows of one slot in
+    the order of their source's line. Rows are matched by doc_id, source and
+    size; rows with an equal triple share their slots, the texts in order.
+    Rows without a word are not part of a mix of words and leave.
     """
-    share = mixed_rows(docs).groupBy("doc_id", "source", "size").agg(F.sum("whole").alias("__all"), F.count("*").alias("__n"))
-    share = share.where("__all > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__w"), "__all", "__n")
+    places = F.transform("slots", lambda slot: F.struct(slot.alias("slot"), F.col("line").alias("line")))
+    share = mixed_rows(docs).where("size > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__w"), places.alias("places"))
+    share = share.groupBy("__d", "__s", "__w").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("__at"), F.count("*").alias("__n")).where(F.size("__at") > 0)
     tagged = docs.withColumn("__size", word_count(F.col("text")))
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__w"))
     met = tagged.join(share, on)
-    single = met.where("__n = 1").withColumn("__k", F.col("__all"))
-    order = Window.partitionBy("__d", "__s", "__w").orderBy("text")
-    tied = met.where("__n > 1").withColumn("__i", F.row_number().over(order) - 1)
-    tied = tied.withColumn("__k", F.floor(F.col("__all") / F.col("__n")) + (F.col("__i") < F.pmod("__all", "__n")).cast("long")).drop("__i")
-    both = single.unionByName(tied.select(*single.columns)).where("__k > 0")
-    return both.withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int")))).select(*docs.columns)
+    single = met.where("__n = 1").withColumn("__mine", F.col("__at"))
+    twins = Window.partitionBy("__d", "__s", "__w").orderBy("text")
+    tied = met.where("__n > 1").withColumn("__i", F.row_number().over(twins) - 1)
+    tied = tied.withColumn("__mine", F.expr("filter(__at, (x, k) -> k % __n = __i)")).drop("__i")
+    placed = single.unionByName(tied).select(*[F.col(c) for c in docs.columns], F.explode("__mine").alias("__place"))
+    return placed.orderBy("__place").select(*docs.columns)
