@@ -1,14 +1,15 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs (its lines, cut further after sentences; each counts once)
-are hashed to 64-bit digests. A sketch has three tables of cells; a digest
-goes to one cell of each, which keeps a count, the xor of digests and the xor
-of their check hashes; empty cells are not stored. Sketches of two versions
-subtract cell by cell, which cancels all common paragraphs; peeling then takes
-digests out of cells that hold a single one until no cell is left, and so
-recovers the paragraphs that only one version has. If cells remain, both
-sketches are made again at twice the size. After ``ATTEMPTS`` sizes the
-digests are compared as sets, which gives the same answer.
+A text's paragraphs (its lines, cut further after sentences, and every
+``PIECE`` characters where that leaves long ones; each counts once) are hashed
+to 64-bit digests. A sketch has three tables of cells; a digest goes to one
+cell of each, which keeps a count, the xor of digests and the xor of their
+check hashes; empty cells are not stored. A table is as wide as a power of two,
+so a sketch folds to any smaller width. The sketches of two versions, folded to
+one width, subtract cell by cell, which cancels all common paragraphs; peeling
+then takes digests out of cells that hold a single one until no cell is left,
+and so recovers the paragraphs that only one version has. If cells remain, both
+sketches are made again at twice the width, up to ``WIDEST``.
 
 Everything is DataFrame code on one row's arrays: cells are sorted and folded,
 so the work grows with the number of paragraphs times its logarithm.
@@ -21,21 +22,29 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import let
 from postmill.operators.ranges import range_bounds, range_bucket
+from postmill.session import materialise
 
 TABLES = 3
-ATTEMPTS = 6
 ROUNDS = 24
 LEAST_WIDTH = 4
+#: Longest uncut stretch of a paragraph without a break, and the pieces of a longer one.
+STRETCH, PIECE = 480, 240
+#: Ranges of ids for each shuffle partition, so that ranges that meet in one make little difference.
+RANGES = 6
 #: Bits of a digest that give its place in a table.
 PLACE_BITS = 21
+#: The last width tried: there, only digests that agree in all their place bits could remain.
+WIDEST = 1 << PLACE_BITS
 #: Where paragraphs end.
-BREAKS = r"[\n\r]+|(?<=[.!?])[ \t]+"
+BREAKS = r"[\n\r]+|(?<=[.!?])[ \t]+|(?<=[。！？؟।])"
 
 
 def paragraph_digests(text: Column) -> Column:
     """Distinct digests of a text's non-blank paragraphs, ascending; none for null."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda line: F.trim(line) != "")
-    return F.sort_array(F.array_distinct(F.transform(lines, lambda line: F.xxhash64(F.trim(line)))))
+    lines = F.split(F.coalesce(text, F.lit("")), BREAKS)
+    cut = F.transform(lines, lambda x: F.when(F.length(x) > STRETCH, F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array(x)))
+    worded = F.filter(F.flatten(cut), lambda x: F.trim(x) != "")
+    return F.sort_array(F.array_distinct(F.transform(worded, lambda x: F.xxhash64(F.trim(x)))))
 
 
 def table_width(n: Column) -> Column:
@@ -78,18 +87,24 @@ def signed_cells(digests: Column, sign: int, width: Column) -> Column:
 
 
 def sketch(digests: Column, width: Column) -> Column:
-    """Filled cells of a set of digests."""
+    """Filled cells of a set of digests, in order."""
     return fold(signed_cells(digests, 1, width))
 
 
-def subtracted(a: Column, b: Column, width: Column) -> Column:
-    """Cell by cell, the sketch of ``a`` less that of ``b``."""
-    return fold(F.concat(signed_cells(a, 1, width), signed_cells(b, -1, width)))
+def subtracted(a: Column, wide_a: Column, b: Column, wide_b: Column, width: Column) -> Column:
+    """Cell by cell, sketch ``a`` less sketch ``b``, both folded from their widths to ``width``."""
+
+    def narrowed(cells: Column, wide: Column, sign: int) -> Column:
+        place = lambda c: F.pmod(F.pmod(c["c"], wide), width) + F.floor(c["c"] / wide).cast("int") * width
+        return F.transform(cells, lambda c: F.struct(place(c).alias("c"), (c["n"] * sign).alias("n"), c["d"].alias("d"), c["h"].alias("h")))
+
+    return fold(F.concat(narrowed(a, wide_a, 1), narrowed(b, wide_b, -1)))
 
 
 def peel(cells: Column, width: Column) -> Column:
-    """(more, less, done): numbers of digests with positive and negative count, and whether no cell is left."""
-    state = F.struct(cells.alias("cells"), F.lit(0).alias("more"), F.lit(0).alias("less"), F.lit(True).alias("live"))
+    """(more, less, done): the digests with positive and with negative count, and whether no cell is left."""
+    none = F.array().cast("array<bigint>")
+    state = F.struct(cells.alias("cells"), none.alias("more"), none.alias("less"), F.lit(True).alias("live"))
 
     def turn(acc: Column, _: Column) -> Column:
         single = F.filter(acc["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["h"] == check_of(c["d"])))
@@ -98,10 +113,10 @@ def peel(cells: Column, width: Column) -> Column:
 
         def take(x: Column) -> Column:
             left = F.concat(acc["cells"], signed_cells(x["more"], -1, width), signed_cells(x["less"], 1, width))
-            more, less = F.size(x["more"]), F.size(x["less"])
+            live = F.size(x["more"]) + F.size(x["less"]) > 0
             return F.struct(
-                F.when(more + less > 0, fold(left)).otherwise(acc["cells"]).alias("cells"), (acc["more"] + more).alias("more"),
-                (acc["less"] + less).alias("less"), (more + less > 0).alias("live"),
+                F.when(live, fold(left)).otherwise(acc["cells"]).alias("cells"), F.concat(acc["more"], x["more"]).alias("more"),
+                F.concat(acc["less"], x["less"]).alias("less"), live.alias("live"),
             )
 
         return F.when(acc["live"] & (F.size(acc["cells"]) > 0), let(found, take)).otherwise(acc)
@@ -112,70 +127,60 @@ def peel(cells: Column, width: Column) -> Column:
     )
 
 
-def difference(a: Column, b: Column) -> Column:
-    """(more, less): numbers of digests that only ``a`` or only ``b`` holds, by peeling."""
-    start = table_width(F.size(a) + F.size(b))
-    init = F.struct(F.lit(0).alias("more"), F.lit(0).alias("less"), F.lit(False).alias("done"))
+def difference(a: Column, cells_a: Column, b: Column, cells_b: Column) -> Column:
+    """(more, less): the digests that only one of two texts holds, peeled from their sketches.
+
+    ``cells_a`` and ``cells_b`` are the sketches of the digests ``a`` and ``b``
+    at their own widths; ``a`` and ``b`` serve for larger ones, if peeling fails.
+    """
+    wide_a, wide_b = table_width(F.size(a)), table_width(F.size(b))
 
-    def attempt(acc: Column, k: Column) -> Column:
-        again = let(
-            (start * F.pow(F.lit(2), k)).cast("int"),
-            lambda width: peel(subtracted(a, b, width), width),
-        )
-        return F.when(acc["done"], acc).otherwise(again)
+    def widths(wide: Column) -> Column:
+        return F.filter(F.transform(F.sequence(F.lit(1), F.lit(PLACE_BITS)), lambda k: (wide * F.pow(F.lit(2), k)).cast("int")), lambda w: w <= WIDEST)
 
-    exact = F.struct(F.size(F.array_except(a, b)).alias("more"), F.size(F.array_except(b, a)).alias("less"), F.lit(True).alias("done"))
-    return let(
-        F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), init, attempt), lambda got: F.when(got["done"], got).otherwise(exact)
-    )
+    def attempt(acc: Column, width: Column) -> Column:
+        return F.when(acc["done"], acc).otherwise(peel(subtracted(sketch(a, width), width, sketch(b, width), width, width), width))
 
+    first = let(F.least(wide_a, wide_b), lambda width: peel(subtracted(cells_a, wide_a, cells_b, wide_b, width), width))
+    return let(first, lambda got: F.when(got["done"], got).otherwise(F.aggregate(widths(F.least(wide_a, wide_b)), got, attempt)))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Common share of two texts' paragraphs, from the peeled difference; 1 for two empty ones."""
-    return let(
-        difference(a, b),
-        lambda d: F.when(F.size(a) + d["less"] == 0, F.lit(1.0)).otherwise((F.size(a) - d["more"]) / (F.size(a) + d["less"])),
-    )
 
+def likeness(a: Column, cells_a: Column, b: Column, cells_b: Column) -> Column:
+    """Common share of two texts' paragraphs, from the digests peeled out of their sketches; 1 for two empty ones."""
 
-def fingerprint(digests: Column) -> Column:
+    def share(got: Column) -> Column:
+        more, less = F.size(got["more"]), F.size(got["less"])
+        return F.when(F.size(a) + less == 0, F.lit(1.0)).otherwise((F.size(a) - more) / (F.size(a) + less))
+
+    return let(difference(a, cells_a, b, cells_b), share)
+
+
+def fingerprint(digests: Column, cells: Column) -> Column:
     """A sketch as text: width, number of paragraphs and the filled cells in hexadecimal."""
     show = lambda c: F.concat_ws(".", F.hex(c["c"]), F.hex(c["n"]), F.hex(c["d"]), F.hex(c["h"]))
-    return let(
-        table_width(F.size(digests)),
-        lambda width: F.concat_ws(
-            ":", width.cast("string"), F.size(digests).cast("string"), F.array_join(F.transform(sketch(digests, width), show), ",")
-        ),
-    )
+    return F.concat_ws(":", table_width(F.size(digests)).cast("string"), F.size(digests).cast("string"), F.array_join(F.transform(cells, show), ","))
 
 
 def with_next(docs: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """Add ``next_`` + c for each of ``columns``: those of the following row by ``order``, the first row's after the last.
 
     ``order`` begins with an integer column. Rows are dealt into ranges of it;
-    inside a range a window finds the next row, and the first row of each
-    range, one row a range, is handed to the range before.
+    every range also gets the first row of the next one, and a window inside
+    the range finds the following row.
     """
     spark = docs.sparkSession
     lead = order[0]
-    bounds = range_bounds(docs, lead, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    dealt = docs.withColumn("__range", range_bucket(F.col(lead), bounds))
-    inside = Window.partitionBy("__range").orderBy(*order)
-    following = dealt.withColumn("__next", F.lead(F.struct(*columns)).over(inside))
-    firsts = dealt.groupBy("__range").agg(F.min(F.struct(*order, *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])).alias("f"))
-    known = firsts.select("__range", F.struct(*[F.col(f"f.__v{i}").alias(c) for i, c in enumerate(columns)]).alias("__first"))
-    ids = sorted(r["__range"] for r in dealt.select("__range").distinct().collect())
-    after = {r: ids[(i + 1) % len(ids)] for i, r in enumerate(ids)}
-    if not ids:
-        return docs.select(*docs.columns, *[F.col(c).alias(f"next_{c}") for c in columns])
-    pairs = spark.range(len(ids)).select(
-        F.element_at(F.array(*[F.lit(r) for r in ids]), (F.col("id") + 1).cast("int")).alias("__range"),
-        F.element_at(F.array(*[F.lit(after[r]) for r in ids]), (F.col("id") + 1).cast("int")).alias("__after"),
-    )
-    handed = pairs.join(known.withColumnRenamed("__range", "__after"), "__after").select("__range", "__first")
-    met = following.where("__next IS NULL").join(handed, "__range").withColumn("__next", F.col("__first")).drop("__first")
-    both = following.where("__next IS NOT NULL").unionByName(met)
-    return both.select(*docs.columns, *[F.col("__next")[c].alias(f"next_{c}") for c in columns])
+    bounds = range_bounds(docs, lead, RANGES * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    dealt = docs.withColumn("__range", range_bucket(F.col(lead), bounds)).withColumn("__guest", F.lit(0))
+    firsts = dealt.groupBy("__range").agg(F.min(F.struct(*order, *[F.col(c).alias(f"__v{i}") for i, c in enumerate(docs.columns)])).alias("f"))
+    firsts = materialise(firsts, "firsts")
+    ids = sorted(r["__range"] for r in firsts.select("__range").collect())
+    before = {r: ids[i - 1] for i, r in enumerate(ids)}
+    host = F.create_map(*[F.lit(x) for r, b in before.items() for x in (r, b)])[F.col("__range")] if ids else F.col("__range")
+    guests = firsts.select(*[F.col(f"f.__v{i}").alias(c) for i, c in enumerate(docs.columns)], host.alias("__range"), F.lit(1).alias("__guest"))
+    inside = Window.partitionBy("__range").orderBy("__guest", *order)
+    following = dealt.unionByName(guests).withColumn("__next", F.lead(F.struct(*columns)).over(inside)).where("__guest = 0")
+    return following.select(*docs.columns, *[F.col("__next")[c].alias(f"next_{c}") for c in columns])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -194,12 +199,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     joined = joined.select("doc_id", F.length("text").cast("long").alias("n_chars"), "parts", "next_parts", edited.alias("edited"))
     joined = joined.select("doc_id", "n_chars", "parts", "next_parts", F.sha2("edited", 256).alias("edited_sha256"), paragraph_digests(F.col("edited")).alias("edited_parts"))
-    return joined.select(
+    cells = [sketch(F.col(c), table_width(F.size(c))).alias(c.replace("parts", "cells")) for c in ("parts", "edited_parts", "next_parts")]
+    made = joined.select("*", *cells)
+    own = F.col("parts"), F.col("cells")
+    return made.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("parts")).alias("fingerprint"),
-        fingerprint(F.col("edited_parts")).alias("edited_fingerprint"),
-        likeness(F.col("parts"), F.col("edited_parts")).alias("near_edited"),
-        likeness(F.col("parts"), F.col("next_parts")).alias("near_next"),
+        fingerprint(*own).alias("fingerprint"),
+        fingerprint(F.col("edited_parts"), F.col("edited_cells")).alias("edited_fingerprint"),
+        likeness(*own, F.col("edited_parts"), F.col("edited_cells")).alias("near_edited"),
+        likeness(*own, F.col("next_parts"), F.col("next_cells")).alias("near_next"),
     )

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.llm import chat_format, chunk_dedup, decontaminate, fingerprint, jaccard_join, language, source_mix, token_file, toxicity, warc
 from postmill.llm.catalogue import QUERIES, TOKENIZER, op1_language_id, op2_toxicity, op3_token_files
@@ -317,7 +318,11 @@ def test_chat_round_trip(spark, sf):
 def test_fingerprints_equal_brute_force(spark, docs):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
-    parts = lambda t: {x.strip(" ") for x in re.split(fingerprint.BREAKS, t) if x.strip(" ")}
+
+    def parts(text):
+        pieces = [y for x in re.split(fingerprint.BREAKS, text) for y in (re.findall("(?s).{1,240}", x) if len(x) > 480 else [x])]
+        return {x.strip(" ") for x in pieces if x.strip(" ")}
+
     near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for i, (key, text) in enumerate(rows):
         after, half = rows[(i + 1) % len(rows)][1], len(text) // 2
@@ -331,6 +336,21 @@ def test_fingerprints_equal_brute_force(spark, docs):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_sketches_alone_decide_and_larger_ones_follow(spark, monkeypatch):
+    rows = spark.createDataFrame([(list(range(0, 900, 3)), list(range(0, 900, 2)))], "x array<bigint>, y array<bigint>")
+    rows = rows.select(*[F.sort_array(F.transform(c, lambda v: F.xxhash64(v))).alias(c) for c in "xy"])
+    x, y = (set(v) for v in rows.first())
+    for least in (4, 512):  # at 4 cells a table peeling fails, and wider sketches are made
+        monkeypatch.setattr(fingerprint, "table_width", lambda n, least=least: F.lit(least))
+        own = rows.select("x", "y", *[fingerprint.sketch(F.col(c), F.lit(least)).alias(f"cells_{c}") for c in "xy"])
+        got = own.select(fingerprint.difference(F.col("x"), F.col("cells_x"), F.col("y"), F.col("cells_y")).alias("d")).first().d
+        assert got.done and (set(got.more), set(got.less)) == (x - y, y - x)
+    other = own.select(fingerprint.difference(F.array(F.lit(5)).cast("array<bigint>"), F.col("cells_x"), F.array(F.lit(7)).cast("array<bigint>"), F.col("cells_y")).alias("d"))
+    assert set(other.first().d.more) == x - y  # from the cells, whatever the digests beside them
+    folded = own.select(fingerprint.subtracted(F.col("cells_x"), F.lit(512), fingerprint.sketch(F.col("y"), F.lit(2048)), F.lit(2048), F.lit(512)).alias("c"), fingerprint.subtracted(F.col("cells_x"), F.lit(512), F.col("cells_y"), F.lit(512), F.lit(512)).alias("d"))
+    assert folded.first().c == folded.first().d
+
+
 def test_fingerprints_of_odd_rows(odd, empty, spark):
     assert fingerprint.fingerprints(odd).count() == 7
     assert fingerprint.fingerprints(empty).count() == 0
