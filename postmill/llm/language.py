@@ -2,14 +2,16 @@
 
 Two texts are compared by the n-grams (n = 1 to 3, lower case, white space
 as one symbol) that both contain at least once. The presence kernel is
-normalised by the texts' own n-gram counts; a Nyström sample of labelled
-texts serves as landmarks, and one ridge regression for each language is
-fitted in the landmarks' kernel space. Scoring is one product of a batch's
-presence matrix with the landmarks' and one with the regressions' weights.
-
-Bounds (parameters): ``per_language`` training texts for each language,
-``landmarks`` of them as landmarks, ``columns`` n-grams that occur in
-landmarks, ``languages`` classes, the most frequent ones.
+normalised by the texts' own numbers of different n-grams; a Nyström sample of
+labelled texts serves as landmarks, and one ridge regression for each language
+is fitted in the landmarks' kernel space. Scoring is one product of a batch's
+sparse presence matrix with the landmarks' and one with the regressions'
+weights. All n-grams of a landmark take part; an n-gram is known by a hash of
+``HASH_BITS`` bits.
+
+Bounds (parameters): ``per_language`` training texts for each language, fewer
+where languages are so many that ``rows`` texts do not suffice, and two at
+least; ``landmarks`` of the texts as landmarks, one at least of each language.
 """
 
 from __future__ import annotations
@@ -26,18 +28,19 @@ from postmill.llm import kernels
 from postmill.llm.common import let_workers_import
 
 UNKNOWN = "und"
-HASH_BITS = 18
+HASH_BITS = 20
 ORDERS = (1, 2, 3)
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 BATCH = 256
+#: N-grams of one step of the sparse product.
+STEP_GRAMS = 1 << 15
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
-    column_of: np.ndarray  # n-gram hash -> column, 0 for n-grams of no landmark
-    columns: int
-    landmarks: np.ndarray  # columns x landmarks, normalised presence
+    column_of: np.ndarray  # n-gram hash -> row of landmarks, 0 for n-grams of no landmark
+    landmarks: np.ndarray  # n-grams x landmarks, normalised presence
     weights: np.ndarray  # landmarks x languages
 
 
@@ -54,55 +57,57 @@ def gram_hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
         yield total >> np.uint32(32 - HASH_BITS)
 
 
-def presence(texts: list[str], column_of: np.ndarray, columns: int) -> np.ndarray:
-    """One row per text: 1 where it holds an n-gram of the column."""
-    out = np.zeros((len(texts), columns), np.uint8)
-    for row, text in enumerate(texts):
+def presence(texts: list[str]) -> list[np.ndarray]:
+    """The hashes of the different n-grams of each text."""
+    out, seen = [], np.zeros(1 << HASH_BITS, bool)
+    for text in texts:
         codes = kernels.code_points(text.lower())
         for begin in range(0, len(codes), kernels.STEP_CHARS):  # whole texts, in bounded steps
             for hashes in gram_hashes(codes[begin : begin + kernels.STEP_CHARS + len(ORDERS) - 1]):
-                out[row][column_of[hashes]] = 1
-    out[:, 0] = 0
+                seen[hashes] = True
+        out.append(np.flatnonzero(seen))
+        seen[out[-1]] = False
     return out
 
 
-def unit_rows(rows: np.ndarray) -> np.ndarray:
-    rows = rows.astype(np.float32)
-    return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-
-
-def kernel(texts: list[str], model_columns: np.ndarray, columns: int, landmarks: np.ndarray) -> np.ndarray:
-    return unit_rows(presence(texts, model_columns, columns)) @ landmarks
+def kernel(texts: list[str], column_of: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Kernel values of texts against landmarks: for each text the sum of its n-grams' rows, by its norm."""
+    sets = presence(texts)
+    out = np.zeros((len(texts), landmarks.shape[1]), np.float32)
+    for begin, end in kernels.slices(sets, STEP_GRAMS):
+        part = sets[begin:end]
+        columns = [column_of[s] for s in part]
+        known = [c[c > 0] for c in columns]
+        filled = [i for i, c in enumerate(known) if len(c)]
+        if filled:
+            flat = np.concatenate([known[i] for i in filled])
+            first = np.cumsum([0] + [len(known[i]) for i in filled[:-1]])
+            norms = np.sqrt(np.array([len(part[i]) for i in filled], np.float32))
+            out[[begin + i for i in filled]] = np.add.reduceat(landmarks[flat], first, axis=0) / norms[:, None]
+    return out
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int, columns: int, ridge: float) -> LanguageModel:
+def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float) -> LanguageModel:
     """Fit on a bounded list of texts, in their given order."""
     names = sorted(set(langs))
     by_lang = {name: [i for i, x in enumerate(langs) if x == name] for name in names}
     share = max(1, landmarks // max(1, len(names)))
     chosen = [i for name in names for i in by_lang[name][:share]]
-    counts = np.zeros(1 << HASH_BITS, np.int32)
-    for i in chosen:
-        seen = np.zeros(1 << HASH_BITS, bool)
-        for hashes in gram_hashes(kernels.code_points(texts[i].lower())):
-            seen[hashes] = True
-        counts += seen
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    kept = order[: min(columns - 1, int((counts > 0).sum()))]
-    column_of = np.zeros(1 << HASH_BITS, np.uint16)
-    column_of[kept] = np.arange(1, len(kept) + 1, dtype=np.uint16)
-    width = len(kept) + 1
-    marks = unit_rows(presence([texts[i] for i in chosen], column_of, width)).T.copy()
+    sets = presence([texts[i] for i in chosen])
+    kept = np.unique(np.concatenate(sets))
+    column_of = np.zeros(1 << HASH_BITS, np.int32)
+    column_of[kept] = np.arange(1, len(kept) + 1)
+    marks = np.zeros((len(kept) + 1, len(chosen)), np.float32)
+    for k, own in enumerate(sets):
+        marks[column_of[own], k] = 1 / np.sqrt(max(1, len(own)))
     among = marks.T @ marks
-    to_marks = np.vstack(
-        [kernel(texts[i : i + BATCH], column_of, width, marks) for i in range(0, len(texts), BATCH)]
-    ).astype(np.float64)
+    to_marks = np.vstack([kernel(texts[i : i + BATCH], column_of, marks) for i in range(0, len(texts), BATCH)]).astype(np.float64)
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     balance = np.array([1.0 / len(by_lang[x]) for x in langs])[:, None]
     balance *= len(langs) / balance.sum()
     left = to_marks.T @ (to_marks * balance) + ridge * among + 1e-6 * np.eye(len(chosen))
     weights = np.linalg.solve(left, to_marks.T @ (target * balance))
-    return LanguageModel(names, column_of, width, marks, weights.astype(np.float32))
+    return LanguageModel(names, column_of, marks, weights.astype(np.float32))
 
 
 def predict(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarray]:
@@ -110,7 +115,7 @@ def predict(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarr
     names, scores = [], np.zeros(len(texts))
     for begin, end in ((i, min(i + BATCH, len(texts))) for i in range(0, len(texts), BATCH)):
         part = texts[begin:end]
-        margins = kernel(part, model.column_of, model.columns, model.landmarks) @ model.weights
+        margins = kernel(part, model.column_of, model.landmarks) @ model.weights
         best = margins.argmax(axis=1)
         known = np.array([kernels.has_letter(kernels.code_points(t)) for t in part])
         names += [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
@@ -119,23 +124,22 @@ def predict(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarr
     return names, scores
 
 
-def training_sample(docs: DataFrame, train: Column, per_language: int, languages: int) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``per_language`` x ``languages`` rows, by hash order."""
+def training_sample(docs: DataFrame, train: Column, per_language: int, rows: int) -> tuple[list[str], list[str]]:
+    """Texts and languages of at most ``per_language`` rows of each language, about ``rows`` in all, by hash order."""
     ranked = Window.partitionBy("lang").orderBy("__at", "doc_id")
-    usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = usable.select("lang").distinct().count()
+    most = max(2, min(per_language, rows // max(1, known)))
     ids = (
         usable.select("lang", "doc_id", F.xxhash64(F.col("doc_id"), F.lit(1)).alias("__at"))
-        .where(F.col("lang").isin(common))
         .withColumn("__rank", F.row_number().over(ranked))
-        .where(F.col("__rank") <= per_language)
+        .where(F.col("__rank") <= most)
         .select("doc_id")
         .collect()
     )
     picked = usable.where(F.col("doc_id").isin([r["doc_id"] for r in ids])).select("doc_id", "text", "lang")
-    rows = picked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").collect()
-    rows = [r for r in rows if kernels.has_letter(kernels.code_points(r["text"]))]
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    found = picked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").collect()
+    return [r["text"] for r in found], [r["lang"] for r in found]
 
 
 def identify_languages(
@@ -143,9 +147,8 @@ def identify_languages(
     train: Column,
     per_language: int = 150,
     landmarks: int = 128,
-    columns: int = 4096,
     ridge: float = 1e-2,
-    languages: int = 64,
+    rows: int = 12_000,
 ) -> DataFrame:
     """Predict the language of every row of ``docs`` (doc_id, text, lang, ...).
 
@@ -156,8 +159,8 @@ def identify_languages(
     texts get equal results, repeated rows stay, other columns are ignored.
     """
     let_workers_import(docs.sparkSession)
-    texts, langs = training_sample(docs, train, per_language, languages)
-    model = fit(texts, langs, landmarks, columns, ridge) if texts else None
+    texts, langs = training_sample(docs, train, per_language, rows)
+    model = fit(texts, langs, landmarks, ridge) if texts else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
