@@ -2,22 +2,28 @@
 
 A block of the format is a byte string::
 
-    b"EFTB"  u32 version  u64 documents  u64 ids  u32 low bits  u32 id bytes
-    low parts of the boundaries, packed, then upper parts in unary, then ids
+    b"EFTB"  u32 version  u64 documents  u64 ids  u32 id bytes  boundaries  ids
+
+    boundaries: u32 low bits  u32 numbers  u32 bytes of low and of upper parts
+    select directory  low parts, packed  upper parts in unary
 
 Boundaries are the running ends of the documents. The lower bits of each lie
 packed side by side; the upper bits are gaps in unary, so that the i-th set
-bit at position p stands for the value p - i. ``select`` finds that bit, which
-takes about 2 + log2(ids / documents) bits a document and no 64-bit table.
-
-Ids are little-endian, two bytes where the vocabulary allows. Document ids go
-through the same coder when they ascend and are plain integers otherwise. On
-disk the blocks are rows of a Parquet table, whose files every reader of the
-cluster can open: part, block, doc_ids, payload.
+bit at position p stands for the value p - i. The select directory holds the
+position of every ``SAMPLE``-th set bit, half a bit a document; offsets are
+found from there by looking at the bits of one sample. This takes about
+2.5 + log2(ids / documents) bits a document and no 64-bit table.
+
+Ids are little-endian, two bytes where the vocabulary allows. A block's
+document ids go through the same coder where they ascend from 0 or more, and
+are plain integers with a mask of nulls otherwise. On disk the blocks are rows
+of a Parquet table, whose files every reader of the cluster can open: part,
+block, doc_ids, payload.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -34,7 +40,10 @@ from postmill.llm.kernels import slices
 from postmill.session import fresh_path
 
 MAGIC, VERSION = b"EFTB", 1
-HEAD = struct.Struct("<4sIQQII")
+HEAD = struct.Struct("<4sIQQI")
+PARTS = struct.Struct("<IIII")
+#: Set bits for each entry of the select directory, and numbers read in one step.
+SAMPLE, STEP = 64, 4096
 BLOCK_IDS = 1 << 20
 END_ID = 0
 #: Characters encoded in one step, and documents' words compared with the memory.
@@ -48,70 +57,93 @@ SPAN_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 LONG_SPACE = re.compile(r"\s\s\s|\s\s\Z")
 
 
-def pack_boundaries(ends: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Low bits' width, packed low parts and unary upper parts of ascending numbers."""
-    n, universe = len(ends), int(ends[-1]) + 1 if len(ends) else 1
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Elias-Fano form of numbers from 0 that do not descend, with its select directory."""
+    n, universe = len(numbers), int(numbers[-1]) + 1 if len(numbers) else 1
     width = max(0, (universe // max(1, n)).bit_length() - 1)
-    ends = ends.astype(np.uint64)
-    low = ((ends[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    high = (ends >> np.uint64(width)).astype(np.int64) + np.arange(n)
+    numbers = numbers.astype(np.uint64)
+    low = ((numbers[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    high = (numbers >> np.uint64(width)).astype(np.int64) + np.arange(n)
     bits = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
     bits[high] = 1
-    return width, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes()
-
-
-class Boundaries:
-    """Random access to boundaries packed by :func:`pack_boundaries`."""
-
-    SAMPLE = 64
-
-    def __init__(self, n: int, width: int, low: bytes, high: bytes) -> None:
-        self.n, self.width = n, width
-        self.low = np.frombuffer(low, np.uint8)
-        self.high = np.frombuffer(high, np.uint8)
-        self.ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)))
-
-    def select(self, i: int) -> int:
-        """The i-th boundary, from 0."""
-        byte = int(np.searchsorted(self.ranks, i, side="right")) - 1
-        left, bits = i - int(self.ranks[byte]), int(self.high[byte])
-        for at in range(8):
-            if bits >> at & 1:
-                if not left:
-                    break
-                left -= 1
-        value = (8 * byte + at - i) << self.width
-        first = i * self.width
-        for k in range(self.width):
-            value |= int(self.low[(first + k) >> 3] >> ((first + k) & 7) & 1) << k
-        return value
-
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, count=self.n * self.width, bitorder="little").reshape(self.n, self.width)
-        low = bits.astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64)) if self.width else 0
-        return ((places - np.arange(self.n)) << self.width) + low
+    low_bytes, high_bytes = (np.packbits(x, bitorder="little").tobytes() for x in (low.ravel(), bits))
+    return PARTS.pack(width, n, len(low_bytes), len(high_bytes)) + high[::SAMPLE].astype("<u4").tobytes() + low_bytes + high_bytes
+
+
+class Numbers:
+    """Random access to numbers packed by :func:`pack_numbers`, through the select directory."""
+
+    def __init__(self, data: bytes, at: int = 0) -> None:
+        self.width, self.n, low, high = PARTS.unpack_from(data, at)
+        at += PARTS.size
+        samples = -(-self.n // SAMPLE)
+        self.directory = np.frombuffer(data, "<u4", samples, at)
+        self.low = np.frombuffer(data, np.uint8, low, at + 4 * samples)
+        self.high = np.frombuffer(data, np.uint8, high, at + 4 * samples + low)
+        self.end = at + 4 * samples + low + high
+
+    def select(self, first: int, last: int) -> np.ndarray:
+        """The numbers from ``first`` to before ``last``, from the bits between their samples."""
+        if last <= first:
+            return np.zeros(0, np.int64)
+        sample, upto = first // SAMPLE, (last - 1) // SAMPLE + 1
+        begin = int(self.directory[sample]) >> 3
+        end = (int(self.directory[upto]) >> 3) + 1 if upto < len(self.directory) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + 8 * begin
+        places = places[np.searchsorted(places, self.directory[sample]) :][first - sample * SAMPLE : last - sample * SAMPLE]
+        values = (places - np.arange(first, last)) << self.width
+        begin = first * self.width >> 3
+        bits = np.unpackbits(self.low[begin : (last * self.width + 7) >> 3], bitorder="little")[first * self.width - 8 * begin :]
+        bits = bits[: (last - first) * self.width].reshape(last - first, self.width)
+        return values + bits.astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64)) if self.width else values
+
+    def steps(self) -> Iterator[tuple[int, np.ndarray]]:
+        """All numbers in steps of bounded size, each with the place of its first."""
+        for first in range(0, self.n, STEP):
+            yield first, self.select(first, min(first + STEP, self.n))
+
+
+def pack_ids(ids: list[int | None]) -> bytes:
+    """A block's document ids."""
+    mask = np.array([i is None for i in ids], bool)
+    plain = np.array([0 if i is None else i for i in ids], "<i8")
+    if len(ids) and not mask.any() and plain[0] >= 0 and (plain[1:] >= plain[:-1]).all():
+        return b"\x01" + struct.pack("<q", plain[0]) + pack_numbers(plain - plain[0])
+    return b"\x00" + np.packbits(mask).tobytes() + plain.tobytes()
+
+
+def unpack_ids(data: bytes, first: int, last: int, n: int) -> pa.Array:
+    """The document ids from ``first`` to before ``last`` of a block of ``n``."""
+    if data[0]:
+        return pa.array(Numbers(data, 9).select(first, last) + struct.unpack_from("<q", data, 1)[0], pa.int64())
+    size = (n + 7) // 8
+    mask = np.unpackbits(np.frombuffer(data, np.uint8, size, 1), count=n).astype(bool)
+    return pa.array(np.frombuffer(data, "<i8", last - first, 1 + size + 8 * first), pa.int64(), mask=mask[first:last])
 
 
 def encode_block(arrays: list[np.ndarray], id_bytes: int) -> bytes:
     """One block of the given documents' ids."""
-    ends = np.cumsum([len(a) for a in arrays])
-    width, low, high = pack_boundaries(ends)
     ids = np.concatenate(arrays).astype("<u2" if id_bytes == 2 else "<u4") if arrays else np.zeros(0, "<u2")
-    head = HEAD.pack(MAGIC, VERSION, len(arrays), len(ids), width, id_bytes)
-    sizes = struct.pack("<II", len(low), len(high))
-    return head + sizes + low + high + ids.tobytes()
+    ends = np.cumsum([len(a) for a in arrays], dtype=np.int64)
+    return HEAD.pack(MAGIC, VERSION, len(arrays), len(ids), id_bytes) + pack_numbers(ends) + ids.tobytes()
 
 
-def decode_block(data: bytes) -> tuple[Boundaries, np.ndarray]:
+def decode_block(data: bytes) -> tuple[Numbers, np.ndarray]:
     """Boundaries and ids of a block."""
-    magic, version, docs, _, width, id_bytes = HEAD.unpack_from(data)
+    magic, version, _, n, id_bytes = HEAD.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token block")
-    low, high = struct.unpack_from("<II", data, HEAD.size)
-    at = HEAD.size + 8
-    bounds = Boundaries(docs, width, data[at : at + low], data[at + low : at + low + high])
-    return bounds, np.frombuffer(data, "<u2" if id_bytes == 2 else "<u4", offset=at + low + high)
+    bounds = Numbers(data, HEAD.size)
+    return bounds, np.frombuffer(data, "<u2" if id_bytes == 2 else "<u4", n, bounds.end)
+
+
+def splits_as_assumed(tokenizer) -> bool:
+    """Whether a tokenizer splits as :class:`Encoder` takes for granted."""
+    parts = json.loads(tokenizer.to_str())
+    split, model = parts["pre_tokenizer"] or {}, parts["model"]
+    plain = parts["normalizer"] is None and model["type"] == "BPE" and not (model.get("dropout") or model.get("ignore_merges"))
+    marked = any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix"))
+    return plain and not marked and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space")
 
 
 class Encoder:
@@ -123,7 +155,8 @@ class Encoder:
     space does not run on. So a batch is cut there by array operations, equal
     pieces are found by digest, and each different piece goes to the library
     once. Texts in which white space runs on, and those that hold the string
-    of a special token, go to the library whole.
+    of a special token, go to the library whole, and so do all texts where the
+    tokenizer file asks for another way of splitting.
     """
 
     TAIL = ".,!?;:"
@@ -133,6 +166,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.alone = not splits_as_assumed(self.tokenizer)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
@@ -164,7 +198,7 @@ class Encoder:
         return [flat[b:e] for b, e in zip([0, *ends], ends, strict=False)]
 
     def whole(self, text: str) -> bool:
-        return "\0" in text or any(s in text for s in self.specials) or bool(LONG_SPACE.search(text))
+        return self.alone or "\0" in text or any(s in text for s in self.specials) or bool(LONG_SPACE.search(text))
 
     def cuts(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where pieces begin."""
@@ -267,9 +301,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str) -> None:
         ids, arrays, count = [], [], 0
 
         def emit() -> pa.RecordBatch:
-            mask = np.array([i is None for i in ids])
-            plain = np.array([0 if i is None else i for i in ids], "<i8")
-            row = [part, number, len(ids), count, np.packbits(mask).tobytes() + plain.tobytes(), encode_block(arrays, size)]
+            row = [part, number, len(ids), count, pack_ids(ids), encode_block(arrays, size)]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             names = ["part", "block", "n_docs", "n_ids", "doc_ids", "payload"]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
@@ -318,16 +350,15 @@ def read_token_files(spark, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, raw, data in zip(*(batch.column(c) for c in ("first", "doc_ids", "payload")), strict=True):
+                keys = raw.as_py()
                 bounds, ids = decode_block(data.as_py())
-                ends = bounds.all()
-                begins = np.concatenate(([0], ends[:-1]))
-                wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[b:e].tobytes()) for b, e in zip(begins, ends, strict=True)]
-                mask_size = (bounds.n + 7) // 8
-                mask = np.unpackbits(np.frombuffer(raw.as_py(), np.uint8, mask_size), count=bounds.n).astype(bool)
-                keys = np.frombuffer(raw.as_py(), "<i8", offset=mask_size)
-                columns = [pa.array(keys, pa.int64(), mask=mask), begins + first.as_py(), ends - begins, np.array(crc, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                begin = 0
+                for at, ends in bounds.steps():
+                    begins = np.concatenate(([begin], ends[:-1]))
+                    crc = [zlib.crc32(ids[b:e].astype("<u4").tobytes()) for b, e in zip(begins, ends, strict=True)]
+                    columns = [unpack_ids(keys, at, at + len(ends), bounds.n), begins + first.as_py(), ends - begins, np.array(crc, np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    begin = int(ends[-1])
 
     return placed.select("first", "doc_ids", "payload").mapInArrow(documents, SPAN_SCHEMA)
 
