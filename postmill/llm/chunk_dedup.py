@@ -30,7 +30,7 @@ GEAR_SPAN = 16
 WINDOW = 64
 MIN_WORDS = 15
 GEAR = (kernels.mix(np.arange(0x10000, dtype=np.uint64) + np.uint64(0x51ED270B)) >> np.uint64(48)).astype(np.uint16)
-CHUNK_SCHEMA = "doc_id long, digest long, start long, end long, words int"
+CHUNK_SCHEMA = "doc_id long, row long, digest long, start long, end long, words int"
 
 
 def gear_hashes(codes: np.ndarray) -> np.ndarray:
@@ -73,25 +73,27 @@ def chunks_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(ids: list, parts: list) -> pa.RecordBatch:
+    def flush(ids: list, rows: list, parts: list) -> pa.RecordBatch:
         sizes = [len(p[0]) for p in parts]
-        keys = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))
+        each = pa.array(np.repeat(np.arange(len(ids)), sizes))
+        keys, owners = (pa.array(x, pa.int64()).take(each) for x in (ids, rows))
         digest, start, end, words = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        columns = [keys, pa.array(digest, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "start", "end", "words"])
+        columns = [keys, owners, pa.array(digest, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "start", "end", "words"])
 
     for batch in batches:
-        ids, parts, size = [], [], 0
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        ids, rows, parts, size = [], [], [], 0
+        for key, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
             if text:
                 ids.append(key)
+                rows.append(row)
                 parts.append(chunks_of(text))
                 size += len(parts[-1][0])
             if size > 100_000:
-                yield flush(ids, parts)
-                ids, parts, size = [], [], 0
+                yield flush(ids, rows, parts)
+                ids, rows, parts, size = [], [], [], 0
         if parts:
-            yield flush(ids, parts)
+            yield flush(ids, rows, parts)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -103,44 +105,52 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     neighbouring repeated chunks that are all first or all seen before, first
     in the same document. Passages that touch form a stretch, which needs
     ``min_words`` words; a passage of it may have fewer. A chunk that is first
-    is never in a passage that is not. Repeats inside a text count. Null and empty texts
-    have none; rows with equal doc_ids are taken as one text's, told apart by
-    their place only; other columns are ignored.
+    is never in a passage that is not. Repeats inside a text count. Null and
+    empty texts have none. Rows with equal doc_ids are versions of one document:
+    a chunk that they hold at the same place is no repeat, so repeated rows
+    count once, and each different text has passages of its own. Other columns
+    are ignored.
     """
+    return passages_of(docs, min_words).drop("row")
+
+
+def passages_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """The passages of :func:`repeated_passages` with the digest of their text as ``row``."""
     let_workers_import(docs.sparkSession)
-    chunks = docs.select("doc_id", "text").mapInArrow(chunk_rows, CHUNK_SCHEMA)
+    chunks = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(chunk_rows, CHUNK_SCHEMA)
     seen = (
         chunks.groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"))
-        .where("copies > 1")
+        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+        .where("first <> last")
         .select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start"))
     )
     repeats = chunks.join(seen, "digest").withColumn(
         "first_here", (F.col("first_id").eqNullSafe(F.col("doc_id"))) & (F.col("first_start") == F.col("start"))
     )
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    by_doc = Window.partitionBy("doc_id", "row").orderBy("start", "end")
+    repeats = repeats.withColumn("again", F.lag("start").over(by_doc).eqNullSafe(F.col("start"))).where("NOT again")
     # A stretch ends where a chunk is no repeat, a passage also where its chunks were first seen elsewhere.
     origin = F.struct("first_here", "first_id")
     runs = repeats.withColumn("opens", F.coalesce((F.lag("end").over(by_doc) < F.col("start")).cast("int"), F.lit(1)))
     runs = runs.withColumn("turns", F.when(F.lag(origin).over(by_doc).eqNullSafe(origin), F.col("opens")).otherwise(F.lit(1)))
     so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.withColumn("stretch", F.sum("opens").over(so_far)).withColumn("run", F.sum("turns").over(so_far))
-    passages = runs.groupBy("doc_id", "stretch", "run").agg(
+    passages = runs.groupBy("doc_id", "row", "stretch", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").cast("long").alias("n_words"),
         F.first("first_here").alias("is_first"),
         F.first("first_id").alias("first_doc_id"),
     )
-    whole = passages.withColumn("whole", F.sum("n_words").over(Window.partitionBy("doc_id", "stretch")))
+    whole = passages.withColumn("whole", F.sum("n_words").over(Window.partitionBy("doc_id", "row", "stretch")))
     return whole.where(F.col("whole") >= min_words).drop("stretch", "run", "whole")
 
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every passage that is not the first of its kind cut out of its text."""
-    later = repeated_passages(docs, min_words).where("NOT is_first")
-    spans = later.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    later = passages_of(docs, min_words).where("NOT is_first")
+    spans = later.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left")
     whole = F.array(F.struct(F.length("text").cast("long").alias("start"), F.lit(0).cast("long").alias("end")))
     gaps = F.aggregate(
         F.concat(F.col("__cut"), whole),
