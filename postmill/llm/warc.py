@@ -20,7 +20,6 @@ import io
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +36,11 @@ RECORD_SCHEMA = "record_id string, kind string, root string, abroad array<string
 HTTP_LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)")
 
 
-def base32_sha1(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(lambda t: base64.b32encode(hashlib.sha1((t or "").encode("utf-8", "surrogatepass")).digest()).decode())
+def base32_sha1(text: Column) -> Column:
+    """The SHA-1 of a text's bytes in upper-case base32: each five hexadecimal digits are four of base 32."""
+    digits = F.sha1(text)
+    parts = [F.lpad(F.conv(F.substring(digits, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def lines(*parts: Column) -> Column:
@@ -77,13 +78,11 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     html is empty, a null url is absent; of equal rows with the largest id
     all are responses; other columns are ignored.
     """
-    let_workers_import(pages.sparkSession)
-    sha = F.pandas_udf(base32_sha1, "string")
     html = F.coalesce("html", F.lit(""))
-    body = pages.select("page_id", F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), html.alias("html"), sha(html).alias("digest"))
+    body = pages.select("page_id", F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), html.alias("html"), base32_sha1(html).alias("digest"))
     owners = (
         pages.select("page_id", html.alias("html")).where(F.octet_length("html") >= revisit_from)
-        .select("page_id", sha("html").alias("owned")).groupBy("owned").agg(F.max("page_id").alias("owner"))
+        .select("page_id", base32_sha1(F.col("html")).alias("owned")).groupBy("owned").agg(F.max("page_id").alias("owner"))
     )
     joined = body.join(owners, body["digest"] == owners["owned"], "left")
     revisit = F.col("owner").isNotNull() & ((F.col("page_id") < F.col("owner")) | F.col("page_id").isNull()) & (F.octet_length("html") >= revisit_from)
@@ -105,7 +104,7 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
         ),
         record(
             "metadata", urn(F.lit("metadata"), F.col("row"), F.col("page_id"), F.col("digest")),
-            F.concat_ws(EOL, header("page-id", F.col("page_id").cast("string")), F.when(F.col("revisit"), header("refers-to-page", F.col("owner").cast("string")))),
+            F.coalesce(header("page-id", F.col("page_id").cast("string")), F.lit("")),
             "application/warc-fields", target, together,
         ),
     )
@@ -174,7 +173,6 @@ def parse_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 fields = dict((line + ": ").split(": ", 1) for line in block.decode("utf-8", "replace").split(EOL))
                 fields = {k: v.removesuffix(": ") for k, v in fields.items()}
                 row["page_id"] = int(fields["page-id"]) if "page-id" in fields else None
-                row["http_length"] = int(fields["refers-to-page"]) if "refers-to-page" in fields else None
             elif kind in ("response", "revisit"):
                 head, _, body = block.partition(b"\r\n\r\n")
                 found = HTTP_LENGTH.search(head)
@@ -202,7 +200,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
     Returns capture_id and the structs request (record_id, target), response
     (record_id, kind, digest, refers_to, http_length, payload_bytes,
-    payload_sha1) and metadata (record_id, page_id, refers_to_page). Records
+    payload_sha1) and metadata (record_id, page_id). Records
     that a chain of concurrent-to links ties, in whatever direction and
     through whatever files, are one capture; its id is that of a record they
     name, else its only record's own. A capture with a record missing has a null
@@ -224,7 +222,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return records.groupBy("capture_id").agg(
         pick(kind == "request", "record_id", "target").alias("request"),
         pick(kind.isin("response", "revisit"), "record_id", "kind", "digest", "refers_to", "http_length", "payload_bytes", "payload_sha1").alias("response"),
-        pick(kind == "metadata", "record_id", "page_id", F.col("http_length").alias("refers_to_page")).alias("metadata"),
+        pick(kind == "metadata", "record_id", "page_id").alias("metadata"),
     )
 
 
@@ -232,17 +230,25 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and summarise the captures read back.
 
     Returns page_id, payload_bytes, payload_digest, record_type and
-    refers_to. A response's size and digest are those of its stored payload; a
-    revisit stores no payload, so they are those its headers state.
+    refers_to. A revisit stores no payload: the response that its
+    WARC-Refers-To names gives the payload's size and digest and the page_id.
+    A named record that is in no archive leaves refers_to null, and size and
+    digest as the revisit's own headers state them.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archives(pages, path)
-    revisit = F.col("response.kind") == "revisit"
-    return read_captures(spark, path).select(
-        F.col("metadata.page_id").alias("page_id"),
-        F.when(revisit, F.col("response.http_length")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("response.digest")).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
-        F.col("response.kind").alias("record_type"),
-        F.col("metadata.refers_to_page").alias("refers_to"),
+    captures = materialise(read_captures(spark, path).select("response.*", "metadata.page_id"), "captures")
+    # Equal rows are responses with one id; which of them is named does not matter.
+    named = captures.where("kind = 'response'").groupBy(F.col("record_id").alias("named")).agg(
+        F.max("page_id").alias("refers"), F.max("payload_bytes").alias("bytes"), F.max("payload_sha1").alias("sha1")
+    )
+    met = captures.join(named, F.col("refers_to") == F.col("named"), "left")
+    revisit = F.col("kind") == "revisit"
+    return met.select(
+        "page_id",
+        F.when(revisit, F.coalesce("bytes", "http_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.coalesce("sha1", "digest")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.when(revisit, F.col("refers")).alias("refers_to"),
     )

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from postmill.llm import chunk_dedup, jaccard_join, kernels, token_file
+from postmill.llm import chunk_dedup, jaccard_join, kernels, language, token_file
 
 pytestmark = pytest.mark.filterwarnings("ignore")
 
@@ -15,25 +15,86 @@ def test_span_digests_do_not_depend_on_place():
     assert a == b != c
 
 
-@given(st.lists(st.integers(0, 5000), max_size=200))
-@settings(max_examples=50, deadline=None)
-def test_elias_fano_round_trip(sizes):
+@given(st.lists(st.integers(0, 5000), max_size=400), st.integers(0, 399), st.integers(0, 399))
+@settings(max_examples=80, deadline=None)
+def test_elias_fano_selects_any_range(sizes, first, last):
     ends = np.cumsum(np.array(sizes, np.int64)) if sizes else np.zeros(0, np.int64)
-    width, low, high = token_file.pack_boundaries(ends)
-    bounds = token_file.Boundaries(len(ends), width, low, high)
-    assert bounds.all().tolist() == ends.tolist()
-    assert [bounds.select(i) for i in range(len(ends))] == ends.tolist()
-    if len(sizes) > 20:
-        assert len(low) + len(high) < 8 * len(sizes)
+    data = b"ab" + token_file.pack_numbers(ends) + b"rest"
+    packed = token_file.Numbers(data, 2)
+    assert data[packed.end :] == b"rest" and packed.n == len(sizes)
+    first, last = min(first, len(sizes)), min(last, len(sizes))
+    assert packed.select(first, last).tolist() == ends[first:last].tolist()
+    assert [x for _, step in packed.steps() for x in step.tolist()] == ends.tolist()
+    if len(sizes) > 100:
+        assert packed.end - 2 < 3 * len(sizes)
+
+
+def test_select_goes_by_the_directory():
+    ends = np.cumsum(np.arange(5000) % 90)
+    packed = token_file.Numbers(token_file.pack_numbers(ends))
+    assert len(packed.directory) == -(-5000 // token_file.SAMPLE)
+    read = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, slice):
+                read.append(len(range(*at.indices(len(self)))))
+            return np.asarray(self)[at]
+
+    packed.high, packed.low = packed.high.view(Watched), packed.low.view(Watched)
+    assert packed.select(3000, 3001).tolist() == [ends[3000]] and max(read) < 100
+    packed.directory = np.zeros_like(packed.directory)
+    assert packed.select(3000, 3001).tolist() != [ends[3000]]
+
+
+@given(st.lists(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1)), min_size=1, max_size=30), st.booleans(), st.integers(0, 30), st.integers(0, 30))
+@settings(max_examples=80, deadline=None)
+def test_document_ids_of_a_block(ids, ascending, first, last):
+    if ascending:
+        ids = sorted(abs(i) >> 20 for i in ids if i is not None)
+    first, last = min(first, len(ids)), min(max(first, last), len(ids))
+    data = token_file.pack_ids(ids)
+    assert token_file.unpack_ids(data, first, last, len(ids)).to_pylist() == ids[first:last]
+    assert bool(data[0]) == bool(ids and None not in ids and ids[0] >= 0 and ids == sorted(ids))
 
 
 def test_block_round_trip():
     arrays = [np.array([5, 0]), np.array([0]), np.array([7, 8, 9, 0])]
     bounds, ids = token_file.decode_block(token_file.encode_block(arrays, 2))
-    assert bounds.all().tolist() == [2, 3, 7]
+    assert bounds.select(0, 3).tolist() == [2, 3, 7]
     assert ids.tolist() == [5, 0, 0, 7, 8, 9, 0]
 
 
+def test_other_tokenizers_are_left_to_the_library():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from postmill.llm.catalogue import TOKENIZER
+
+    assert token_file.splits_as_assumed(Tokenizer.from_file(TOKENIZER))
+    other = Tokenizer(models.BPE())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    assert not token_file.splits_as_assumed(other)
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    assert not token_file.splits_as_assumed(other)
+
+
+def test_presence_kernel_equals_a_double_loop():
+    texts = ["Ab a\tb", "abc", "", "the cat sat", "¡Ñandú! the  cat", "ab"]
+
+    def grams(text):
+        low = "".join(" " if c.isspace() else c for c in text.lower())
+        return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+    marks = [t for t in texts if t]
+    model = language.fit(marks, ["x", "y", "x", "y", "x"], 10, 1e-2)
+    got = language.kernel(texts, model.column_of, model.landmarks)
+    order = [t for name in ("x", "y") for t, lang in zip(marks, "xyxyx", strict=True) if lang == name]
+    for i, a in enumerate(texts):
+        for k, b in enumerate(order):
+            want = len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))) if a else 0
+            assert abs(got[i, k] - want) < 1e-5
+
+
 PARTS = ["a", "b ", " ", "  ", "\n", "\n\n", ".", ",", "'s", "'", "é", "²", "1", "\t", "　", "<|endoftext|>", "word", "!?", "\x00", "中", "́", "\x1c"]
 
 

@@ -45,6 +45,15 @@ def test_language_is_right_on_held_out_rows(spark, sf, docs):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    word = lambda i, k: "".join(chr(0x4E00 + 97 * i + (k * j) % 50) for j in range(1, 6))
+    rows = [(100 * i + k, " ".join(word(i, k + m) for m in range(9)), name, "s", "x") for i, name in enumerate(names) for k in range(6)]
+    got = language.identify_languages(spark.createDataFrame(rows, DOCS), F.lit(True)).collect()
+    assert {r.lang_pred for r in got} == set(names)
+    assert sum(r.lang_pred == names[r.doc_id // 100] for r in got) == len(rows)
+
+
 def test_language_of_odd_rows(odd, empty):
     got = language.identify_languages(odd, id_remainder("doc_id", 5) != 99).collect()
     assert len(got) == 7
@@ -140,6 +149,48 @@ def words_of(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
+def brute_passages(rows, min_words=15):
+    """Passages from each text's chunks by plain dictionaries; rows are (doc_id, text), each once."""
+    cut = [(key, text, list(zip(*(x.tolist() for x in chunk_dedup.chunks_of(text)), strict=True))) for key, text in rows if text]
+    places = collections.defaultdict(set)
+    for key, _, chunks in cut:
+        for digest, start, _, _ in chunks:
+            places[digest].add((key, start))
+    out = []
+    for key, _, chunks in cut:
+        stretches, last = [], None
+        for digest, start, end, n in chunks:
+            if len(places[digest]) > 1:
+                first = min(places[digest])
+                if last != start:
+                    stretches.append([])
+                stretches[-1].append((first == (key, start), first[0], start, end, n))
+                last = end
+        for stretch in stretches:
+            if sum(c[4] for c in stretch) >= min_words:
+                runs = [[stretch[0]]]
+                for c in stretch[1:]:
+                    runs[-1].append(c) if c[:2] == runs[-1][-1][:2] else runs.append([c])
+                out += [(key, r[0][2], r[-1][3], sum(c[4] for c in r), r[0][0], r[0][1]) for r in runs]
+    return sorted(out)
+
+
+def test_chunk_passages_equal_brute_force(spark, docs):
+    got = chunk_dedup.repeated_passages(docs).collect()
+    assert sorted(tuple(r) for r in got) == brute_passages({(r.doc_id, r.text) for r in docs.collect()})
+    assert len(got) > 20
+
+
+def test_repeated_rows_are_one_text(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    long = " ".join(f"some{i}" for i in range(60))
+    twice = spark.createDataFrame([(1, words, "en", "s", "x")] * 2, DOCS)
+    assert chunk_dedup.repeated_passages(twice).count() == 0
+    rows = spark.createDataFrame([(1, long, "en", "s", "x"), (1, long, "en", "s", "x"), (3, "and " + long, "en", "s", "y")], DOCS)
+    kept = {(r.doc_id, len(r.text.split())) for r in chunk_dedup.cut_repeats(rows).collect()}
+    assert (1, 60) in kept and max(n for d, n in kept if d == 3) < 25
+
+
 def test_decontamination_equals_brute_force(spark, docs, sf, odd, empty):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_hits(docs, bench).collect()}
