@@ -23,6 +23,7 @@ whole), ``clean_words`` words of clean texts, ``landmarks`` words.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -282,7 +283,7 @@ def scores(texts: list[str], model: ToxicityModel | None) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: Column, per_label: int, text_chars: int, landmarks: int, clean_words: int) -> ToxicityModel | None:
-    """Fit on a bounded sample of the labelled rows for which ``rows`` holds."""
+    """Fit on a bounded sample of the labelled rows for which ``rows`` holds, in one task."""
     usable = docs.select("doc_id", "text").where(rows & (F.length("text") <= text_chars))
     known = labels.where(F.col("toxic").isin(0, 1) & rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = []
@@ -290,8 +291,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, per_label: int, text
         mine = known.where(F.col("toxic") == label).join(usable.select("doc_id").distinct(), "doc_id")
         ids += [r["doc_id"] for r in mine.orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(per_label).collect()]
     picked = usable.where(F.col("doc_id").isin(ids)).join(F.broadcast(known.where(F.col("doc_id").isin(ids))), "doc_id")
-    found = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in picked.collect()), key=lambda x: (x[0], x[1]))
-    return fit([t for _, t, _ in found], [y for _, _, y in found], landmarks, clean_words)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((row for batch in batches for row in batch.itertuples(index=False, name=None)), key=lambda x: (x[0], x[1]))
+        model = fit([t for _, t, _ in rows], [int(y) for _, _, y in rows], landmarks, clean_words) if rows else None
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # The sample is bounded, so one task learns from it; the driver gets the table of weights.
+    found = picked.select("doc_id", "text", "toxic").coalesce(1).mapInPandas(learn, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
 
 
 def score_toxicity(
