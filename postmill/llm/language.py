@@ -28,12 +28,10 @@ from postmill.llm import kernels
 from postmill.llm.common import let_workers_import
 
 UNKNOWN = "und"
-HASH_BITS = 20
+HASH_BITS = 18
 ORDERS = (1, 2, 3)
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 BATCH = 256
-#: N-grams of one step of the sparse product.
-STEP_GRAMS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -72,18 +70,12 @@ def presence(texts: list[str]) -> list[np.ndarray]:
 
 def kernel(texts: list[str], column_of: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of texts against landmarks: for each text the sum of its n-grams' rows, by its norm."""
-    sets = presence(texts)
     out = np.zeros((len(texts), landmarks.shape[1]), np.float32)
-    for begin, end in kernels.slices(sets, STEP_GRAMS):
-        part = sets[begin:end]
-        columns = [column_of[s] for s in part]
-        known = [c[c > 0] for c in columns]
-        filled = [i for i, c in enumerate(known) if len(c)]
-        if filled:
-            flat = np.concatenate([known[i] for i in filled])
-            first = np.cumsum([0] + [len(known[i]) for i in filled[:-1]])
-            norms = np.sqrt(np.array([len(part[i]) for i in filled], np.float32))
-            out[[begin + i for i in filled]] = np.add.reduceat(landmarks[flat], first, axis=0) / norms[:, None]
+    ones = np.ones(len(column_of), np.float32)
+    for row, own in enumerate(presence(texts)):
+        known = column_of[own]
+        known = known[known > 0]
+        out[row] = ones[: len(known)] @ landmarks[known] / np.sqrt(np.float32(max(1, len(own))))
     return out
 
 
