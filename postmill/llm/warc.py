@@ -243,7 +243,8 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     named = captures.where("kind = 'response'").groupBy(F.col("record_id").alias("named")).agg(
         F.max("page_id").alias("refers"), F.max("payload_bytes").alias("bytes"), F.max("payload_sha1").alias("sha1")
     )
-    met = captures.join(named, F.col("refers_to") == F.col("named"), "left")
+    # A table of its own, so that Spark can split the join where one response is named very often.
+    met = captures.join(materialise(named, "responses"), F.col("refers_to") == F.col("named"), "left")
     revisit = F.col("kind") == "revisit"
     return met.select(
         "page_id",
