@@ -68,4 +68,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_source_mix, op7_jaccard_join, op8_chat_format, op9_fingerprints, op10_warc,
     )
 }
-ORACLE: dict[str, str] = {}
+
+
+def sql_escaped(expr: str) -> str:
+    for plain, written in chat_format.ESCAPES:
+        expr = f"replace({expr}, '{plain}', '{written}')"
+    return expr
+
+
+OP8_SQL = f"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+        9 + length({sql_escaped("role")}) + length({sql_escaped("text")}) AS written
+    FROM rows
+), summed AS (SELECT *, sum(written) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (sum(upto) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+OP10_SQL = """
+WITH digests AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+owners AS (SELECT hex, max(page_id) AS owner FROM digests GROUP BY hex),
+fives AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, 1 + 5 * i::INT, 5))::BIGINT) AS parts FROM digests JOIN owners USING (hex))
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((v >> b) & 31))::INT, 1)), '')), '') AS payload_digest,
+    CASE WHEN page_id < owner OR (page_id IS NULL AND owner IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < owner OR page_id IS NULL THEN owner END AS refers_to
+FROM fives
+"""
+#: The other operators hash with functions that SQL engines do not share, train models, or need a recursion over all pairs.
+ORACLE: dict[str, str] = {"op8_chat_format": OP8_SQL, "op10_warc": OP10_SQL}

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.llm import chat_format, chunk_dedup, decontaminate, fingerprint, jaccard_join, language, source_mix, token_file, toxicity, warc
-from postmill.llm.catalogue import QUERIES, TOKENIZER, op1_language_id, op2_toxicity, op3_token_files
+from postmill.llm.catalogue import ORACLE, QUERIES, TOKENIZER, op1_language_id, op2_toxicity, op3_token_files
 from postmill.llm.common import id_remainder
+from tests.oracle import connect, differences
 
 DOCS = "doc_id long, text string, lang string, source string, extra string"
 ODD = [(1, None, None, None, "x"), (2, "", "en", "s", None), (3, " \n ", None, "s", "x"), (3, " \n ", None, "s", "x"), (None, "a word", "en", None, "x"), (4, "1234 !?", "en", "s", "")]
@@ -442,5 +443,10 @@ def test_warc_of_other_writers(spark, tmp_path):
     assert {r.response.payload_sha1 for r in got} == {sha(t) for t in (b"one", b"two", b"three", b"four", b"five")}
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, sf, name):
+    assert differences(QUERIES[name](spark, sf), ORACLE[name], connect(sf)) == []
+
+
 def test_every_query_runs_and_numbers_are_complete(spark, sf):
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
