@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,13 @@ def build_session(master: str = "local[8]", app: str = "postmill", **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a temporary folder of this
-    machine is made and remembered in the session.
+    Only where a local session has none (tests) a temporary folder of this
+    machine is made and remembered in the session; on a cluster that is an error.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
