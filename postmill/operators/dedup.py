@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
-from postmill.operators.graph import connected_components
+from postmill.session import materialise
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -27,34 +24,30 @@ def by_content(docs: DataFrame, text: str = "text", order: str = "doc_id") -> Da
 def keep_unseen(rows: DataFrame, ordinal: str, url: str, fingerprint: str) -> DataFrame:
     """Drop a row whose url or fingerprint equals that of an earlier *kept* row.
 
-    Since dropped rows register nothing, this is a sequential choice, but only
-    among rows that are connected through equal values. Rows alone in their
-    component pass; the others are decided in ordinal order within theirs, on
-    their hashes alone, in batches of a sorted stream. Null values equal
-    nothing. ``ordinal`` must be unique.
+    Dropped rows register nothing, so the choice is sequential, but it can be
+    made in rounds: an undecided row that is the least of both its groups is
+    kept, since every earlier row of them is decided; the others of those groups
+    are dropped; the rest goes into the next round. Minima combine on the map
+    side and the joins are on keys that Spark can split, so neither a hot value
+    nor a large chain of equal values meets one task. The number of rounds is
+    the longest chain of choices that wait for each other. Null values equal
+    nothing; an empty table gives an empty result. ``ordinal`` must be unique
+    and not null.
     """
-    keyed = rows.select(ordinal, F.xxhash64(url).alias("u"), F.xxhash64(fingerprint).alias("f"), F.col(url).isNull().alias("nu"), F.col(fingerprint).isNull().alias("nf"))
-    keyed = keyed.select(ordinal, F.when(~F.col("nu"), F.col("u")).alias("u"), F.when(~F.col("nf"), F.col("f")).alias("f"))
-    firsts = [keyed.where(f"{c} IS NOT NULL").groupBy(c).agg(F.min(ordinal).alias("dst"), F.count("*").alias("n")).where("n > 1") for c in ("u", "f")]
-    edges = [keyed.join(first, c).select(F.col(ordinal).alias("src"), "dst") for c, first in zip(("u", "f"), firsts, strict=True)]
-    parts = connected_components(edges[0].union(edges[1]))
-    tied = keyed.join(parts, F.col(ordinal) == F.col("node")).select("component", F.col(ordinal).alias("o"), "u", "f")
-    ordered = tied.repartition("component").sortWithinPartitions("component", "o")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        component, urls, prints = None, set(), set()
-        for batch in batches:
-            dropped = []
-            for c, o, u, f in zip(batch["component"], batch["o"], batch["u"].astype("Int64"), batch["f"].astype("Int64"), strict=True):
-                if c != component:
-                    component, urls, prints = c, set(), set()
-                u, f = None if pd.isna(u) else u, None if pd.isna(f) else f
-                if u in urls or f in prints:
-                    dropped.append(o)
-                    continue
-                urls |= {u} - {None}
-                prints |= {f} - {None}
-            yield pd.DataFrame({"__gone": dropped}, dtype="int64")
-
-    gone = ordered.mapInPandas(fold, "__gone long")
-    return rows.join(gone, F.col(ordinal) == F.col("__gone"), "left_anti")
+    digest = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    undecided = materialise(rows.select(F.col(ordinal).alias("__o"), digest(url).alias("__u"), digest(fingerprint).alias("__f")), "unseen")
+    gone = undecided.where("false").select("__o")
+    while not undecided.isEmpty():
+        state = undecided
+        for key, low in (("__u", "__least_u"), ("__f", "__least_f")):
+            least = undecided.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("__o").alias(low))
+            state = state.join(least, key, "left")
+        first = (F.coalesce("__least_u", "__o") == F.col("__o")) & (F.coalesce("__least_f", "__o") == F.col("__o"))
+        state = materialise(state.select("__o", "__u", "__f", first.alias("__kept")), "unseen-round")
+        kept, rest = state.where("__kept"), state.where("NOT __kept").drop("__kept")
+        for key in ("__u", "__f"):  # a kept row is the only one of its group
+            rest = rest.join(kept.where(F.col(key).isNotNull()).select(key, F.lit(True).alias(f"{key}_seen")), key, "left")
+        rest = materialise(rest.withColumn("__drop", F.coalesce("__u_seen", "__f_seen", F.lit(False))), "unseen-rest")
+        gone = gone.union(rest.where("__drop").select("__o"))
+        undecided = rest.where("NOT __drop").select("__o", "__u", "__f")
+    return rows.join(gone, F.col(ordinal) == F.col("__o"), "left_anti")
