@@ -6,6 +6,8 @@ regular-expression engine.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,18 +65,25 @@ def summary(text: Column) -> Column:
     return F.substring(F.coalesce(joined, text), 1, 300)
 
 
+def lowered(text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the lower-case text, which is made once however often it is read."""
+    return F.element_at(F.transform(F.array(F.lower(text)), body), 1)
+
+
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """How many different keywords occur, without regard to case."""
-    low = F.lower(text)
-    return sum((F.contains(low, F.lit(k.lower())).cast("int") for k in keywords), F.lit(0))
+    """How many different keywords occur, without regard to case; null for null."""
+    if not keywords:
+        return F.lit(0)
+    words = F.array(*[F.lit(k.lower()) for k in keywords])
+    return lowered(text, lambda low: F.when(low.isNotNull(), F.size(F.filter(words, lambda k: F.contains(low, k)))))
 
 
 def has_any(text: Column, keywords: list[str]) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for k in keywords:
-        out = out | F.contains(low, F.lit(k.lower()))
-    return out
+    """Whether a keyword occurs, without regard to case; null for null."""
+    if not keywords:
+        return F.lit(False)
+    words = F.array(*[F.lit(k.lower()) for k in keywords])
+    return lowered(text, lambda low: F.exists(words, lambda k: F.contains(low, k)))
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
