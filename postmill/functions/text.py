@@ -118,6 +118,11 @@ def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("section"))
 
 
+def rank_of_folder(path: Column) -> Column:
+    """The number at the end of a folder named rank_N; null for other names."""
+    return F.regexp_extract(path, r"rank_(\d+)$", 1).try_cast("int")
+
+
 def chunks(text: Column, size: int) -> Column:
     """Slices of ``size`` characters; one empty slice for an empty text."""
     last = F.greatest(F.floor((F.length(text) - 1) / size), F.lit(0)).cast("int")

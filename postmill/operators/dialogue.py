@@ -101,3 +101,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> tuple[DataF
     known = target.select(*keys).distinct().withColumn("__old", F.lit(True))
     counts = source.join(known, keys, "left").agg(F.count_if(F.col("__old").isNull()).alias("created"), F.count_if(F.col("__old")).alias("updated"))
     return target.join(source, keys, "left_anti").unionByName(source), counts
+
+
+def first_intent(lists: Column) -> Column:
+    """The first element of the first list that is not empty; null if all are."""
+    return F.get(F.get(F.filter(lists, lambda x: F.size(x) > 0), F.lit(0)), F.lit(0))
+
+
+def oldest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The oldest row of each key, as a conversation's first ticket; minima combine on the map side."""
+    fields = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("r")).select(key, "r.*")
+
+
+def titled_by_error(conversations: DataFrame, errors: DataFrame, key: str) -> DataFrame:
+    """Conversations (key, title) whose empty titles become the first 128 characters of their error (key, message)."""
+    title = F.coalesce(F.nullif("title", F.lit("")), F.substring("message", 1, 128))
+    return conversations.join(errors.select(key, "message"), key, "left").withColumn("title", title).drop("message")

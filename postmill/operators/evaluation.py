@@ -217,3 +217,13 @@ def weighted_dimensions(rows: DataFrame, key: str, weights: dict[str, float]) ->
     """Weighted sum of dimension scores (key, dimension, score)."""
     weight = F.element_at(F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(w))]), F.col("dimension"))
     return rows.groupBy(key).agg(F.round(F.sum(F.col("score") * weight), 2).alias("overall"))
+
+
+def metric_value(report: Column, task: str, metric: str, default: float) -> Column:
+    """A task's metric in a report (JSON text with tasks), the default where it is missing or no number."""
+    return F.coalesce(F.get_json_object(report, f"$.tasks.{task}.{metric}").try_cast("double"), F.lit(default))
+
+
+def has_all_keys(json: Column, keys: list[str]) -> Column:
+    """Whether a JSON object has all the keys; false for anything else."""
+    return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, keys)), F.json_object_keys(json))) == 0, F.lit(False))

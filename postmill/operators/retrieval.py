@@ -32,7 +32,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Up to ``MOST_QUERIES`` queries are sent to every block of vectors; more
     are dealt into blocks of about that size, and each pair of a block of
     queries and one of vectors is a task. Each task keeps its own best k of a
-    query before anything is shuffled. Ties go to the smaller vec_id; a zero
+    query before anything is shuffled. Scores are not rounded before they are
+    ranked. Ties go to the smaller vec_id; a zero
     vector scores 0; fewer than k vectors give fewer rows.
     """
     n = queries.count()
@@ -40,7 +41,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select("query_id", normalised(F.col("embedding")).alias("q"))
     few = n <= MOST_QUERIES
     asked = F.broadcast(asked) if few else asked.repartition(-(-n // MOST_QUERIES)).hint("shuffle_replicate_nl")
-    scored = unit.join(asked).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    scored = unit.join(asked).select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # The limit on row_number moves below the exchange, so a task sends k rows of a query.
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def with_documents(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """Hits of a search (query_id, vec_id, score, rank) with the document of each; those without one are left out.
+
+    ``docs`` is joined after the best were chosen, so only k rows a query meet it.
+    """
+    return hits.join(docs, hits["vec_id"] == docs[key])
+
+
+def union_documents(first: DataFrame, second: DataFrame, ordinal: str) -> DataFrame:
+    """Both document sets as one, the second's ordinals (from 0) after the first's rows."""
+    return first.unionByName(second.withColumn(ordinal, F.col(ordinal) + F.lit(first.count())))
+
+
+def first_documents(docs: DataFrame, n: int, kind: str, ordinal: str) -> DataFrame:
+    """The first ``n`` rows in the order of kind and ordinal, a limit that callers ask for."""
+    return docs.orderBy(kind, ordinal).limit(n)

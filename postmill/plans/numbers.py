@@ -29,7 +29,7 @@ def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emb_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.top_k(table(spark, sf_dir, "embeddings"), label_means(spark, sf_dir), K)
-    return found.select("query_id", "rank", F.round("score", 3).alias("score"))
+    return found.select("query_id", "rank", "vec_id", F.round("score", 3).alias("score"))
 
 
 def emb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,12 @@ def emb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(rows, asked, K).select("query_id", "rank", "vec_id", F.round("score", 3).alias("score"))
 
 
+def emb_search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's hits with the documents of the same ids."""
+    hits = emb_search(spark, sf_dir)
+    return retrieval.with_documents(hits, table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("query_id", "rank", "doc_id", "lang")
+
+
 def emb_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(retrieval.norm(F.col("embedding"))), 3).alias("avg_norm"))
@@ -166,7 +172,7 @@ def star_no_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        emb_norms, emb_topk, emb_search, emb_label_counts, eval_scores, eval_gates, eval_running_best, eval_run_summary, eval_recommended, events_hourly, events_sliding,
+        emb_norms, emb_topk, emb_search, emb_search_docs, emb_label_counts, eval_scores, eval_gates, eval_running_best, eval_run_summary, eval_recommended, events_hourly, events_sliding,
         events_sessions, events_props, events_last_error, star_pricing_summary, star_region_revenue, star_rollup, star_top_orders, star_no_orders,
     )
 }
@@ -178,14 +184,19 @@ ORACLE = {
     "emb_topk": """
         WITH e AS (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
         q AS (SELECT label, list(x ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS x FROM e GROUP BY label, i) GROUP BY label),
-        s AS (SELECT q.label AS query_id, vec_id, round(list_cosine_similarity(q.q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings),
+        s AS (SELECT q.label AS query_id, vec_id, list_cosine_similarity(q.q, embedding::DOUBLE[]) AS score FROM q, embeddings),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-        SELECT query_id, rank::INT AS rank, round(score, 3) AS score FROM r WHERE rank <= 5""",
+        SELECT query_id, rank::INT AS rank, vec_id, round(score, 3) AS score FROM r WHERE rank <= 5""",
     "emb_search": f"""
-        WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+        WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
             FROM embeddings q, embeddings e WHERE q.vec_id % {QUERY_STEP} = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INT AS rank, vec_id, round(score, 3) AS score FROM r WHERE rank <= {K}""",
+    "emb_search_docs": f"""
+        WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
+            FROM embeddings q, embeddings e WHERE q.vec_id % {QUERY_STEP} = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, doc_id, lang FROM r JOIN documents ON doc_id = vec_id WHERE rank <= {K}""",
     "emb_label_counts": f"SELECT label, count(*) AS n, round(avg({NORM}), 3) AS avg_norm FROM embeddings GROUP BY label",
     "eval_scores": f"SELECT run, round(2 * {OF('format', 'json_valid_rate')} + 1.5 * {OF('format', 'json_required_keys_rate')} + 0.15 * {OF('postal', 'avg_postal_term_hits')} + 0.2 * {OF('postal', 'avg_next_step_hits')} - 3 * {OF('safety', 'risk_rate')} - 2 * coalesce(max(postal_pollution_rate), 0), 6) AS score, coalesce(max(postal_pollution_rate), 0) AS max_pollution FROM {values(RUNS, RUN_SCHEMA)} GROUP BY run",
     "eval_gates": f"""

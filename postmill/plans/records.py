@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from postmill.functions import prompts as P
 from postmill.functions import text as T
-from postmill.operators import crawl, dialogue, evaluation, fetching, links, markdown, policy, reporting, subtitles
+from postmill.operators import crawl, dialogue, evaluation, fetching, links, markdown, policy, reporting, retrieval, subtitles
 from postmill.plans.common import sql_collapse, sql_entities, table
 from postmill.plans.services import STRIPPED
 from postmill.session import fresh_path
 from postmill.sources import adapters, readers, sinks
 
+FIRST = 50
 DOMAINS = ["example.com", "m.example.net"]
 REPLY = "1: eins\n2：zwei\nno number"
 BATCH = 3
@@ -81,6 +82,36 @@ def docs_field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.field_profile(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def both_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.lit("a").alias("kind"), F.col("doc_id").alias("ord"), F.md5("text").alias("text_md5"))
+    items = table(spark, sf_dir, "benchmark").select(F.lit("b").alias("kind"), F.col("item_id").alias("ord"), F.md5("text").alias("text_md5"))
+    return retrieval.union_documents(docs, items, "ord")
+
+
+def docs_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return both_documents(spark, sf_dir)
+
+
+def docs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.first_documents(both_documents(spark, sf_dir), FIRST, "kind", "ord")
+
+
+def docs_first_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return table(spark, sf_dir, "documents").select("doc_id", dialogue.first_intent(F.array(none, F.array("lang", "source"), F.array("source"))).alias("intent"))
+
+
+def labels_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = F.to_json(F.struct(F.struct(F.struct(F.col("quality").alias("json_valid_rate"), F.lit("n/a").alias("risk_rate")).alias("format")).alias("tasks")))
+    of = lambda task, metric: evaluation.metric_value(report, task, metric, -1.0)
+    return table(spark, sf_dir, "labels").select("doc_id", of("format", "json_valid_rate").alias("valid"), of("format", "risk_rate").alias("odd"), of("safety", "risk_rate").alias("absent"))
+
+
+def pages_rank_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.concat(F.lit("runs/rank_"), text_id("page_id"))
+    return table(spark, sf_dir, "pages").select("page_id", T.rank_of_folder(folder).alias("rank"), T.rank_of_folder(F.concat(folder, F.lit("/x"))).alias("other"))
+
+
 def labels_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select("doc_id", F.expr("stack(2, 'quality', quality * 100.0D, 'toxic', toxic * 100.0D) as (dimension, score)"))
     return evaluation.weighted_dimensions(rows, "doc_id", WEIGHTS)
@@ -218,6 +249,19 @@ def conv_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("id", F.md5("content").alias("content_md5"))
 
 
+def conv_oldest_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dialogue.oldest(messages_of(spark, sf_dir).where("role = 'assistant'"), "conversation_id", ["created_at", "id"])
+    return found.select("conversation_id", "id", F.md5("content").alias("content_md5"))
+
+
+def conv_error_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of conversations, every second one without; the newest user message stands for the error."""
+    rows = conversations(spark, sf_dir)
+    title = F.when(F.col("conv_id") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("no "), text_id("conv_id")))
+    errors = dialogue.last_message(rows, "user").select("conv_id", F.col("text").alias("message"))
+    return dialogue.titled_by_error(rows.select("conv_id", title.alias("title")).distinct(), errors, "conv_id")
+
+
 def citations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every answer cites itself for the message before it, scored by its length."""
     answers = messages_of(spark, sf_dir).where("role = 'assistant'")
@@ -317,6 +361,13 @@ def events_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_props_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.col("props")
+    return table(spark, sf_dir, "events").select(
+        "event_id", evaluation.has_all_keys(props, ["k"]).alias("has_k"), evaluation.has_all_keys(props, ["k", "x"]).alias("has_both"), evaluation.has_all_keys(F.col("event_type"), ["k"]).alias("is_object")
+    )
+
+
 def events_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.status_counts(table(spark, sf_dir, "events"), STATUSES, "event_type")
 
@@ -341,6 +392,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         docs_dates, docs_norms, docs_unfenced, docs_prefer_labels, docs_labels_aligned, docs_not_labelled, docs_label_upsert, docs_upsert_counts, docs_category_counts, docs_field_profile,
+        docs_union, docs_first, docs_first_intent, labels_metric, pages_rank_folder, conv_oldest_answer, conv_error_titles, events_props_keys,
         labels_weighted, labels_report_values, pages_pdf_title, pages_headers, pages_decoded, pages_allowed, pages_fetch_log, pages_jsonl, pages_raw_or_preview, pages_crawl_report,
         conv_markdown_sections, conv_markdown_records, conv_srt_entries, conv_srt_batches, conv_srt_translated, conv_srt_split, conv_srt_chinese, conv_first_two, conv_retry, conv_citations,
         conv_newest_citation, conv_qa_examples, conv_identity, conv_answer_part, conv_faq, conv_record_metrics, conv_task_metrics, events_clock, events_status_counts, events_running_best, events_run_summary,
@@ -395,6 +447,7 @@ RECORDS = f"""
         CASE WHEN k = 1 THEN NOT contains(question, '快递') END AS postal_pollution, CASE WHEN k = 3 THEN true END AS exact_match, CASE WHEN k = 3 THEN 1.0 END::DOUBLE AS rouge_l_f1
     FROM (SELECT *, ((conv_id + turn) % 4)::INT AS k, {sql_collapse("answer")} AS normal FROM {PAIRS})"""
 STEPS = "(SELECT event_type AS run, user_id AS step, value AS score, value < 2 AS gated FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id DESC) = 1)"
+UNION = "SELECT 'a' AS kind, doc_id AS ord, md5(text) AS text_md5 FROM documents UNION ALL SELECT 'b', item_id + (SELECT count(*) FROM documents), md5(text) FROM benchmark"
 ORACLE = {
     "docs_dates": r"SELECT doc_id, coalesce(nullif(regexp_extract(text, '(20\d{2}[-/年]\d{1,2}[-/月]\d{1,2}日?)', 1), ''), regexp_extract(text, '(20\d{2}\.\d{1,2}\.\d{1,2})', 1)) AS published_at FROM documents",
     "docs_norms": f"SELECT doc_id, md5(lower(regexp_replace(text, '[\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+', '', 'g'))) AS norm_md5, {sql_slug(f'split_part(text, {NL}, 1)')} AS slug FROM documents",
@@ -408,6 +461,14 @@ ORACLE = {
     "docs_field_profile": """
         SELECT p::INT AS place, field, CASE WHEN missing THEN 'NoneType' ELSE kind END AS kind FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 1),
             LATERAL (VALUES (0, 'doc_id', 'int', doc_id IS NULL), (1, 'text', 'str', text IS NULL), (2, 'lang', 'str', lang IS NULL), (3, 'source', 'str', source IS NULL), (4, 'n_chars', 'int', n_chars IS NULL)) AS v(p, field, kind, missing)""",
+    "docs_union": UNION,
+    "docs_first": f"{UNION} ORDER BY kind, ord LIMIT {FIRST}",
+    "docs_first_intent": "SELECT doc_id, lang AS intent FROM documents",
+    "labels_metric": "SELECT doc_id, coalesce(quality::DOUBLE, -1) AS valid, -1::DOUBLE AS odd, -1::DOUBLE AS absent FROM labels",
+    "pages_rank_folder": "SELECT page_id, page_id::INT AS rank, NULL::INT AS other FROM pages",
+    "conv_oldest_answer": f"SELECT conv_id AS conversation_id, min(id) AS id, md5(min_by(content, id)) AS content_md5 FROM {MESSAGES} WHERE role = 'assistant' GROUP BY conv_id",
+    "conv_error_titles": "SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN substr(max_by(text, turn) FILTER (role = 'user'), 1, 128) ELSE 'no ' || conv_id END AS title FROM conversations GROUP BY conv_id",
+    "events_props_keys": "SELECT event_id, list_contains(json_keys(props), 'k') AS has_k, list_contains(json_keys(props), 'k') AND list_contains(json_keys(props), 'x') AS has_both, false AS is_object FROM events",
     "labels_weighted": f"SELECT doc_id, round(quality * 100 * {WEIGHTS['quality']}::DOUBLE + toxic * 100 * {WEIGHTS['toxic']}::DOUBLE, 2) AS overall FROM labels",
     "labels_report_values": "SELECT doc_id, CASE quality WHEN 1 THEN '是' ELSE '否' END AS good, printf('%.3f', quality / 3.0::DOUBLE) AS third, CASE WHEN toxic <> 0 THEN toxic::VARCHAR ELSE '无' END AS toxic FROM labels",
     "pages_pdf_title": f"SELECT page_id, coalesce(nullif({sql_entities("string_split(regexp_replace(split_part(url, '?', 1), '/+$', ''), '/')[-1]")}, ''), 'Example PDF') AS title FROM pages",
