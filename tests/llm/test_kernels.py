@@ -1,4 +1,7 @@
+import collections
+
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,9 +110,47 @@ def test_encoder_equals_the_library(texts):
     assert [x.tolist() for x in coder.batch(texts)] == [x.tolist() for x in coder.library(texts)]
 
 
-def test_prefix_depth_reaches_the_target():
-    depth = jaccard_join.prefix_depth(0.8, 40, 0.999)
-    assert 1 - (1 - 0.8**depth) ** 40 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 40
+def test_matched_prefix_is_shortened_to_the_target():
+    steps = jaccard_join.SIMILARITY_STEPS
+    lower = lambda k: np.array([0.8 + 0.2 * k / steps])
+    weak, close = np.zeros((5000, steps)), np.zeros((5000, steps))
+    weak[:, 0], close[:, 36] = 3, 3
+    depths = [jaccard_join.matched_prefix(x) for x in (np.zeros((0, steps)), weak, close)]
+    assert depths[0] == depths[1] < depths[2]
+    assert jaccard_join.recall_at(depths[1], lower(0))[0] >= jaccard_join.TARGET_RECALL > jaccard_join.recall_at(depths[1] + 1, lower(0))[0]
+    close[:100, 0], close[:100, 36] = 3, 0  # some links near the threshold shorten the prefix
+    assert depths[1] < jaccard_join.matched_prefix(close) < depths[2]
+
+
+def test_counted_links_equal_brute_force():
+    rng = np.random.RandomState(8)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(words[:k] + [f"x{rng.randint(9)}"] + words[k:]) for k in rng.randint(0, 150, 60)] + ["", "a b", "a b"]
+    sets = jaccard_join.shingle_sets(texts)
+    sample = list({s.tobytes(): s for s in sets if len(s)}.values())[:20]
+    want = collections.Counter()
+    for i, a in enumerate(sample):
+        for b in sets:
+            both = len(np.intersect1d(a, b))
+            alike = both / max(1, len(a) + len(b) - both)
+            if 0.8 <= alike < 1:
+                want[i, int((alike - 0.8) / 0.2 * jaccard_join.SIMILARITY_STEPS + 1e-6)] += 1
+    got = collections.Counter()
+    for frame in jaccard_join.count_links(sample)(iter([pd.DataFrame({"text": [*texts, None]})])):
+        for i, row in zip(frame["sampled"], frame["counts"], strict=True):
+            got.update({(i, k): n for k, n in enumerate(row) if n})
+    assert got == want and want
+
+
+def test_trees_find_links_near_the_threshold():
+    rng = np.random.RandomState(9)
+    weak = np.zeros((50, jaccard_join.SIMILARITY_STEPS))
+    weak[:, 0] = 1
+    depth = jaccard_join.matched_prefix(weak)
+    pairs = [np.unique(rng.randint(0, 1 << 62, 110).astype(np.uint64)) for _ in range(300)]
+    near = [(s[:99], s[10:]) for s in pairs]  # 89 of 110 are shared
+    left, right = (jaccard_join.node_keys([pair[k] for pair in near], depth) for k in range(2))
+    assert (left == right).any(axis=1).mean() >= 0.99
 
 
 def test_shingle_sets():
