@@ -35,6 +35,7 @@ empty table has no rows.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,8 +50,9 @@ from postmill.session import materialise
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-#: Counters of a task's tries before they are written out.
-TRIE_COUNTERS = 1 << 19
+#: Counters of a task's tries before they are written out, words that wait to be counted, and rows of a batch of leaves.
+TRIE_COUNTERS, WAITING_WORDS, LEAF_ROWS = 1 << 20, 1 << 20, 1 << 14
+DOCUMENTS = None
 CHUNK_TERMS, CHUNK_COUNTERS = 4096, 1 << 16
 BLOCK_SOURCES = 256
 #: Buckets of a language's chunks; a language may hold a third of all chunks and more.
@@ -62,55 +64,68 @@ FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in LETTERS else 32 for b
 
 
 class Trie:
-    """A radix trie over bytes whose leaves count documents and occurrences by source.
+    """A radix trie over bytes whose leaves count documents, and occurrences by source.
 
-    A node is ``[label, children by first byte, leaf or None]``; a leaf is
-    ``[documents, {source: occurrences}]``.
+    An inner node has a child for each next byte and one for the end of a term;
+    below them a container holds the remaining labels of up to ``BURST`` leaves
+    and becomes an inner node beyond that. A leaf maps sources to occurrences,
+    and ``DOCUMENTS`` to the number of documents.
     """
 
+    BURST = 2048
+    END = 256
+
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
+        self.root: list | dict = {}
         self.counters = 0
 
-    def leaf(self, term: bytes) -> list:
+    def leaf(self, term: bytes) -> dict:
         """The leaf of a term, made if it is new."""
-        node, rest = self.root, term
-        while rest:
-            child = node[1].get(rest[0])
-            if child is None:
-                child = node[1][rest[0]] = [rest, {}, None]
-                rest = b""
-            else:
-                label = child[0]
-                if not rest.startswith(label):
-                    same = next(i for i, (a, b) in enumerate(zip(label, rest + b"\0" * len(label), strict=False)) if a != b or i >= len(rest))
-                    upper = node[1][rest[0]] = [label[:same], {label[same]: child}, None]
-                    child[0], child = label[same:], upper
-                rest = rest[len(child[0]) :]
-            node = child
-        if node[2] is None:
-            node[2] = [0, {}]
-        return node[2]
+        node, above, at, i = self.root, None, 0, 0
+        while type(node) is list:
+            above, at = node, term[i] if i < len(term) else self.END
+            node = above[at]
+            i += 1
+            if node is None:
+                node = above[at] = {}
+        rest = term[i:]
+        found = node.get(rest)
+        if found is None:
+            found = node[rest] = {DOCUMENTS: 0}
+            if len(node) > self.BURST:
+                parted: list = [None] * 257
+                for label, leaf in node.items():
+                    slot = label[0] if label else self.END
+                    if parted[slot] is None:
+                        parted[slot] = {}
+                    parted[slot][label[1:]] = leaf
+                if above is None:
+                    self.root = parted
+                else:
+                    above[at] = parted
+        return found
 
     def add(self, term: bytes, documents: int, occurrences: dict[str, int]) -> None:
         """Count a term, or merge another trie's leaf."""
         leaf = self.leaf(term)
-        leaf[0] += documents
-        own = leaf[1]
-        before = len(own)
+        before = len(leaf)
+        leaf[DOCUMENTS] += documents
         for source, n in occurrences.items():
-            own[source] = own.get(source, 0) + n
-        self.counters += len(own) - before
+            leaf[source] = leaf.get(source, 0) + n
+        self.counters += len(leaf) - before
 
-    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """Terms in the order of their bytes, with documents and occurrences."""
-        stack = [(b"", self.root)]
+    def walk(self) -> Iterator[tuple[bytes, dict]]:
+        """Terms in the order of their bytes, with their leaves."""
+        stack: list[tuple[bytes, list | dict]] = [(b"", self.root)]
         while stack:
             above, node = stack.pop()
-            term = above + node[0]
-            if node[2] is not None:
-                yield term, node[2][0], node[2][1]
-            stack += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
+            if type(node) is list:
+                if node[self.END]:
+                    yield above, node[self.END][b""]
+                stack += [(above + bytes([k]), node[k]) for k in range(255, -1, -1) if node[k] is not None]
+            else:
+                for label in sorted(node):
+                    yield above + label, node[label]
 
 
 LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("documents", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
@@ -118,40 +133,50 @@ LEAF_DDL = "lang string, term binary, documents long, sources array<string>, cou
 
 
 def leaves(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
+    """The leaves of tries as rows, in order."""
     for lang, trie in tries.items():
-        for term, documents, own in trie.walk():
-            rows.append((lang, term, documents, list(own), list(own.values())))
-            if len(rows) == CHUNK_TERMS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), LEAF.types, strict=True)], schema=LEAF)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), LEAF.types, strict=True)], schema=LEAF)
-
-
-def pour(groups: dict[tuple[str, str], tuple[Counter, Counter]], tries: dict[str, Trie]) -> None:
-    """Move what was counted by (lang, source) into the languages' tries."""
-    for (lang, source), (said, held) in groups.items():
-        trie = tries.setdefault(lang, Trie())
+        walk = trie.walk()
+        while some := list(itertools.islice(walk, LEAF_ROWS)):
+            documents = [leaf.pop(DOCUMENTS) for _, leaf in some]
+            offsets = pa.array(np.cumsum([0, *(len(leaf) for _, leaf in some)]), pa.int32())
+            sources = pa.array(list(itertools.chain.from_iterable(leaf for _, leaf in some)), pa.string())
+            counts = pa.array(list(itertools.chain.from_iterable(leaf.values() for _, leaf in some)), pa.int64())
+            columns = [pa.array([lang] * len(some)), pa.array([t for t, _ in some], pa.binary()), pa.array(documents, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, counts)], schema=LEAF)
+
+
+def pour(groups: dict[tuple[str, str], list[list[bytes]]], tries: dict[str, Trie]) -> None:
+    """Count the words of rows, listed by (lang, source), in the languages' tries; a leaf is looked up once for all sources."""
+    found: dict[str, dict[bytes, dict]] = {}
+    for (lang, source), texts in groups.items():
+        trie, known = tries.setdefault(lang, Trie()), found.setdefault(lang, {})
+        held = Counter(itertools.chain.from_iterable(map(set, texts)))
+        said = Counter(itertools.chain.from_iterable(texts))
         for term, n in said.items():
-            trie.add(term, held[term], {source: n})
+            leaf = known.get(term)
+            if leaf is None:
+                leaf = known[term] = trie.leaf(term)
+            leaf[DOCUMENTS] += held[term]
+            if source in leaf:
+                leaf[source] += n
+            else:
+                leaf[source] = n
+                trie.counters += 1
+        trie.add(b"", len(texts), {source: 0})
     groups.clear()
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves of the tries of one task's rows (lang, source, text)."""
     tries: dict[str, Trie] = {}
-    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    groups: dict[tuple[str, str], list[list[bytes]]] = {}
     waiting = 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            said, held = groups.setdefault((lang, source), (Counter(), Counter()))
-            own = Counter(text.translate(FOLD).split() if text else ())
-            own[b""] = 0
-            said.update(own)
-            held.update(own.keys())
-            waiting += len(own)
-            if waiting >= TRIE_COUNTERS:
+            words = text.translate(FOLD).split() if text else []
+            groups.setdefault((lang, source), []).append(words)
+            waiting += len(words) + 1
+            if waiting >= WAITING_WORDS:
                 pour(groups, tries)
                 waiting = 0
                 if sum(t.counters for t in tries.values()) >= TRIE_COUNTERS:
@@ -175,20 +200,20 @@ def chunk(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
     terms, at, names, counts, known = [], [], [], [], {}
     totals: list[int] = []
     root = False
-    for term, documents, own in trie.walk():
-        if not term or documents >= LEAST_DOCUMENTS:
-            for source, n in own.items():
-                k = known.setdefault(source, len(known))
-                if k == len(totals):
-                    totals.append(0)
-                if term:
-                    totals[k] += n
-                    at.append(len(terms))
-                    names.append(k)
-                    counts.append(n)
+    for term, leaf in trie.walk():
+        del leaf[DOCUMENTS]
+        for source, n in leaf.items():
+            k = known.setdefault(source, len(known))
+            if k == len(totals):
+                totals.append(0)
             if term:
-                terms.append(term)
-            root = root or not term
+                totals[k] += n
+                at.append(len(terms))
+                names.append(k)
+                counts.append(n)
+        if term:
+            terms.append(term)
+        root = root or not term
     if root or terms:
         first = b"" if root else terms[0]
         row = [lang, first, len(terms), list(known), totals, terms, at, names, counts]
@@ -196,18 +221,33 @@ def chunk(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
 
 
 def merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of merged leaves; rows come in the order of lang and term."""
-    trie, lang, last, n_terms = Trie(), None, None, 0
+    """Chunks of merged leaves; rows come in the order of lang and term, so a term is complete before the next begins."""
+    trie, kept = Trie(), 0
+    lang = term = None
+    documents, own = 0, {}
+
+    def close() -> None:
+        nonlocal kept
+        if term == b"" or documents >= LEAST_DOCUMENTS:
+            trie.add(term, documents, own)
+            kept += 1
+
     for batch in batches:
-        for own_lang, term, documents, sources, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if (own_lang, term) != (lang, last):
-                if lang is not None and (own_lang != lang or n_terms >= CHUNK_TERMS or trie.counters >= CHUNK_COUNTERS):
-                    yield from chunk(lang, trie)
-                    trie, n_terms = Trie(), 0
-                lang, last = own_lang, term
-                n_terms += 1
-            trie.add(term, documents, dict(zip(sources, counts, strict=True)))
+        offsets = batch.column(3).offsets.to_pylist()
+        sources, counts = batch.column(3).values.to_pylist(), batch.column(4).values.to_pylist()
+        for k, (own_lang, own_term, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+            if own_term != term or own_lang != lang:
+                if lang is not None:
+                    close()
+                    if own_lang != lang or kept >= CHUNK_TERMS or trie.counters >= CHUNK_COUNTERS:
+                        yield from chunk(lang, trie)
+                        trie, kept = Trie(), 0
+                lang, term, documents, own = own_lang, own_term, 0, {}
+            documents += n
+            for i in range(offsets[k], offsets[k + 1]):
+                own[sources[i]] = own.get(sources[i], 0) + counts[i]
     if lang is not None:
+        close()
         yield from chunk(lang, trie)
 
 

@@ -82,23 +82,25 @@ def test_lines_and_symbols_are_counted():
     assert (found["n_dup_lines"], found["n_symbols"], found["word_chars"], found["n_words"]) == (1, 3, 8, 7)
 
 
-def test_tries_merge_and_walk_in_byte_order():
+@pytest.mark.parametrize("burst", [1, 5, 2048])
+def test_tries_merge_and_walk_in_byte_order(burst, monkeypatch):
+    monkeypatch.setattr(divergence.Trie, "BURST", burst)
     rng, whole, tries, want = random.Random(13), divergence.Trie(), [divergence.Trie() for _ in range(3)], defaultdict(Counter)
     for _ in range(4000):
         term, source = bytes(rng.choice(b"ab\x00\xc3\xff") for _ in range(rng.randrange(7))), rng.choice("xyz")
         rng.choice(tries).add(term, 1, {source: 2})
         want[term][source] += 2
     for trie in tries:
-        for term, documents, own in trie.walk():
-            whole.add(term, documents, own)
-    assert [(t, d, own) for t, d, own in whole.walk()] == [(t, sum(c.values()) // 2, dict(c)) for t, c in sorted(want.items())]
+        for term, leaf in trie.walk():
+            whole.add(term, leaf.pop(divergence.DOCUMENTS), leaf)
+    assert list(whole.walk()) == [(t, {divergence.DOCUMENTS: sum(c.values()) // 2, **c}) for t, c in sorted(want.items())]
     assert whole.counters == sum(map(len, want.values()))
 
 
 def test_divergence_does_not_depend_on_blocks_chunks_and_flushes(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = Counter(divergence.divergences(docs).collect())
-    for name, value in (("TRIE_COUNTERS", 50), ("CHUNK_TERMS", 7), ("CHUNK_COUNTERS", 40), ("BLOCK_SOURCES", 3), ("BUCKETS", 2)):
+    for name, value in (("TRIE_COUNTERS", 50), ("WAITING_WORDS", 200), ("LEAF_ROWS", 9), ("CHUNK_TERMS", 7), ("CHUNK_COUNTERS", 40), ("BLOCK_SOURCES", 3), ("BUCKETS", 2)):
         monkeypatch.setattr(divergence, name, value)
     # workers import the module with its own values, so counting and merging are called here
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], F.col("text").cast("binary").alias("text")).toArrow()
