@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +56,8 @@ TRIE_COUNTERS, WAITING_WORDS, LEAF_ROWS = 1 << 20, 1 << 20, 1 << 14
 DOCUMENTS = None
 CHUNK_TERMS, CHUNK_COUNTERS = 4096, 1 << 16
 BLOCK_SOURCES = 256
-#: Buckets of a language's chunks; a language may hold a third of all chunks and more.
-BUCKETS = 64
+#: Kept terms of a language that one bucket of its chunks has, about; a language may hold a third of all chunks and more.
+BUCKET_TERMS = 1 << 16
 
 LETTERS = {*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Byte by byte: A to Z in lower case, all that is outside a term a space.
@@ -220,6 +221,20 @@ def chunk(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, CHUNK.types, strict=True)], schema=CHUNK)
 
 
+def maybe_kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of sorted leaves without the terms that are whole in it and too rare; its first and last may go on in others."""
+    if not batch.num_rows:
+        return batch
+    lang, term = batch.column(0), batch.column(1)
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new)
+    keep = np.add.reduceat(batch.column(2).to_numpy(), starts) >= LEAST_DOCUMENTS
+    keep |= (pc.binary_length(term).to_numpy() == 0)[starts]
+    keep[[0, -1]] = True
+    return batch.filter(pa.array(np.repeat(keep, np.diff(np.append(starts, batch.num_rows)))))
+
+
 def merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of merged leaves; rows come in the order of lang and term, so a term is complete before the next begins."""
     trie, kept = Trie(), 0
@@ -232,7 +247,7 @@ def merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie.add(term, documents, own)
             kept += 1
 
-    for batch in batches:
+    for batch in map(maybe_kept, batches):
         offsets = batch.column(3).offsets.to_pylist()
         sources, counts = batch.column(3).values.to_pylist(), batch.column(4).values.to_pylist()
         for k, (own_lang, own_term, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
@@ -332,13 +347,15 @@ def divergences(docs: DataFrame) -> DataFrame:
     ranges = counted.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
     chunks = materialise(ranges.mapInArrow(merge_ranges, CHUNK_DDL), "term-chunks")
     totals = chunks.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("s")).groupBy("lang", F.col("s.sources").alias("source")).agg(F.sum("s.totals").alias("total"))
+    most = chunks.groupBy("lang").agg(F.sum("n_terms").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    buckets = -(-most // BUCKET_TERMS) or 1
     by_lang = totals.groupBy("lang").agg(F.sum("total").alias("lang_total")).join(chunks.groupBy("lang").agg(F.sum("n_terms").alias("kept")), "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     dealt = totals.withColumn("block", F.floor(place / BLOCK_SOURCES)).groupBy("lang", "block").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("own"))
     side = lambda name: dealt.select("lang", F.col("block").alias(f"{name}_block"), F.col("own.source").alias(name), F.col("own.total").alias(f"{name}_totals"))
     blocks = side("left").join(side("right"), "lang").join(by_lang, "lang")
-    blocks = blocks.withColumn("same", F.col("left_block") == F.col("right_block")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
-    met = chunks.withColumn("bucket", F.pmod(F.xxhash64("first"), F.lit(BUCKETS)).cast("int")).join(blocks, ["lang", "bucket"])
+    blocks = blocks.withColumn("same", F.col("left_block") == F.col("right_block")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    met = chunks.withColumn("bucket", F.pmod(F.xxhash64("first"), F.lit(buckets)).cast("int")).join(blocks, ["lang", "bucket"])
     found = met.sortWithinPartitions("lang", "left_block", "right_block").mapInArrow(compare, PART_DDL)
     found = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
