@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postmill.plans import numbers, pages, records, services, texts
+from postmill.plans import flows, numbers, pages, records, services, texts
 
-QUERIES = pages.QUERIES | texts.QUERIES | numbers.QUERIES | services.QUERIES | records.QUERIES
-ORACLE = pages.ORACLE | texts.ORACLE | numbers.ORACLE | services.ORACLE | records.ORACLE
+QUERIES = pages.QUERIES | texts.QUERIES | numbers.QUERIES | services.QUERIES | records.QUERIES | flows.QUERIES
+ORACLE = pages.ORACLE | texts.ORACLE | numbers.ORACLE | services.ORACLE | records.ORACLE | flows.ORACLE

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -58,8 +58,8 @@ def packer(carry: int, order: str, kind: str) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-def pack(df: DataFrame, carry: list[str], vector: str, order: str, rows: int, kind: str, label: str) -> tuple[DataFrame, int]:
-    """``df`` as written blocks of about ``rows`` vectors, in the order of one carried column (nulls last), and their number.
+def packed(df: DataFrame, carry: list[str], vector: str, order: str, rows: int, kind: str) -> tuple[DataFrame, int]:
+    """``df`` as blocks of about ``rows`` vectors, in the order of one carried column (nulls last), and their number.
 
     ``kind`` is a floating dtype or ``int``. Columns: block, dim, kind, matrix and the carried ones as arrays.
     """
@@ -67,7 +67,12 @@ def pack(df: DataFrame, carry: list[str], vector: str, order: str, rows: int, ki
     schema = StructType.fromDDL("block int, dim int, kind string, matrix binary")
     for name in carry:
         schema = schema.add(name, ArrayType(df.schema[name].dataType))
-    blocks = df.select(*carry, vector).repartition(count).mapInArrow(packer(len(carry), order, kind), schema)
+    return df.select(*carry, vector).repartition(count).mapInArrow(packer(len(carry), order, kind), schema), count
+
+
+def pack(df: DataFrame, carry: list[str], vector: str, order: str, rows: int, kind: str, label: str) -> tuple[DataFrame, int]:
+    """``packed`` blocks, written to the shared folder."""
+    blocks, count = packed(df, carry, vector, order, rows, kind)
     return materialise(blocks, label), count
 
 
@@ -101,6 +106,32 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield row
 
 
+def best_of(many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each query of a pair of blocks, the ``many`` vectors of highest inner product; ties go to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                block, queries = matrix_of(row), matrix_of(row, "q_")
+                dim = max(block.shape[1], queries.shape[1])
+                block, queries = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) if m.shape[1] < dim else m for m in (block, queries))
+                scores = (queries @ block.T).astype(np.float64)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :many]  # rows of a block stand in the order of ids
+                asked = np.repeat(np.arange(len(queries)), order.shape[1])
+                values = np.take_along_axis(scores, order, axis=1).ravel()
+                columns = [row["q_id"].take(pa.array(asked)), row["id"].take(pa.array(order.ravel())), pa.array(values)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def nearest(blocks: DataFrame, n_blocks: int, queries: DataFrame, n_queries: int, k: int, id_types: tuple[str, str]) -> DataFrame:
+    """query_id, vec_id, score and rank of the ``k`` best vectors of blocks for each query; ids are unique."""
+    found = meet(blocks, n_blocks, queries, n_queries).mapInArrow(best_of(k), f"query_id {id_types[0]}, vec_id {id_types[1]}, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Inner products of integer vectors as int64: exact, held at the ends of the 64-bit range where they leave it."""
     dim = max(left.shape[1], right.shape[1])

@@ -43,8 +43,8 @@ def crawl(sources: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: in
     return pages
 
 
-def parse_fetches(log: DataFrame, raw: DataFrame, allowed: list[str], lexicon: Lexicon) -> DataFrame:
-    """Kept policy pages of a fetch log, repeats dropped.
+def kept_fetches(log: DataFrame, raw: DataFrame, allowed: list[str], lexicon: Lexicon) -> DataFrame:
+    """Policy pages of a fetch log with their ``fingerprint``, repeats not yet dropped; ``log`` may be a stream.
 
     ``log`` has ord, source_id, company, url, success, text and raw_text_path,
     ``raw`` path and html. The raw text goes before the log's preview; only a
@@ -54,8 +54,12 @@ def parse_fetches(log: DataFrame, raw: DataFrame, allowed: list[str], lexicon: L
     pages = rows.select("ord", "source_id", "company", "url", F.coalesce("html", "text").alias("html"))
     kept = policy.page_features(pages, "", allowed, lexicon).where("filter_reason IS NULL")
     kept = kept.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "company"))
-    marked = kept.withColumn("fingerprint", F.concat_ws("\x1f", "title", "summary"))
-    return dedup.keep_unseen(marked, "ord", "url", "fingerprint").drop("fingerprint")
+    return kept.withColumn("fingerprint", F.concat_ws("\x1f", "title", "summary"))
+
+
+def parse_fetches(log: DataFrame, raw: DataFrame, allowed: list[str], lexicon: Lexicon) -> DataFrame:
+    """Kept policy pages of a fetch log, as ``kept_fetches``, repeats dropped."""
+    return dedup.keep_unseen(kept_fetches(log, raw, allowed, lexicon), "ord", "url", "fingerprint").drop("fingerprint")
 
 
 def crawl_report(log: DataFrame, policies: DataFrame) -> DataFrame:

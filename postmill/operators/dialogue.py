@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
+from postmill.operators.ranges import prefix_sum
+
+# Fixed value: the title of a conversation that has none.
+UNTITLED = "未命名会话"
+#: Requests that are numbered in one task at a time.
+REQUEST_BUCKET = 100_000
 
 
 class AlignmentError(ValueError):
@@ -118,3 +124,35 @@ def titled_by_error(conversations: DataFrame, errors: DataFrame, key: str) -> Da
     """Conversations (key, title) whose empty titles become the first 128 characters of their error (key, message)."""
     title = F.coalesce(F.nullif("title", F.lit("")), F.substring("message", 1, 128))
     return conversations.join(errors.select(key, "message"), key, "left").withColumn("title", title).drop("message")
+
+
+def conversation_writes(requests: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What chat requests (request_id, conversation_id, message) add: new conversations, and the users' messages.
+
+    A request without a conversation (null or 0) makes one; new ids follow the
+    highest there is, in the order of request_id. A request for a conversation
+    that does not exist makes the query fail. ``request_id`` is a whole number.
+    """
+    highest = conversations.agg(F.coalesce(F.max("conversation_id"), F.lit(0)).alias("__highest"))
+    asked = requests.withColumn("__new", F.coalesce("conversation_id", F.lit(0)) == 0).withColumn("__one", F.col("__new").cast("int"))
+    placed = prefix_sum(asked.withColumn("__bucket", F.floor(F.col("request_id") / REQUEST_BUCKET)), [], "__bucket", ["request_id"], "__one", "__before")
+    known = conversations.select("conversation_id", F.lit(True).alias("__known")).distinct()
+    placed = placed.join(known, "conversation_id", "left").crossJoin(F.broadcast(highest))  # one row
+    missing = F.raise_error(F.concat(F.lit("no conversation "), F.col("conversation_id").cast("string"))).cast("long")
+    ident = F.when(F.col("__new"), F.col("__highest") + F.col("__before") + 1).when(F.col("__known"), F.col("conversation_id")).otherwise(missing)
+    rows = placed.withColumn("__id", ident)
+    created = rows.where("__new").select(F.col("__id").alias("conversation_id"), F.lit("").alias("title"))
+    return created, rows.select("request_id", F.col("__id").alias("conversation_id"), F.lit("user").alias("role"), F.col("message").alias("content"))
+
+
+def with_error_rows(messages: DataFrame, errors: DataFrame) -> DataFrame:
+    """Messages and, for each error (conversation_id, created_at, message), a system row that says it."""
+    rows = errors.select("conversation_id", "created_at", F.lit("system").alias("role"), F.col("message").alias("content"), F.to_json(F.struct(F.lit("error").alias("kind"))).alias("metadata"))
+    return messages.unionByName(rows, allowMissingColumns=True)
+
+
+def made_title(question: Column, reply: Column) -> Column:
+    """A conversation's title: the model's reply without quotes, cut at 20 characters, else the question's first 20, else the placeholder."""
+    bare = F.regexp_replace(F.regexp_replace(T.strip(F.coalesce(reply, F.lit(""))), r'^"+|"+\z', ""), r"^'+|'+\z", "")
+    given = F.when(reply.isNull(), F.substring(F.coalesce(question, F.lit("")), 1, 20)).otherwise(F.substring(bare, 1, 20))
+    return F.coalesce(F.nullif(given, F.lit("")), F.lit(UNTITLED))

@@ -22,6 +22,7 @@ PATH_HINTS = [
     "限寄", "规则", "条款", "协议", "海关", "清关", "冷链", "危险品",
 ]
 ANCHOR_HINTS = ["条款", "协议", "禁寄", "限寄", "规则", "须知", "保价", "保险", "赔偿", "海关", "清关", "dangerous goods", "restricted", "prohibited", "customs"]
+# Fixed value: what a link looks like.
 LINK = r"""(?is)<a[^>]*href\s*=\s*["']([^"'#]+)["'][^>]*>(.*?)</a>"""
 
 
@@ -53,17 +54,41 @@ def canonical_url(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), netloc(bare), F.when(path == "", F.lit("/")).otherwise(path), tail)
 
 
+def without_dots(segments: Column) -> Column:
+    """A path from its segments, by a stack: ``..`` takes back the one before it, ``.`` nothing; the result begins with a slash."""
+    text = lambda c: c.cast("string")
+    step = lambda stack, s: (
+        F.when(s == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).when(s == ".", stack).otherwise(F.concat(stack, F.array(text(s))))
+    )
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends_inside = F.element_at(segments, -1).isin(".", "..")
+    path = F.array_join(F.when(ends_inside, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """``href`` seen from ``base``: absolute, scheme-relative, root-relative, query and sibling forms."""
+    """``href`` seen from ``base``, with dot segments resolved.
+
+    An address with a scheme stays as it is, one that begins with two slashes
+    takes the scheme. A path takes scheme and host, and a relative one the
+    base's folder, less empty segments inside; one without a path takes the
+    base's path, and its query too if it has none. Fragments of the base go.
+    """
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)[^/?#]*", 1)
-    folder = F.when(F.length(folder) > F.length(origin), folder).otherwise(F.concat(origin, F.lit("/")))
+    base_path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    tail = F.substring(href, F.length(path) + 1, F.length(href))
+    folder = F.regexp_replace(F.when(base_path == "", F.lit("/")).otherwise(base_path), r"[^/]*\z", "")
+    joined = F.split(F.concat(folder, path), "/", -1)
+    inside = F.concat(F.slice(joined, 1, 1), F.filter(F.slice(joined, 2, F.greatest(F.size(joined) - 2, F.lit(0))), lambda s: s != ""), F.slice(joined, -1, 1))
+    query = F.when(F.startswith(tail, F.lit("?")), F.lit("")).otherwise(F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1))
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-        .when(F.startswith(href, F.lit("?")), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href))
-        .otherwise(F.concat(folder, href))
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme, href))
+        .when(path == "", F.concat(origin, base_path, query, tail))
+        .when(F.startswith(path, F.lit("/")), F.concat(origin, without_dots(F.split(path, "/", -1)), tail))
+        .otherwise(F.concat(origin, without_dots(inside), tail))
     )
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most queries that meet a block of vectors at once, about.
-MOST_QUERIES = 2000
+from postmill.operators.blocks import BLOCK_ROWS, QUERY_ROWS, nearest, pack
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,26 +24,25 @@ def normalised(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / safe)
 
 
+def unit_vectors(rows: DataFrame, ident: str, embedding: str = "embedding") -> DataFrame:
+    """id and vector of length one; null components count as zeros."""
+    filled = F.transform(F.coalesce(embedding, F.array().cast(rows.schema[embedding].dataType)), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    return rows.select(F.col(ident).alias("id"), normalised(filled).alias("vector"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` vectors of highest cosine for each query: query_id, vec_id, score, rank.
 
-    ``vectors`` has vec_id and embedding, ``queries`` query_id and embedding.
-    Up to ``MOST_QUERIES`` queries are sent to every block of vectors; more
-    are dealt into blocks of about that size, and each pair of a block of
-    queries and one of vectors is a task. Each task keeps its own best k of a
-    query before anything is shuffled. Scores are not rounded before they are
-    ranked. Ties go to the smaller vec_id; a zero
-    vector scores 0; fewer than k vectors give fewer rows.
+    ``vectors`` has vec_id and embedding, ``queries`` query_id and embedding;
+    ids are unique. Both are packed into blocks of normalised vectors, and each
+    pair of blocks is one matrix product that returns k vectors a query, so
+    neither side is broadcast. Scores are not rounded before they are ranked.
+    Ties go to the smaller vec_id; a zero or null vector scores 0, shorter
+    vectors count as ended by zeros; fewer than k vectors give fewer rows.
     """
-    n = queries.count()
-    unit = vectors.select("vec_id", normalised(F.col("embedding")).alias("v"))
-    asked = queries.select("query_id", normalised(F.col("embedding")).alias("q"))
-    few = n <= MOST_QUERIES
-    asked = F.broadcast(asked) if few else asked.repartition(-(-n // MOST_QUERIES)).hint("shuffle_replicate_nl")
-    scored = unit.join(asked).select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # The limit on row_number moves below the exchange, so a task sends k rows of a query.
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    blocks, n_blocks = pack(unit_vectors(vectors, "vec_id"), ["id"], "vector", "id", BLOCK_ROWS, "float64", "vectors")
+    asked, n_asked = pack(unit_vectors(queries, "query_id"), ["id"], "vector", "id", QUERY_ROWS, "float64", "queries")
+    return nearest(blocks, n_blocks, asked, n_asked, k, (queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()))
 
 
 def with_documents(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:

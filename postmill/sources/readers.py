@@ -23,30 +23,59 @@ DIALOGUE = (
     "DialogueID int, QRole string, QA array<struct<QueSumm: string, AnsSummShort: string, AnsSummLong: string, QASumm: string, intent: string>>, "
     "Session_id string, Dialogue array<struct<speaker: string, turn: int, utterance: string>>, UserSumm array<string>, AgentSumm array<string>, FinalSumm array<string>"
 )
+EMBEDDING_METADATA = "index int, session_id string, dialogue_id int, turn_count int"
 EVAL_ITEM = "id string, task string, prompt string, answer_type string, answer string, required_keys array<string>, source string"
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a schema; blank lines are skipped, a missing path is empty."""
+    """JSON lines with a schema; blank lines are skipped, a missing path is empty, any other fault is an error."""
     try:
         return spark.read.schema(schema).json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], StructType.fromDDL(schema))
 
 
+def numbered_lines(spark: SparkSession, path: str, count_blank: bool = True) -> DataFrame:
+    """path, file, line (from 0) and text of every line that is not blank, in files of any size.
+
+    A file is read in splits by many tasks. A split's lines have ascending
+    ids, so a line's number is its id less the least of its split, plus the
+    lines of the file's earlier splits; only one row a split is gathered for
+    those sums. ``count_blank`` numbers physical lines, else only those that
+    are not blank.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("text"))
+    full = T.strip(F.col("text")) != ""
+    rows = (rows if count_blank else rows.where(full)).withColumn("__id", F.monotonically_increasing_id())
+    ahead = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "split").agg(F.min("__id").alias("first"), F.count("*").alias("n"))
+    shifts = splits.select("path", "split", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("shift"))
+    placed = rows.where(full).join(shifts, ["path", "split"])
+    return placed.select("path", "file", (F.col("__id") + F.col("shift")).alias("line"), "text")
+
+
 def jsonl_numbered(spark: SparkSession, path: str, schema: str, count_blank: bool = True) -> DataFrame:
-    """JSON lines with file, line number from 0 and the parsed ``row``; a line that is no object is an error.
+    """JSON lines with file, line number from 0 and the parsed ``row``; a line that is no object is an error that names it.
 
     ``count_blank`` numbers physical lines; otherwise blank lines have no number.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    rows = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("line", "text"))
-    kept = rows.where(T.strip(F.col("text")) != "")
-    if not count_blank:
-        kept = kept.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
     message = F.concat_ws(":", "file", F.col("line").cast("string"), F.lit("not a JSON object"))
     checked = F.when(F.json_object_keys("text").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("text"))
-    return kept.select("file", "line", F.from_json(checked, schema).alias("row"))
+    return numbered_lines(spark, path, count_blank).select("file", "line", F.from_json(checked, schema).alias("row"))
+
+
+def embedding_metadata(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """split, pos and fields of embedding metadata: an object of splits, or a bare list of the one ``split``."""
+    whole = spark.read.text(path, wholetext=True)
+    by_split = F.from_json("value", f"map<string, array<struct<{EMBEDDING_METADATA}>>>")
+    listed = F.from_json("value", f"array<struct<{EMBEDDING_METADATA}>>")
+    bare = F.ltrim("value").startswith("[")
+    found = F.when(bare, F.create_map(F.lit(split), listed)).otherwise(by_split)
+    shaped = F.when(found.isNull(), F.raise_error(F.lit("embedding metadata must be a list or an object of lists")).cast(f"map<string, array<struct<{EMBEDDING_METADATA}>>>")).otherwise(found)
+    rows = whole.select(F.explode(shaped).alias("split", "items")).select("split", F.posexplode("items").alias("pos", "m"))
+    return rows.select("split", "pos", "m.*")
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

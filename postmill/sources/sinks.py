@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import fresh_path
+
 PREVIEW = 1000
 
 
@@ -40,3 +44,25 @@ def report_lines(rows: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- "), "name", F.lit(": "), F.col("n").cast("string"))
     grouped = rows.groupBy("section").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "name", line.alias("line")))).alias("l"))
     return grouped.select("section", F.concat(F.lit("## "), "section", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("markdown"))
+
+
+def write_files(lines: DataFrame, folder: str, name: str = "name", order: str = "line", text: str = "text") -> None:
+    """Text files under ``folder`` with the names of column ``name`` (may hold slashes), each with its lines in order.
+
+    Every file is written by one task; the driver only renames, so their number
+    is what a folder may hold, as for runs, subtitles or reports.
+    """
+    spark = lines.sparkSession
+    scratch = fresh_path(spark, "files")
+    rows = lines.select(F.col(name).alias("__name"), F.col(order).alias("__line"), F.coalesce(text, F.lit("")).alias("value"))
+    rows.repartition("__name").sortWithinPartitions("__name", "__line").drop("__line").write.partitionBy("__name").text(scratch)
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = to_path(scratch).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in files.globStatus(to_path(f"{scratch}/__name=*/part-*")):
+        source = part.getPath()
+        target = to_path(f"{folder}/{unquote(source.getParent().getName().removeprefix('__name='))}")
+        files.mkdirs(target.getParent())
+        files.delete(target, False)
+        if not files.rename(source, target):
+            raise OSError(f"{target.toString()} could not be written")
+    files.delete(to_path(scratch), True)
