@@ -221,49 +221,59 @@ def chunk(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, CHUNK.types, strict=True)], schema=CHUNK)
 
 
-def maybe_kept(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A batch of sorted leaves without the terms that are whole in it and too rare; its first and last may go on in others."""
-    if not batch.num_rows:
-        return batch
-    lang, term = batch.column(0), batch.column(1)
-    new = np.ones(batch.num_rows, bool)
+def combined(leaves: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Sorted leaves with those of one lang and term added up.
+
+    The first row of each term, its documents, where its counters begin in the
+    lists of sources and occurrences, the names of sources, and those lists.
+    """
+    lang, term = (leaves.column(i).combine_chunks() for i in range(2))
+    new = np.ones(len(term), bool)
     new[1:] = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(new)
-    keep = np.add.reduceat(batch.column(2).to_numpy(), starts) >= LEAST_DOCUMENTS
-    keep |= (pc.binary_length(term).to_numpy() == 0)[starts]
-    keep[[0, -1]] = True
-    return batch.filter(pa.array(np.repeat(keep, np.diff(np.append(starts, batch.num_rows)))))
+    firsts = np.flatnonzero(new)
+    documents = np.add.reduceat(leaves.column(2).to_numpy(), firsts)
+    sources = leaves.column(3).combine_chunks()
+    coded = sources.flatten().dictionary_encode()
+    counts = leaves.column(4).combine_chunks().flatten().to_numpy()
+    key = np.repeat(np.cumsum(new) - 1, np.diff(sources.offsets.to_numpy())) * len(coded.dictionary) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    begins = np.searchsorted(key[starts] // len(coded.dictionary), np.arange(len(firsts) + 1))
+    return firsts, documents, begins, coded.dictionary, key[starts] % len(coded.dictionary), np.add.reduceat(counts[order], starts)
 
 
 def merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of merged leaves; rows come in the order of lang and term, so a term is complete before the next begins."""
-    trie, kept = Trie(), 0
-    lang = term = None
-    documents, own = 0, {}
-
-    def close() -> None:
-        nonlocal kept
-        if term == b"" or documents >= LEAST_DOCUMENTS:
-            trie.add(term, documents, own)
+    trie, now, kept = Trie(), None, 0
+    held: pa.RecordBatch | None = None  # the last term, which may go on
+    for batch in itertools.chain(batches, [None]):
+        parts = [b for b in (held, batch) if b is not None and b.num_rows]
+        if not parts:
+            continue
+        rows = pa.Table.from_batches([b.cast(LEAF) for b in parts])
+        firsts, documents, begins, names, codes, counts = combined(rows)
+        done = len(firsts) - (batch is not None)
+        lang, term, names = rows.column(0), rows.column(1), names.to_pylist()
+        at = np.flatnonzero((documents >= LEAST_DOCUMENTS) | (pc.binary_length(term).to_numpy()[firsts] == 0))
+        at = at[at < done]
+        langs, terms = (c.take(pa.array(firsts[at])).to_pylist() for c in (lang, term))
+        for g, own_lang, own_term in zip(at.tolist(), langs, terms, strict=True):
+            if own_lang != now or kept >= CHUNK_TERMS or trie.counters >= CHUNK_COUNTERS:
+                if now is not None:
+                    yield from chunk(now, trie)
+                trie, now, kept = Trie(), own_lang, 0
+            inside = slice(begins[g], begins[g + 1])
+            trie.add(own_term, int(documents[g]), dict(zip([names[c] for c in codes[inside].tolist()], counts[inside].tolist(), strict=True)))
             kept += 1
-
-    for batch in map(maybe_kept, batches):
-        offsets = batch.column(3).offsets.to_pylist()
-        sources, counts = batch.column(3).values.to_pylist(), batch.column(4).values.to_pylist()
-        for k, (own_lang, own_term, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
-            if own_term != term or own_lang != lang:
-                if lang is not None:
-                    close()
-                    if own_lang != lang or kept >= CHUNK_TERMS or trie.counters >= CHUNK_COUNTERS:
-                        yield from chunk(lang, trie)
-                        trie, kept = Trie(), 0
-                lang, term, documents, own = own_lang, own_term, 0, {}
-            documents += n
-            for i in range(offsets[k], offsets[k + 1]):
-                own[sources[i]] = own.get(sources[i], 0) + counts[i]
-    if lang is not None:
-        close()
-        yield from chunk(lang, trie)
+        held = None
+        if batch is not None:
+            inside = slice(begins[-2], begins[-1])
+            own = [[names[c] for c in codes[inside].tolist()], counts[inside].tolist()]
+            last = [lang[-1].as_py(), term[-1].as_py(), int(documents[-1]), *own]
+            held = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(last, LEAF.types, strict=True)], schema=LEAF)
+    if now is not None:
+        yield from chunk(now, trie)
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int, n_terms: int) -> np.ndarray:

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,19 @@ def test_divergence_does_not_depend_on_blocks_chunks_and_flushes(spark, sf, monk
     for leaf in (x for b in leaves for x in b):
         merged[leaf["lang"], leaf["term"]].update(dict(zip(leaf["sources"], leaf["counts"], strict=True)))
     assert len(leaves) > 3 and sum(map(len, leaves)) > len(merged)
+    ordered = pa.Table.from_pylist(sorted((x for b in leaves for x in b), key=lambda x: (x["lang"].encode(), x["term"])), divergence.LEAF)
+    documents = Counter()
+    for leaf in (x for b in leaves for x in b):
+        documents[leaf["lang"], leaf["term"]] += leaf["documents"]
+    kept = {key: dict(own) for key, own in merged.items() if not key[1] or documents[key] >= divergence.LEAST_DOCUMENTS}
+    for size in (1, 2, 13, 10**6):
+        chunks = [c for b in divergence.merge_ranges(iter(ordered.to_batches(max_chunksize=size))) for c in b.to_pylist()]
+        got = {(c["lang"], t): {} for c in chunks for t in c["terms"]}
+        for c in chunks:
+            for t, k, n in zip(c["term_at"], c["source_at"], c["counts"], strict=True):
+                got[c["lang"], c["terms"][t]][c["sources"][k]] = n
+        assert got == {key: own for key, own in kept.items() if key[1]}
+        assert {(c["lang"], s) for c in chunks for s in c["sources"]} == {(lang, s) for (lang, t), own in merged.items() if not t for s in own}
     assert Counter(divergence.divergences(docs).collect()) == want
 
 
