@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from postmill.functions.lexicon import reference_lexicon
-from postmill.operators import crawl, dedup, dialogue, evaluation, graph, markdown, ranges, retrieval, subtitles
+from postmill.operators import blocks, crawl, dedup, dialogue, evaluation, graph, markdown, ranges, retrieval, subtitles
 from postmill.plans.numbers import RANK_SCHEMA, literal
 from postmill.sources import adapters, readers, sinks
 from postmill.streaming import streams
@@ -66,9 +66,13 @@ def test_top_k_of_many_queries(spark, sf, monkeypatch):
     asked = rows.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     want = sorted(retrieval.top_k(rows, asked, 3).collect())
     assert len(want) == 3 * asked.count()
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 4)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(blocks, "WAVE", 2)
     found = retrieval.top_k(rows, asked, 3)
-    assert sorted(found.collect()) == want and "CartesianProduct" in found._jdf.queryExecution().toString()
+    rounded = lambda rows: [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in rows]
+    plan = found._jdf.queryExecution().toString()
+    assert rounded(sorted(found.collect())) == rounded(want) and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_aligned_joins_fail_loudly(spark):
