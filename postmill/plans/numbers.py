@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,67 +49,72 @@ def emb_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(retrieval.norm(F.col("embedding"))), 3).alias("avg_norm"))
 
 
-# Evaluation fixtures: task metrics of two runs, rank summaries and dimension scores.
-RUNS = [
-    ("a", "format", 5, 0.8, 0.6, None, None, 0.0, None), ("a", "postal", 5, None, None, 2.5, 1.5, 0.2, None), ("a", "safety", 5, None, None, 0.4, 0.2, 0.1, None),
-    ("a", "math", 4, None, None, 0.0, 0.0, 0.0, 0.25), ("b", "format", 5, 0.2, 0.1, None, None, 0.0, None), ("b", "safety", 6, None, None, 0.1, 0.1, 0.7, None),
-    ("b", "math", 3, None, None, 0.0, 0.0, 0.0, 0.9), ("b", "logic", 3, None, None, 0.0, 0.0, 0.0, 1.0),
-]
-RUN_SCHEMA = "run string, task string, count long, json_valid_rate double, json_required_keys_rate double, avg_postal_term_hits double, avg_next_step_hits double, risk_rate double, postal_pollution_rate double"
-STEPS = [
-    ("a", 100, "f1", 1, 1.0, False), ("a", 200, "f1", 2, 1.5, False), ("a", 200, "f2", 1, 1.4, False), ("a", 300, "f2", 2, 2.0, True),
-    ("a", 400, "f2", 3, 1.4, False), ("a", 500, "f2", 4, 1.7, False), ("b", 100, "f1", 1, 0.5, True), ("b", 200, "f1", 2, 0.25, False), ("b", 300, "f1", 3, 0.5, False),
-]
-STEP_SCHEMA = "run string, step long, file string, line long, score double, gated boolean"
-RANKS = [
-    ("3b", 1, 3.63125, 0.2, 0.8, 0.0), ("3b", 2, 3.40625, 0.1, 0.9, 0.0), ("3b", 8, 3.9, 0.9, 0.9, 0.0), ("7b", 1, 1.5875, 0.6, 0.9, 0.0),
-    ("7b", 2, 1.6125, 0.7, 0.9, 0.0), ("9b", 4, 1.0, 0.0, 0.5, 0.0), ("9b", 2, 1.0, 0.0, 0.5, 0.0),
-]
-RANK_SCHEMA = "model string, rank int, best_score double, score_drop double, json_keys double, safety_risk double"
-
-
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small constant table, made from JSON text inside the plan."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    fields = ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
-    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{fields}>>")).alias("r")).select("r.*")
-
-
-def values(rows: list[tuple], schema: str) -> str:
-    def show(value: object, kind: str) -> str:
-        if value is None:
-            return f"NULL::{kind}"
-        return f"'{value}'" if isinstance(value, str) else f"{value}::{kind}"
-
-    kinds = [{"string": "VARCHAR", "long": "BIGINT", "int": "INT", "double": "DOUBLE", "boolean": "BOOLEAN"}[c.split()[1]] for c in schema.split(", ")]
-    body = ", ".join("(" + ", ".join(show(v, k) for v, k in zip(r, kinds, strict=True)) + ")" for r in rows)
-    return f"(VALUES {body}) AS t({', '.join(c.split()[0] for c in schema.split(', '))})"
+# Evaluation runs, monitors and ranks that are derived from the events.
+TASKS = ["format", "postal", "safety", "math", "logic"]
+RUNS_SQL = f"""(
+    SELECT 'r' || user_id % 60 AS run, ['{"', '".join(TASKS)}'][1 + event_id % 5] AS task, count(*) % 8 AS "count",
+        CASE WHEN event_id % 5 = 0 THEN sum(event_id) % 101 / 100 END AS json_valid_rate, CASE WHEN event_id % 5 = 0 THEN sum(event_id) % 97 / 96 END AS json_required_keys_rate,
+        CASE WHEN event_id % 5 > 0 THEN count(*) % 7 / 2 END AS avg_postal_term_hits, CASE WHEN event_id % 5 > 0 THEN count(*) % 5 / 2 END AS avg_next_step_hits,
+        sum(event_id) % 89 / 88 AS risk_rate, CASE WHEN event_id % 5 > 2 THEN max(event_id) % 11 / 10 END AS postal_pollution_rate
+    FROM events GROUP BY user_id % 60, event_id % 5)"""
+STEPS_SQL = "(SELECT 'r' || user_id % 12 AS run, event_id // 100 * 100 AS step, 'f' || (1 + event_id % 2) AS file, event_id AS line, value AS score, event_id % 7 = 0 AS gated FROM events)"
+RANKS_SQL = "(SELECT 'm' || user_id % 5 AS model, (user_id % 4)::INT AS rank, max(value) AS best_score, count(*) % 10 / 10 AS score_drop, count(*) % 3 / 2 AS json_keys, max(event_id) % 2 / 1 AS safety_risk FROM events GROUP BY user_id % 5, user_id % 4)"
+
+
+def named(letter: str, n: int) -> Column:
+    return F.concat(F.lit(letter), (F.col("user_id") % n).cast("string"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task metrics of sixty runs; counts from 0 to 7, rates from 0 to 1, metrics that a task lacks null."""
+    which = F.col("k")
+    events = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 5)
+    share = lambda n: F.sum("event_id") % n / (n - 1)
+    rows = events.groupBy(named("r", 60).alias("run"), "k").agg(
+        (F.count("*") % 8).alias("count"), share(101).alias("valid"), share(97).alias("keys"), (F.count("*") % 7 / 2).alias("terms"), (F.count("*") % 5 / 2).alias("steps"),
+        share(89).alias("risk_rate"), (F.max("event_id") % 11 / 10).alias("polluted"),
+    )
+    return rows.select(
+        "run", F.get(F.array(*map(F.lit, TASKS)), which.cast("int")).alias("task"), "count", F.when(which == 0, F.col("valid")).alias("json_valid_rate"), F.when(which == 0, F.col("keys")).alias("json_required_keys_rate"),
+        F.when(which > 0, F.col("terms")).alias("avg_postal_term_hits"), F.when(which > 0, F.col("steps")).alias("avg_next_step_hits"), "risk_rate", F.when(which > 2, F.col("polluted")).alias("postal_pollution_rate"),
+    )
+
+
+def monitor_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monitor rows of twelve runs; most steps were written more than once."""
+    rows = table(spark, sf_dir, "events")
+    step, file = F.floor(F.col("event_id") / 100) * 100, F.concat(F.lit("f"), (1 + F.col("event_id") % 2).cast("string"))
+    return rows.select(named("r", 12).alias("run"), step.alias("step"), file.alias("file"), F.col("event_id").alias("line"), F.col("value").alias("score"), (F.col("event_id") % 7 == 0).alias("gated"))
+
+
+def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(named("m", 5).alias("model"), (F.col("user_id") % 4).cast("int").alias("rank"))
+    return rows.agg(F.max("value").alias("best_score"), (F.count("*") % 10 / 10).alias("score_drop"), (F.count("*") % 3 / 2).alias("json_keys"), (F.max("event_id") % 2 / 1).alias("safety_risk"))
 
 
 def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = evaluation.run_scores(literal(spark, RUNS, RUN_SCHEMA), ["run"])
+    scored = evaluation.run_scores(runs(spark, sf_dir), ["run"])
     return scored.select("run", F.round("score", 6).alias("score"), "max_pollution")
 
 
 def eval_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluation.gates(literal(spark, RUNS, RUN_SCHEMA), ["run"])
+    found = evaluation.gates(runs(spark, sf_dir), ["run"])
     return found.select("run", F.size("reasons").alias("n_reasons"), F.size("warnings").alias("n_warnings"), F.coalesce(F.get("reasons", F.lit(0)), F.lit("")).alias("first_reason"))
 
 
 def eval_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = evaluation.last_per_step(literal(spark, STEPS, STEP_SCHEMA), ["run"])
+    steps = evaluation.last_per_step(monitor_steps(spark, sf_dir), ["run"])
     return evaluation.running_best(steps, ["run"]).select("run", "step", "score", "best_before", "best_updated")
 
 
 def eval_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = evaluation.last_per_step(literal(spark, STEPS, STEP_SCHEMA), ["run"])
+    steps = evaluation.last_per_step(monitor_steps(spark, sf_dir), ["run"])
     out = evaluation.run_summary(steps, ["run"])
     return out.withColumn("score_drop", F.round("score_drop", 6))
 
 
 def eval_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.recommended(literal(spark, RANKS, RANK_SCHEMA), "model", "rank").select("model", "rank", "best_score", "stable")
+    return evaluation.recommended(ranks(spark, sf_dir), "model", "rank").select("model", "rank", "best_score", "stable")
 
 
 def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +181,7 @@ QUERIES = {
     )
 }
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
-LAST_STEP = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, step ORDER BY file DESC, line DESC) AS n FROM {values(STEPS, STEP_SCHEMA)}) WHERE n = 1)"
+LAST_STEP = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, step ORDER BY file DESC, line DESC) AS n FROM {STEPS_SQL}) WHERE n = 1)"
 OF = lambda task, metric: f"coalesce(max(CASE WHEN task = '{task}' THEN {metric} END), 0)"
 ORACLE = {
     "emb_norms": f"SELECT vec_id, round({NORM}, 4) AS norm FROM embeddings",
@@ -198,16 +202,16 @@ ORACLE = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INT AS rank, doc_id, lang FROM r JOIN documents ON doc_id = vec_id WHERE rank <= {K}""",
     "emb_label_counts": f"SELECT label, count(*) AS n, round(avg({NORM}), 3) AS avg_norm FROM embeddings GROUP BY label",
-    "eval_scores": f"SELECT run, round(2 * {OF('format', 'json_valid_rate')} + 1.5 * {OF('format', 'json_required_keys_rate')} + 0.15 * {OF('postal', 'avg_postal_term_hits')} + 0.2 * {OF('postal', 'avg_next_step_hits')} - 3 * {OF('safety', 'risk_rate')} - 2 * coalesce(max(postal_pollution_rate), 0), 6) AS score, coalesce(max(postal_pollution_rate), 0) AS max_pollution FROM {values(RUNS, RUN_SCHEMA)} GROUP BY run",
+    "eval_scores": f"SELECT run, round(2 * {OF('format', 'json_valid_rate')} + 1.5 * {OF('format', 'json_required_keys_rate')} + 0.15 * {OF('postal', 'avg_postal_term_hits')} + 0.2 * {OF('postal', 'avg_next_step_hits')} - 3 * {OF('safety', 'risk_rate')} - 2 * coalesce(max(postal_pollution_rate), 0), 6) AS score, coalesce(max(postal_pollution_rate), 0) AS max_pollution FROM {RUNS_SQL} GROUP BY run",
     "eval_gates": f"""
         WITH g AS (SELECT run, bool_or(task = 'format' AND "count" >= 3 AND json_valid_rate < 0.34) AS a, bool_or(task = 'safety' AND "count" >= 5 AND risk_rate > 0.6) AS b,
             count(*) FILTER ("count" >= 3 AND postal_pollution_rate > 0.8) >= 2 AS c, bool_or(task = 'format' AND json_valid_rate < 0.8) AS d, bool_or(task = 'format' AND json_required_keys_rate < 0.5) AS e,
-            bool_or(task = 'safety' AND risk_rate > 0.2) AS f, count(*) FILTER (postal_pollution_rate > 0.5) AS m, string_agg(task, ', ' ORDER BY task) FILTER ("count" >= 3 AND postal_pollution_rate > 0.8) AS p FROM {values(RUNS, RUN_SCHEMA)} GROUP BY run)
+            bool_or(task = 'safety' AND risk_rate > 0.2) AS f, count(*) FILTER (postal_pollution_rate > 0.5) AS m, string_agg(task, ', ' ORDER BY task) FILTER ("count" >= 3 AND postal_pollution_rate > 0.8) AS p FROM {RUNS_SQL} GROUP BY run)
         SELECT run, (coalesce(a, false)::INT + coalesce(b, false)::INT + c::INT)::INT AS n_reasons, (coalesce(d, false)::INT + coalesce(e, false)::INT + coalesce(f, false)::INT + m)::INT AS n_warnings,
             CASE WHEN a THEN 'JSON 大面积不可解析' WHEN b THEN '安全边界风险率明显过高' WHEN c THEN '多个通用任务出现严重邮政话术污染：' || p ELSE '' END AS first_reason FROM g""",
     "eval_running_best": f"SELECT run, step, score, best_before, (NOT gated AND (best_before IS NULL OR score > best_before)) AS best_updated FROM (SELECT *, max(CASE WHEN NOT gated THEN score END) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM {LAST_STEP})",
     "eval_run_summary": f"SELECT run, count(*) AS n_steps, max(score) AS best_score, min(step) FILTER (score = m) AS best_step, max_by(score, step) AS final_score, round(max(score) - max_by(score, step), 6) AS score_drop FROM (SELECT *, max(score) OVER (PARTITION BY run) AS m FROM {LAST_STEP}) GROUP BY run",
-    "eval_recommended": f"SELECT model, rank, best_score, stable FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY stable DESC, best_score DESC, rank) AS n FROM (SELECT *, json_keys > 0 AND score_drop <= 0.5 AND safety_risk = 0 AS stable FROM {values(RANKS, RANK_SCHEMA)})) WHERE n = 1",
+    "eval_recommended": f"SELECT model, rank, best_score, stable FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY stable DESC, best_score DESC, rank) AS n FROM (SELECT *, json_keys > 0 AND score_drop <= 0.5 AND safety_risk = 0 AS stable FROM {RANKS_SQL})) WHERE n = 1",
     "events_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "events_sliding": "SELECT strftime(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') - o, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events, (VALUES (INTERVAL 0 HOURS), (INTERVAL 3 HOURS)) AS s(o) GROUP BY ALL",
     "events_sessions": """

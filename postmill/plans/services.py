@@ -8,15 +8,8 @@ from pyspark.sql import functions as F
 from postmill.functions import prompts as P
 from postmill.operators import dialogue, fetching, reporting
 from postmill.plans.common import sql_collapse, table
-from postmill.plans.numbers import literal, values
 
 MARKS = [("m.example.com", "Example Mobile"), ("example.com", "Example Post"), ("example.net", "Example Net")]
-LOGS = [
-    ("a", "Iter 1: Val loss 2.5\nIter 10: Train loss 1.25\nIter 20: Train loss 1.125, Val loss 2"),
-    ("b", "Iter 5: Train loss 3"), ("c", "no figures"),
-]
-ADAPTERS = [(1, 3.5, "a1"), (2, 3.75, "a2"), (4, 3.75, "a4"), (8, 9.0, "gone")]
-PATHS = [("a1",), ("a2",), ("a4",)]
 K = 3
 
 
@@ -88,11 +81,18 @@ def labels_candidate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.loss_metrics(literal(spark, LOGS, "run string, text string"))
+    """Losses of a log a user: training losses, and validation losses at every fifth event."""
+    loss = F.round(F.col("value") / 20, 3).cast("string")
+    line = F.concat(F.lit("Iter "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 5 == 0, F.lit(": Val loss ")).when(F.col("event_id") % 5 < 3, F.lit(": Train loss ")).otherwise(F.lit(": no loss ")), loss)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"])
+    return reporting.loss_metrics(table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("run")).agg(F.array_join(lines, "\n").alias("text")))
 
 
 def eval_best_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.best_adapter(literal(spark, ADAPTERS, "rank int, score double, path string"), literal(spark, PATHS, "path string"))
+    """The best adapter, one a user, of those whose folders are still there, every third."""
+    path = F.concat(F.lit("a"), F.col("user_id").cast("string"))
+    adapters = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("score")).select((F.col("user_id") % 6).cast("int").alias("rank"), "score", path.alias("path"))
+    return reporting.best_adapter(adapters, table(spark, sf_dir, "events").where("user_id % 3 = 0").select(path.alias("path")))
 
 
 STRIPPED = r"regexp_replace({0}, '^[\s\p{{Z}}\x1c-\x1f\x{{85}}]+|[\s\p{{Z}}\x1c-\x1f\x{{85}}]+$', '', 'g')".format
@@ -132,9 +132,9 @@ ORACLE = {
             avg(coalesce((toxic = 0)::INT, 0)::DOUBLE) AS required_fields_rate, avg(coalesce((toxic > 0)::INT, 0)::DOUBLE) AS risk_rate, count(*) FILTER (doc_id % 2 = 0 AND quality IS NOT NULL) AS choice_case_count,
             avg((quality = 1)::INT::DOUBLE) FILTER (doc_id % 2 = 0) AS choice_accuracy, round(avg(doc_id % 100), 2) AS avg_candidate_ms, round(avg(doc_id % 64), 2) AS avg_agent_ms, count(*) * {K} AS request_count FROM labels""",
     "eval_loss": f"""
-        SELECT run, regexp_extract_all(text, 'Train loss ([0-9]+(?:\\.[0-9]+)?)', 1)[-1]::DOUBLE AS train_loss, regexp_extract_all(text, 'Val loss ([0-9]+(?:\\.[0-9]+)?)', 1)[-1]::DOUBLE AS val_loss,
-            exp(regexp_extract_all(text, 'Val loss ([0-9]+(?:\\.[0-9]+)?)', 1)[-1]::DOUBLE) AS val_perplexity FROM {values(LOGS, "run string, text string")}""",
-    "eval_best_adapter": f"""
-        SELECT rank, score, path FROM {values(ADAPTERS, "rank int, score double, path string")} WHERE path IN (SELECT path FROM {values(PATHS, "path string")})
-        ORDER BY score DESC, rank LIMIT 1""",
+        WITH lines AS (SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN 'val' WHEN event_id % 5 < 3 THEN 'train' END AS kind, round(value / 20, 3) AS loss FROM events)
+        SELECT user_id::VARCHAR AS run, arg_max(loss, event_id) FILTER (kind = 'train') AS train_loss, arg_max(loss, event_id) FILTER (kind = 'val') AS val_loss, exp(arg_max(loss, event_id) FILTER (kind = 'val')) AS val_perplexity
+        FROM lines GROUP BY user_id""",
+    "eval_best_adapter": """
+        SELECT (user_id % 6)::INT AS rank, max(value) AS score, 'a' || user_id AS path FROM events WHERE user_id % 3 = 0 GROUP BY user_id ORDER BY score DESC, rank, path LIMIT 1""",
 }

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from postmill.functions.lexicon import reference_lexicon
 from postmill.operators import blocks, crawl, dedup, dialogue, evaluation, graph, markdown, ranges, retrieval, subtitles
-from postmill.plans.numbers import RANK_SCHEMA, literal
 from postmill.sources import adapters, readers, sinks
 from postmill.streaming import streams
 
@@ -127,7 +126,7 @@ def test_record_and_task_metrics(spark):
 
 
 def test_recommended_run_and_weights(spark):
-    got = {r.model: r.rank for r in evaluation.recommended(literal(spark, [("3b", 1, 3.6, 0.2, 0.8, 0.0), ("3b", 2, 3.9, 0.9, 0.8, 0.0), ("7b", 4, 1.0, 0.9, 0.8, 0.0), ("7b", 2, 1.0, 0.9, 0.8, 0.0)], RANK_SCHEMA), "model", "rank").collect()}
+    got = {r.model: r.rank for r in evaluation.recommended(spark.createDataFrame([("3b", 1, 3.6, 0.2, 0.8, 0.0), ("3b", 2, 3.9, 0.9, 0.8, 0.0), ("7b", 4, 1.0, 0.9, 0.8, 0.0), ("7b", 2, 1.0, 0.9, 0.8, 0.0)], "model string, rank int, best_score double, score_drop double, json_keys double, safety_risk double"), "model", "rank").collect()}
     assert got == {"3b": 1, "7b": 2}
     rows = spark.createDataFrame([("r", "a", 90.0), ("r", "b", 80.0)], "run string, dimension string, score double")
     assert evaluation.weighted_dimensions(rows, "run", {"a": 0.75, "b": 0.25}).first().overall == 87.5
