@@ -44,6 +44,8 @@ NO_WORD = -3.0
 #: What rejecting all clean texts costs, against passing all toxic ones.
 CLEAN_WEIGHT = 3
 THRESHOLD = 0.7
+#: A word whose share of clean texts is at most this part of its share of toxic ones stands there by wrong labels.
+MISLABELLED = 0.05
 
 
 @dataclass(frozen=True)
@@ -58,8 +60,8 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the joined lower-case texts, their word borders, each text's first place.
 
     Letters keep their code; a border (white space, and punctuation beside it)
-    is 1; any other character inside a word is left out, and so is a space
-    between two single letters.
+    is 1; any other character inside a word is left out, and so is white space
+    of any length, line ends aside, between two single letters.
     """
     low = [t.lower() for t in texts]
     begins = np.cumsum([0] + [len(t) + 1 for t in low])
@@ -71,9 +73,12 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         border[:-1] |= border[1:] & ~letter[:-1]
         border[1:] |= border[:-1] & ~letter[1:]
     at = np.flatnonzero(border)
-    single = np.diff(at) == 2
-    lone = at[1:-1][single[:-1] & single[1:]] if len(at) > 2 else at[:0]
-    border[lone[codes[lone] == 32]] = False
+    opens = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+    closes = np.append(opens[1:], len(at)) - 1
+    single = at[opens[1:]] - at[closes[:-1]] == 2
+    blank = np.logical_and.reduceat(kernels.SPACE[flat[at]] & (codes[at] != 10), opens)
+    lone = np.concatenate(([False], single[:-1] & single[1:], [False])) & blank if len(opens) > 2 else np.zeros(len(opens), bool)
+    border[at[np.repeat(lone, closes - opens + 1)]] = False
     out = np.where(letter, flat + np.uint32(2), np.uint32(0))
     out[border] = 1
     kept = np.flatnonzero(out)
@@ -212,6 +217,8 @@ def fit(texts: list[str], labels: list[int], landmarks: int, clean_words: int) -
         counts = bad if label else good
         for w in words:
             counts[w] = counts.get(w, 0) + 1
+    share = {w: (n / (y == 0).sum()) / max(bad.get(w, 0) / (y == 1).sum(), 1e-12) for w, n in good.items()}
+    good = {w: n for w, n in good.items() if share[w] > MISLABELLED}
     odds = {w: n / (y == 1).sum() - 3 * good.get(w, 0) / (y == 0).sum() for w, n in bad.items()}
     toxic_lists = [[w for w in words if w not in good] for words, label in zip(lists, y, strict=True) if label]
     toxic_lists = [words for words in toxic_lists if words]
@@ -297,8 +304,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, per_label: int, text
         model = fit([t for _, t, _ in rows], [int(y) for _, _, y in rows], landmarks, clean_words) if rows else None
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    # The sample is bounded, so one task learns from it; the driver gets the table of weights.
-    found = picked.select("doc_id", "text", "toxic").coalesce(1).mapInPandas(learn, "model binary").first()
+    # Only the bounded sample is moved to the one task that learns; the scan before it stays in parallel. The driver gets the table of weights.
+    found = picked.select("doc_id", "text", "toxic").repartition(1).mapInPandas(learn, "model binary").first()
     return pickle.loads(found["model"]) if found else None
 
 
