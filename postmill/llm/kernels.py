@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +41,20 @@ class Spans:
 
     A span's digest is the scrambled polynomial of its symbols, taken from the
     difference of two running sums and shifted back by the odd base's inverse
-    modulo 2**64, so a batch of spans costs one pass.
+    modulo 2**64, so a batch of spans costs one pass. Long spans can be chosen
+    so that such polynomials agree; with ``exact`` those of more than ``LONG``
+    symbols get a cryptographic digest, one by one.
     """
 
+    LONG = 64
+
     BASE = 0xD6E8FEB86659FD93
     INVERSE = pow(BASE, -1, 1 << 64)
     SYMBOLS = mix(np.arange(0x10000, dtype=np.uint64) + GOLDEN)
     POWERS: dict[int, np.ndarray] = {}
 
     def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
         symbols = self.SYMBOLS[np.minimum(codes, 0xFFFF)]
         high = np.flatnonzero(codes > 0xFFFE)
         symbols[high] = mix(codes[high].astype(np.uint64) + GOLDEN)
@@ -67,9 +73,14 @@ class Spans:
             cls.POWERS[base] = np.multiply.accumulate(known, out=known)
         return known[:n]
 
-    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def digests(self, starts: np.ndarray, ends: np.ndarray, exact: bool = False) -> np.ndarray:
         poly = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(poly + mix((ends - starts).astype(np.uint64)))
+        out = mix(poly + mix((ends - starts).astype(np.uint64)))
+        if exact:
+            for i in np.flatnonzero(ends - starts > self.LONG).tolist():
+                span = self.codes[starts[i] : ends[i]].tobytes()
+                out[i] = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
+        return out
 
 
 def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -235,7 +235,7 @@ class Encoder:
         begins = np.cumsum([0] + [len(texts[i]) for i in rest])
         starts = self.cuts(codes, begins[:-1])
         ends = np.append(starts[1:], len(codes))
-        keys = kernels.Spans(codes).digests(starts, ends) | np.uint64(1)
+        keys = kernels.Spans(codes).digests(starts, ends, exact=True) | np.uint64(1)
         slots = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         offsets, each = self.places[slots], self.sizes[slots].astype(np.int64)
         missed = np.flatnonzero(self.keys[slots] != keys)

@@ -1,4 +1,5 @@
 import collections
+import random
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from postmill.llm import chunk_dedup, jaccard_join, kernels, language, token_file
+from postmill.llm import chunk_dedup, jaccard_join, kernels, language, token_file, toxicity
 
 pytestmark = pytest.mark.filterwarnings("ignore")
 
@@ -185,3 +186,42 @@ def test_every_shared_passage_of_51_words_is_seen():
             run = run + n if d in common else 0
             best = max(best, run)
         assert best >= chunk_dedup.MIN_WORDS
+
+
+def alternating(n, first="a"):
+    """A word whose letters follow the parity of their places' binary digits, and its complement."""
+    other = "b" if first == "a" else "a"
+    return "".join(first if bin(i).count("1") % 2 == 0 else other for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 512, 1024, 4096, 8192])
+def test_crafted_words_have_digests_of_their_own(n):
+    one, two = alternating(n), alternating(n, "b")
+    codes = kernels.code_points(one + " " + two)
+    digests = kernels.Spans(codes).digests(np.array([0, n + 1]), np.array([n, 2 * n + 1]), exact=True)
+    assert digests[0] != digests[1]
+    assert not np.intersect1d(*jaccard_join.shingle_sets([one, two])).size
+
+
+def test_crafted_words_get_the_ids_of_the_library():
+    from postmill.llm.catalogue import TOKENIZER
+    from tokenizers import Tokenizer
+
+    coder, library = token_file.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = [alternating(n, first) for n in (512, 1024, 2048, 4096) for first in "ab"]
+    for text, ids in zip(texts, coder.batch(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_wrong_label_does_not_switch_the_model_off():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(30))
+    insults = lambda w: f"{prose()} {w} {prose()}"
+    toxic, clean = [insults("zwixgub") for _ in range(150)], [prose() for _ in range(400)]
+    model = toxicity.fit(toxic + clean + [insults("zwixgub")], [1] * 150 + [0] * 401, 64, 300)
+    assert (toxicity.scores([insults("zwixgub") for _ in range(50)], model) >= toxicity.THRESHOLD).all()
+    assert (toxicity.scores([insults("zwixxgub") for _ in range(50)], model) >= toxicity.THRESHOLD).mean() > 0.9
+    assert (toxicity.scores([prose() for _ in range(200)], model) < toxicity.THRESHOLD).all()
+    for gap in (" ", "  ", "\t", " \u00a0 "):
+        assert (toxicity.scores([insults(gap.join("zwixgub")) for _ in range(20)], model) >= toxicity.THRESHOLD).all(), repr(gap)
