@@ -1,15 +1,17 @@
 """Benchmark decontamination by canonical templates.
 
 A text becomes a row of template tokens, its runs of letters and digits.
-Capitalised words turn into a name placeholder, numbers into a number's, or a
-quantity's if a unit is with them, and a run of either into one; other words
-stay. Sentence openers are capitalised too, so they count as names wherever
+Capitalised words turn into a name placeholder, numbers, in digits or as words
+and with or without a unit, into a number's, and a run of either into one; other
+words stay. Sentence openers are capitalised too, so they count as names wherever
 they stand.
 Windows of ``WINDOW`` tokens of the benchmark and of the documents meet in a
 hash join; an item with fewer tokens is one window of its own length. So a
 question whose numbers and names were exchanged still meets its original. A
 window without any literal word says nothing about a template and must agree
-in its values.
+in its values. Windows of all words as they are, in lower case, meet beside
+them, so a copy that only changed its capitals, which decide about names, is
+found too.
 
 Hits are grouped by their diagonal (same item, same shift), and also over
 neighbouring diagonals, which an inserted word leads to. In a group every
@@ -40,12 +42,21 @@ SPREAD = 16
 #: Windows of the benchmark that are broadcast at once, about.
 BLOCK_WINDOWS = 250_000
 #: Codes of placeholders; words have codes from ``WORDS`` on.
-NUMBER, NAME, QUANTITY, WORDS = 1, 2, 3, 16
-# Units of measure recognised after a number.
+NUMBER, NAME, WORDS = 1, 2, 16
+#: Forms of windows: templates, and all words in lower case.
+TEMPLATE, FOLDED = 0, 1
+# Units of measure recognised after a number, and numbers as words.
 UNITS = [
-    "centimeters", "cm", "days", "dollars", "euros", "feet", "g", "gallons", "grams", "hours", "inches", "kg", "kilograms", "kilometers", "km",
-    "liters", "m", "meters", "miles", "minutes", "ml", "mm", "months", "ounces", "percent", "pounds", "seconds", "weeks", "yards", "years",
+    "cent", "centimeter", "centimeters", "cents", "cm", "day", "days", "dollar", "dollars", "euro", "euros", "feet", "foot", "g", "gallon", "gallons", "gram", "grams", "hour", "hours", "inch", "inches",
+    "kg", "kilogram", "kilograms", "kilometer", "kilometers", "km", "liter", "liters", "m", "meter", "meters", "mile", "miles", "minute", "minutes", "ml", "mm", "month", "months", "ounce", "ounces",
+    "pence", "percent", "pound", "pounds", "second", "seconds", "week", "weeks", "yard", "yards", "year", "years",
 ]
+NUMBER_WORDS = [
+    "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million",
+]
+
+
 def is_number(word: Column) -> Column:
     return (word >= "0") & (word < ":")
 
@@ -57,8 +68,14 @@ def is_capital(word: Column) -> Column:
 
 
 def raw_words(text: Column) -> Column:
-    """Runs of letters and digits; empty words at the ends are the template's to leave out."""
-    return F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\p{M}]+")
+    """Runs of letters and digits, a number's word as a digit; empty words at the ends are the template's to leave out."""
+    written = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)\b(?:{'|'.join(NUMBER_WORDS)})\b", "0")
+    return F.split(written, r"[^\p{L}\p{N}\p{M}]+")
+
+
+def folded_codes(words: Column) -> Column:
+    """A number for each raw word in lower case."""
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.shiftrightunsigned(F.xxhash64(F.lower(w), F.lit("folded")), 2) + WORDS)
 
 
 def raw_codes(words: Column) -> Column:
@@ -67,14 +84,12 @@ def raw_codes(words: Column) -> Column:
     No tokens are empty words, units after a number, and the words of a run of numbers or names but the first.
     """
     units = F.array(*map(F.lit, UNITS))
-    ends_in_unit = rf"^\d+({'|'.join(UNITS)})$"
 
     def code(w: Column, i: Column) -> Column:
-        before, next_, after = (F.get(words, i + k) for k in (-1, 1, 2))
-        measured = w.rlike(ends_in_unit) | F.array_contains(units, F.lower(next_)) | (is_number(next_) & F.array_contains(units, F.lower(after)))
-        number = F.when(is_number(before), 0).when(measured, QUANTITY).otherwise(NUMBER)
+        before = F.get(words, i - 1)
+        number = F.when(is_number(before), 0).otherwise(NUMBER)
         placeholder = F.when(is_number(w), number).when(is_capital(w), F.when(is_capital(before), 0).otherwise(NAME))
-        gone = (w == "") | (is_number(before) & F.array_contains(units, w))
+        gone = (w == "") | (is_number(before) & F.array_contains(units, F.lower(w)))
         return F.coalesce(placeholder.when(gone, 0).cast("long"), F.shiftrightunsigned(F.xxhash64(w), 2) + WORDS)
 
     return F.transform(words, code)
@@ -96,24 +111,25 @@ def value_digests(words: Column, places: Column, at: Column) -> Column:
 
 
 def coded(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys, raw words, codes and places (of the codes' words) of each row."""
+    """The keys, raw words, codes, places (of the codes' words) and folded codes of each row."""
     split = rows.select(*keys, raw_words(F.col("text")).alias("words"))
     raw = split.select(*keys, "words", raw_codes(F.col("words")).alias("raw"))
     places = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: F.get("raw", i) != 0)
-    return raw.select(*keys, "words", places.alias("places"), F.array_remove("raw", F.lit(0).cast("long")).alias("codes"))
+    return raw.select(*keys, "words", places.alias("places"), F.array_remove("raw", F.lit(0).cast("long")).alias("codes"), folded_codes(F.col("words")).alias("folded"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_at, hash, length, item_windows, slots (their places in the window) and was (values) of all windows of all items."""
-    items = coded(benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct(), "item_id").withColumn("n", F.size("codes"))
+    """item_id, form, item_at, hash, length, item_windows, slots (their places in the window) and was (values) of all windows of all items."""
+    both = coded(benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct(), "item_id")
+    forms = F.array(F.struct(F.lit(TEMPLATE).alias("form"), F.col("codes").alias("codes")), F.struct(F.lit(FOLDED).alias("form"), F.col("folded").alias("codes")))
+    items = both.select("item_id", "words", "places", F.explode(forms).alias("f")).select("item_id", "words", "places", "f.form", "f.codes").withColumn("n", F.size("codes"))
     items = items.withColumn("length", F.least("n", F.lit(WINDOW)))
     hashes = reduce(lambda other, k: F.when(F.col("n") == k, window_hashes(F.col("codes"), k)).otherwise(other), range(1, WINDOW), window_hashes(F.col("codes"), WINDOW))
     # Outer, for an inner one would have Spark compute the arrays once more, in a filter on their sizes.
     each = items.select("*", F.posexplode_outer(hashes).alias("item_at", "hash"))
     slots = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.get("codes", F.col("item_at") + k) < WORDS)
-    return each.where("hash IS NOT NULL").select(
-        "item_id", "item_at", "hash", "length", (F.col("n") - F.col("length") + 1).alias("item_windows"), slots.alias("slots"), value_digests(F.col("words"), F.col("places"), F.col("item_at")).alias("was")
-    )
+    was = F.when(F.col("form") == TEMPLATE, value_digests(F.col("words"), F.col("places"), F.col("item_at"))).otherwise(F.array().cast("array<bigint>"))
+    return each.where("hash IS NOT NULL").select("item_id", "form", "item_at", "hash", "length", (F.col("n") - F.col("length") + 1).alias("item_windows"), slots.alias("slots"), was.alias("was"))
 
 
 def sound_windows(hits: Column) -> Column:
@@ -147,24 +163,29 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     """
     items = materialise(benchmark_windows(benchmark), "item-windows")
     n = items.count()
-    # At most WINDOW different lengths; documents need windows of those lengths only.
-    lengths = sorted((r["length"] for r in items.select("length").distinct().collect()), reverse=True) or [WINDOW]
+    # At most WINDOW different lengths of a form; documents need windows of those lengths only.
+    known = sorted(((r["form"], -r["length"]) for r in items.select("form", "length").distinct().collect())) or [(TEMPLATE, -WINDOW)]
+    kinds = [(form, -length) for form, length in known]
     texts = coded(docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")), "doc_id", "text_hash")
-    texts = texts.withColumn("hashes", F.concat(*[window_hashes(F.col("codes"), k) for k in lengths])).withColumn("n", F.size("codes"))
-    each = texts.select("doc_id", "text_hash", "words", "places", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
+    of = {TEMPLATE: "codes", FOLDED: "folded"}
+    texts = texts.withColumn("hashes", F.concat(*[window_hashes(F.col(of[form]), k) for form, k in kinds])).withColumn("n", F.array(F.size("codes"), F.size("folded")))
     blocks = max(1, -(-n // BLOCK_WINDOWS))
+    texts = texts.select("doc_id", "text_hash", "words", "places", "n", "hashes")
+    texts = materialise(texts, "text-windows") if blocks > 1 else texts
+    each = texts.select("doc_id", "text_hash", "words", "places", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
     met = [each.join(F.broadcast(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)), "hash") for b in range(blocks)]
-    # Hashes stand by length, the longest first.
-    ahead = lambda k: sum((F.greatest(F.col("n") - m + 1, F.lit(0)) for m in lengths if m > k), F.lit(0))
-    at = F.col("pos") - reduce(lambda other, k: F.when(F.col("length") == k, ahead(k)).otherwise(other), lengths, F.lit(0))
+    # Hashes stand by form and length, the longest first.
+    ahead = lambda i: sum((F.greatest(F.get("n", F.lit(form)) - m + 1, F.lit(0)) for form, m in kinds[:i]), F.lit(0))
+    mine = lambda form, k: (F.col("form") == form) & (F.col("length") == k)
+    at = F.col("pos") - reduce(lambda other, i: F.when(mine(*kinds[i]), ahead(i)).otherwise(other), range(len(kinds)), F.lit(0))
     placed = reduce(DataFrame.unionAll, met).withColumn("at", at).withColumn("now", value_digests(F.col("words"), F.col("places"), F.col("at"))).drop("words", "places", "n", "pos", "hash")
     hits = placed.where((F.size("slots") < F.col("length")) | (F.slice("was", F.lit(1), F.col("length")) == F.slice("now", F.lit(1), F.col("length"))))
     pairs = F.transform("slots", lambda k: F.struct(F.get("was", k).alias("was"), F.get("now", k).alias("now")))
     shift = F.col("at") - F.col("item_at")
     # Each hit counts on its own diagonal and in both stretches of neighbouring ones that hold it.
     groups = F.array(
-        F.struct(F.lit(0).alias("kind"), shift.alias("place")), F.struct(F.lit(1).alias("kind"), F.floor(shift / SPREAD).cast("int").alias("place")),
-        F.struct(F.lit(2).alias("kind"), F.floor((shift + SPREAD // 2) / SPREAD).cast("int").alias("place")),
+        F.struct("form", F.lit(0).alias("kind"), shift.alias("place")), F.struct("form", F.lit(1).alias("kind"), F.floor(shift / SPREAD).cast("int").alias("place")),
+        F.struct("form", F.lit(2).alias("kind"), F.floor((shift + SPREAD // 2) / SPREAD).cast("int").alias("place")),
     )
     dealt = hits.select("doc_id", "text_hash", "item_id", "item_windows", "item_at", "at", pairs.alias("pairs"), F.explode(groups).alias("group"))
     # A group has at most SPREAD hits for each window of its item, when repeated rows count once.
