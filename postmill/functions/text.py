@@ -181,3 +181,18 @@ def choice(text: Column) -> Column:
     patterns = [r"答案[:：]?\s*([ABCD])\b", r"选项[:：]?\s*([ABCD])\b", r"^\s*([ABCD])\b", r"\b([ABCD])\b"]
     body = generated_body(text)
     return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(body, f"(?im){p}", 1), F.lit("")) for p in patterns], F.lit("")))
+
+
+def safe_label(value: Column) -> Column:
+    """A label as the start of a file name: other characters than ASCII letters, digits, ``_.-`` become one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^A-Za-z0-9_.-]+", "_"), r"\A_+|_+\z", "")
+
+
+def safe_file(value: Column) -> Column:
+    """A value as part of a file name: each character that is no letter, digit or one of ``-_.`` becomes an underscore."""
+    return F.regexp_replace(F.coalesce(value, F.lit("")), r"[^\p{L}\p{N}_.-]", "_")
+
+
+def markdown_whitespace(text: Column) -> Column:
+    """Line feeds only, at most one blank line in a row, nothing blank around."""
+    return strip(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n{3,}", "\n\n"))

@@ -12,6 +12,18 @@ from postmill.functions.lexicon import Lexicon
 from postmill.session import materialise
 
 
+def seeds(sources: DataFrame) -> DataFrame:
+    """The first tasks of sources (source_id, company, entry_urls, allowed_topics): one for each entry address, at depth 0."""
+    rows = sources.select("source_id", "company", F.col("allowed_topics").alias("topic_hints"), F.posexplode("entry_urls").alias("pos", "url"))
+    return rows.select("source_id", "company", "pos", "url", "topic_hints", F.lit(0).alias("depth"))
+
+
+def with_source(log: DataFrame, sources: DataFrame) -> DataFrame:
+    """Log rows with their source's company and topics in place of their own; rows of unknown sources are left out."""
+    known = sources.select("source_id", "company", "allowed_topics").dropDuplicates(["source_id"])
+    return log.drop("company", "allowed_topics").join(known, "source_id")
+
+
 def crawl(sources: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int = 2, budget: int = 20) -> DataFrame:
     """Pages reached from ``sources`` (source_id, url) in rounds of equal depth.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from postmill.functions.lexicon import WAF_MARKERS
 from postmill.operators import links
 
 # Parts of addresses and the companies they belong to; the first that matches counts.
@@ -18,8 +19,7 @@ COMPANIES = [
     ("jtexpress.com.cn", "极兔速递"), ("deppon.com", "德邦快递"), ("ky-express.com", "跨越速运"), ("cainiao.com", "菜鸟"),
 ]
 OTHER_COMPANY = "其他来源"
-# Texts of blocking pages, in lower case, and the states that mean the same on one site.
-BLOCK_MARKERS = ["访问的url有可能对网站造成安全威胁", "your request has been blocked", "potential threats to the server", "attack.jinxibei.com"]
+# States that mean a blocked page on one site.
 BLOCK_STATES = [405, 406, 412]
 GUARDED_SITE = "ems.com.cn"
 # Redirects by script, then by a meta element.
@@ -61,7 +61,7 @@ def browser_retry(url: Column) -> Column:
 def blocked(status: Column, text: Column, final_url: Column) -> Column:
     """Whether a response is a security device's page."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    marked = F.exists(F.array(*map(F.lit, BLOCK_MARKERS)), lambda m: F.contains(low, m))
+    marked = F.exists(F.array(*map(F.lit, WAF_MARKERS)), lambda m: F.contains(low, m))
     return marked | F.coalesce(status.isin(BLOCK_STATES) & F.contains(F.lower(final_url), F.lit(GUARDED_SITE)), F.lit(False))
 
 

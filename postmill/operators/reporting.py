@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.functions import prompts as P
+from postmill.functions import text as T
 from postmill.functions.prompts import one_line
+from postmill.operators.ranges import prefix_sum
 
 
 def first_seen_counts(rows: DataFrame, column: str, order: str) -> DataFrame:
@@ -89,3 +92,49 @@ def identity_examples(records: DataFrame, system: str) -> DataFrame:
     pairs = records.where(F.col("messages").isNull() & (asked != "") & (answered != ""))
     built = F.array(message("system", F.lit(system)), message("user", asked), message("assistant", answered))
     return whole.unionByName(pairs.select("ord", built.alias("messages")))
+
+
+def most_common(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """key, n and place (from 1) of every value: the most frequent first, then the one that appears first. Counts combine on the map side."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("__first"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "__first", key))  # one row a value
+    return counted.select(key, "n", place.alias("place"))
+
+
+# The source that is shown as question and answer, and the words of a sample's block.
+ASKED_SOURCE = "ems_policy_network"
+BLOCK_ROWS = [("来源标识", "source_id", True), ("公司字段", "company", False), ("类别", "policy_categories", False), ("是否涉及保险", "insurance_available", False), ("标题", "title", False), ("定位", "locator", True)]
+SAMPLE, TABLE_HEAD, QUESTION, ANSWER, ORIGINAL = "### 样本 {}：", ["| 字段 | 内容 |", "|---|---|"], "问题：", "答案：", "原文："
+
+
+def originals(samples: DataFrame, sections: DataFrame) -> DataFrame:
+    """Samples with ``original``: the body of their section, quoted, else their evidence on one line.
+
+    ``samples`` has locator (file#anchor), title and evidence_text, ``sections``
+    file, first_line, title and body (lines). The first section of the file
+    with the title counts, without the blank lines and rules at its end; an
+    empty body counts as none.
+    """
+    first = sections.groupBy("file", T.strip(F.col("title")).alias("__title")).agg(F.min_by("body", "first_line").alias("__body"))
+    body = T.strip(P.without_trailing_rules(F.array_join("__body", "\n")))
+    quoted = F.nullif(F.array_join(F.transform(F.split(body, "\n"), lambda line: F.concat(F.lit("> "), line)), "\n"), F.lit("> "))
+    evidence = F.concat(F.lit("> "), P.one_line(F.col("evidence_text")))
+    at = samples.withColumn("__file", F.when(F.contains("locator", F.lit("#")), F.substring_index("locator", "#", 1))).withColumn("__wanted", T.strip(F.coalesce("title", F.lit(""))))
+    met = at.join(first.withColumnRenamed("file", "__section_file"), (F.col("__file") == F.col("__section_file")) & (F.col("__wanted") == F.col("__title")), "left")
+    return met.withColumn("original", F.coalesce(quoted, evidence)).drop("__file", "__wanted", "__section_file", "__title", "__body")
+
+
+def sample_blocks(samples: DataFrame, order: str) -> DataFrame:
+    """order and the report's block of every sample with its original, numbered from 1 in that order."""
+    numbered = prefix_sum(samples.withColumn("__one", F.lit(1)).withColumn("__bucket", F.floor(F.col(order) / 4096)), [], "__bucket", [order], "__one", "__before")
+    shown = {"policy_categories": P.listed(P.as_list(F.col("policy_categories"))), "insurance_available": P.flag(F.col("insurance_available"))}
+    cell = lambda name, code: F.concat(F.lit("`"), value(name), F.lit("`")) if code else value(name)
+    value = lambda name: shown.get(name, P.valued(F.col(name)))
+    rows = [F.concat(F.lit(f"| {label} | "), cell(name, code), F.lit(" |")) for label, name, code in BLOCK_ROWS]
+    before, after = SAMPLE.split("{}")
+    head = [F.concat(F.lit(before), (F.col("__before") + 1).cast("string"), F.lit(after), value("title")), F.lit(""), *map(F.lit, TABLE_HEAD), *rows, F.lit("")]
+    quote = lambda text: F.concat(F.lit("> "), text)
+    asked = [F.lit(QUESTION), F.lit(""), quote(P.one_line(F.col("title"))), F.lit(""), F.lit(ANSWER), F.lit(""), quote(P.one_line(P.answer_part(F.col("summary"), F.col("evidence_text")))), F.lit("")]
+    shown_text = [F.lit(ORIGINAL), F.lit(""), F.col("original"), F.lit("")]
+    block = F.when(F.col("source_id") == ASKED_SOURCE, F.concat_ws("\n", *head, *asked)).otherwise(F.concat_ws("\n", *head, *shown_text))
+    return numbered.select(order, block.alias("block"))

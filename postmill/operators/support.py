@@ -89,3 +89,29 @@ def parse_tickets(rows: DataFrame, output: str = "output") -> DataFrame:
     )
     out = parsed.withColumn("error", error)
     return out.withColumn("ticket", F.when(F.col("error").isNull(), ticket)).drop("__json", "__keys", "t")
+
+
+def with_issue(tickets: DataFrame, citations: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Tickets with ``issue_type`` from the first intent of the conversation's newest citation (key, created_at, id, intents); '' without one."""
+    newest = citations.groupBy(key).agg(F.max_by("intents", F.struct("created_at", "id")).alias("__intents"))
+    first = issue_type(F.coalesce(F.get("__intents", F.lit(0)), F.lit("")))
+    return tickets.join(newest, key, "left").withColumn("issue_type", first).drop("__intents")
+
+
+def ticket_json(ticket: Column) -> Column:
+    """A ticket as indented JSON text."""
+    return F.to_json(ticket, {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def model_choice(tuned: Column, default: Column, other: Column) -> Column:
+    """Provider and model (structs of both) by the switch; a tuned one that is not named is an error."""
+    missing = F.coalesce(F.nullif(other["provider"], F.lit("")), F.lit("")).eqNullSafe("") | F.coalesce(F.nullif(other["model"], F.lit("")), F.lit("")).eqNullSafe("")
+    named = F.when(missing, F.raise_error(F.lit("there is no tuned model")).cast("struct<provider:string,model:string>")).otherwise(other)
+    return F.when(tuned, named).otherwise(default)
+
+
+def model_metadata(tuned: Column, default: Column, other: Column) -> Column:
+    """The same pair for a message's metadata: both empty where the tuned model is not named."""
+    whole = (F.coalesce(other["provider"], F.lit("")) != "") & (F.coalesce(other["model"], F.lit("")) != "")
+    nothing = F.struct(F.lit("").alias("provider"), F.lit("").alias("model"))
+    return F.when(~tuned, default).when(whole, other).otherwise(nothing)

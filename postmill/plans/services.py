@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import prompts as P
+from postmill.functions.lexicon import WAF_MARKERS
 from postmill.operators import dialogue, fetching, reporting
 from postmill.plans.common import sql_collapse, table
 
@@ -125,7 +126,7 @@ ORACLE = {
     "conv_page": "SELECT conv_id, conv_id % 97 = 0 AS pinned, max(turn) AS updated_at FROM conversations GROUP BY conv_id ORDER BY pinned DESC, updated_at DESC, conv_id DESC LIMIT 30",
     "pages_company": f"SELECT CASE {' '.join(f'WHEN contains(url, {chr(39)}{m}{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for m, n in MARKS)} ELSE coalesce(nullif({NETLOC}, ''), '{fetching.OTHER_COMPANY}') END AS company, count(*) AS n FROM pages GROUP BY 1",
     "pages_blocked": f"""
-        SELECT page_id, {' OR '.join(f"contains(lower(html), '{m}')" for m in fetching.BLOCK_MARKERS)} OR (page_id % 5 = 0 AND contains(lower(url), '{fetching.GUARDED_SITE}')) AS blocked,
+        SELECT page_id, {' OR '.join(f"contains(lower(html), '{m}')" for m in WAF_MARKERS)} OR (page_id % 5 = 0 AND contains(lower(url), '{fetching.GUARDED_SITE}')) AS blocked,
             regexp_matches(lower(url), '(\\.html?|/)$') AS is_html FROM pages""",
     "labels_candidate_metrics": f"""
         SELECT count(*) AS sample_count, avg((doc_id % {K + 1}) / {K}::DOUBLE) AS success_rate, avg(coalesce((quality = 1)::INT, 0)::DOUBLE) AS json_valid_rate,

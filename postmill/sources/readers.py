@@ -104,11 +104,13 @@ def whole_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
-def media_files(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
-    """Paths and sizes of files with one of the extensions; contents are not read."""
+def media_files(spark: SparkSession, path: str, extensions: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """Paths and sizes of files with one of the extensions, or of all but those ``without`` them; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.where(suffix.isin([e.lower().lstrip(".") for e in extensions]))
+    plain = lambda names: [n.lower().lstrip(".") for n in names]
+    wanted = files if extensions is None else files.where(suffix.isin(plain(extensions)))
+    return wanted.where(~suffix.isin(plain(without))) if without else wanted
 
 
 def limit_per_file(rows: DataFrame, n: int, file: str = "file", order: str = "line") -> DataFrame:

@@ -7,6 +7,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions import text as T
 from postmill.session import fresh_path
 
 PREVIEW = 1000
@@ -66,3 +67,32 @@ def write_files(lines: DataFrame, folder: str, name: str = "name", order: str =
         if not files.rename(source, target):
             raise OSError(f"{target.toString()} could not be written")
     files.delete(to_path(scratch), True)
+
+
+def pdf_rows(fetches: DataFrame) -> DataFrame:
+    """name, body and the record of each PDF (source_id, company, url, title, body): files named by their address, as a table of binaries."""
+    name = F.concat(F.sha1("url"), F.lit(".pdf"))
+    record = F.to_json(F.struct("source_id", "company", "url", "title", name.alias("saved_path")), {"ignoreNullFields": "false"})
+    return fetches.select(name.alias("name"), "body", record.alias("record"))
+
+
+def call_log_rows(calls: DataFrame, at: str = "ts", model: str = "model") -> DataFrame:
+    """day, name and line of model calls: names of time, milliseconds and model, lines of JSON with the time of the call first."""
+    stamp = F.concat_ws("_", F.date_format(at, "yyyyMMdd_HHmmss"), F.lpad((F.floor(F.unix_micros(at) / 1000) % 1000).cast("string"), 3, "0"), T.safe_file(F.coalesce(model, F.lit("unknown-model"))))
+    rest = [F.col(c) for c in calls.columns if c != at]
+    line = F.to_json(F.struct(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssZ").alias("logged_at"), *rest), {"ignoreNullFields": "false"})
+    return calls.select(F.to_date(at).alias("day"), F.concat(stamp, F.lit(".json")).alias("name"), line.alias("line"))
+
+
+def write_call_log(rows: DataFrame, folder: str) -> None:
+    """Append call log lines, a folder a day; many calls share a file, which one file a call would not bear."""
+    rows.select("day", F.col("line").alias("value")).write.mode("append").partitionBy("day").text(folder)
+
+
+def replace_outputs(outputs: dict[str, DataFrame], needed: str) -> bool:
+    """Write tables in place of those at their paths, but only if the ``needed`` one has rows; otherwise all stay as they were."""
+    if outputs[needed].isEmpty():
+        return False
+    for path, rows in outputs.items():
+        rows.write.mode("overwrite").parquet(path)
+    return True
