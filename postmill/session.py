@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: The scratch folder of the work going on in this thread.
+SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def build_session(master: str = "local[8]", app: str = "postmill", **extra: str) -> SparkSession:
@@ -47,8 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, or in the scratch folder that is open."""
+    return f"{SCRATCH.get() or f'{shared_dir(spark)}/postmill'}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; for work whose results are written elsewhere, as each batch of a stream."""
+    folder = fresh_path(spark, "scratch")
+    before = SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        SCRATCH.reset(before)
+        drop_path(spark, folder)
 
 
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructType
 
 from postmill.operators.dedup import first_by
-from postmill.session import materialise
+from postmill.session import materialise, scratch
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,5 +46,9 @@ def make_once(requests: DataFrame, key: str, order: list[str], make: Callable[[D
     """
     spark = requests.sparkSession
     spark.createDataFrame([], StructType([*schema.fields]).add("batch", LongType())).write.mode("append").partitionBy("batch").parquet(f"{folder}/made")
-    write = lambda batch, number: commit(materialise(batch, "requests"), number, key, order, make, folder, schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        with scratch(spark):
+            commit(materialise(batch, "requests"), number, key, order, make, folder, schema)
+
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StructField, StructType
 
 from postmill.operators.dedup import keep_unseen
-from postmill.session import materialise
+from postmill.session import materialise, scratch
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SHARDS = 64
@@ -93,10 +93,11 @@ def keep_unseen_stream(rows: DataFrame, ordinal: str, url: str, fingerprint: str
     passed = flagged(flagged(both, url, ordinal), fingerprint, ordinal)
 
     def decide(batch: DataFrame, number: int) -> None:
-        fresh = materialise(batch.where("NOT is_kept AND NOT seen").select(*names), "unseen-batch")
-        if not fresh.isEmpty():
-            chosen = keep_unseen(fresh, ordinal, url, fingerprint).withColumn("batch", F.lit(number).cast("long"))
-            chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/kept")
+        with scratch(spark):
+            fresh = materialise(batch.where("NOT is_kept AND NOT seen").select(*names), "unseen-batch")
+            if not fresh.isEmpty():
+                chosen = keep_unseen(fresh, ordinal, url, fingerprint).withColumn("batch", F.lit(number).cast("long"))
+                chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/kept")
 
     writer = passed.writeStream.foreachBatch(decide).option("checkpointLocation", f"{folder}/checkpoint")
     try:

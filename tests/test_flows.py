@@ -7,12 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from postmill.operators import dialogue, frames, index, links, reduction, retrieval, subtitles
+from postmill.operators import dedup, dialogue, frames, index, links, reduction, retrieval, subtitles
 from postmill.plans.flows import REFERENCES
 from postmill.sources import readers, runs, sinks
 from postmill.streaming import once, unseen
 
 
+SEEN = "i long, u string, p string"
+
+
 def kept_one_by_one(rows):
     urls, prints, out = set(), set(), []
     for i, url, mark in sorted(rows):
@@ -23,14 +26,20 @@ def kept_one_by_one(rows):
     return out
 
 
+@pytest.mark.parametrize("most", [50_000, 30])
+def test_long_chains_of_choices_are_decided_in_few_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(dedup, "COMPONENT_ROWS", most)
+    chain = lambda n, name, start: [(start + i, f"{name}u{i // 2}", f"{name}p{(i + 1) // 2}") for i in range(n)]
+    rows = chain(600 if most > 30 else 24, "a", 0) + chain(12, "b", 1000) + [(2000, None, None), (2001, "au0", None), (2002, None, "ap0"), (2003, "bu1", "bp3")]
+    got = dedup.keep_unseen(spark.createDataFrame(rows, SEEN), "i", "u", "p")
+    assert sorted(r.i for r in got.collect()) == kept_one_by_one(rows)
+
+
 def random_rows(n, seed):
     rng = random.Random(seed)
     return [(i, rng.choice([None, *(f"u{k}" for k in range(n // 5))]), rng.choice([None, *(f"p{k}" for k in range(n // 5))])) for i in range(n)]
 
 
-SEEN = "i long, u string, p string"
-
-
 def test_a_stream_in_any_cut_keeps_what_the_loop_keeps(spark, tmp_path):
     rows, rng = random_rows(200, 1), random.Random(2)
     cuts = [0, *sorted(rng.sample(range(1, 200), 3)), 200]
