@@ -69,7 +69,8 @@ def is_capital(word: Column) -> Column:
 
 def raw_words(text: Column) -> Column:
     """Runs of letters and digits, a number's word as a digit; empty words at the ends are the template's to leave out."""
-    written = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)\b(?:{'|'.join(NUMBER_WORDS)})\b", "0")
+    first = "".join(sorted({w[0] for w in NUMBER_WORDS}))  # a look ahead that most words end at
+    written = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\b(?=[{first}{first.upper()}])(?i:{'|'.join(NUMBER_WORDS)})\b", "0")
     return F.split(written, r"[^\p{L}\p{N}\p{M}]+")
 
 
