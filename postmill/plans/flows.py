@@ -15,7 +15,7 @@ from postmill.sources import readers, runs, sinks
 from postmill.streaming import once, unseen
 
 #: Partitions of the streams' state here; a production stream names its own.
-STATE_PARTITIONS = 4
+STATE_PARTITIONS = 2
 PIECE, CHUNK = 7, 11
 K, STEP = 5, 50
 TREE_CHARS = 2000

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from postmill.operators import dedup, dialogue, frames, index, links, reduction, retrieval, subtitles
+from postmill import session
+from postmill.operators import dedup, dialogue, frames, index, links, reduction, retrieval, subtitles, support
 from postmill.plans.flows import REFERENCES
 from postmill.sources import readers, runs, sinks
 from postmill.streaming import once, unseen
@@ -317,3 +318,47 @@ def test_titles_and_error_rows(spark):
     errors = spark.createDataFrame([(1, "2025", "gone")], "conversation_id long, created_at string, message string")
     out = dialogue.with_error_rows(messages, errors).orderBy("created_at").collect()
     assert [(r.role, r.content, r.metadata) for r in out] == [("user", "hi", None), ("system", "gone", '{"kind":"error"}')]
+
+
+def test_a_tuned_model_must_be_named(spark):
+    pair = lambda p, m: F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model"))
+    rows = spark.createDataFrame([(True,), (False,)], "tuned boolean")
+    chosen = lambda other: [tuple(r.c) for r in rows.select(support.model_choice(F.col("tuned"), pair("a", "m"), other).alias("c")).collect()]
+    assert chosen(pair("b", "n")) == [("b", "n"), ("a", "m")]
+    with pytest.raises(Exception, match="no tuned model"):
+        chosen(pair("b", None))
+    assert [tuple(r.c) for r in rows.select(support.model_metadata(F.col("tuned"), pair("a", "m"), pair("b", "")).alias("c")).collect()] == [("", ""), ("a", "m")]
+
+
+def test_outputs_stay_unless_there_is_something_new(spark, tmp_path):
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    rows = spark.createDataFrame([(1,)], "v int")
+    assert sinks.replace_outputs({a: rows, b: rows}, a)
+    assert not sinks.replace_outputs({a: rows.limit(0), b: rows.union(rows)}, a)
+    assert [spark.read.parquet(p).count() for p in (a, b)] == [1, 1]
+
+
+def test_call_logs_are_appended_by_day_and_media_listed(spark, tmp_path):
+    calls = spark.createDataFrame([("2024-01-01 10:00:00.0425", "q/7b", 1), ("2024-01-02 00:00:00", None, 2)], "t string, model string, n int").select(F.col("t").cast("timestamp").alias("ts"), "model", "n")
+    rows = sinks.call_log_rows(calls)
+    assert [r.name for r in rows.orderBy("name").collect()] == ["20240101_100000_042_q_7b.json", "20240102_000000_000_unknown-model.json"]
+    for _ in range(2):
+        sinks.write_call_log(rows, f"{tmp_path}/log")
+    back = spark.read.json(f"{tmp_path}/log")
+    assert back.count() == 4 and {str(r.day) for r in back.select("day").distinct().collect()} == {"2024-01-01", "2024-01-02"}
+    for name in ("a.mp4", "b.TXT", "c.wav"):
+        (tmp_path / name).write_text("x")
+    named = lambda df: sorted(Path(r.path).name for r in df.collect() if "/log/" not in r.path)
+    assert named(readers.media_files(spark, str(tmp_path), without=[".txt"])) == ["a.mp4", "c.wav"]
+    assert named(readers.media_files(spark, str(tmp_path), ["MP4", "txt"])) == ["a.mp4", "b.TXT"]
+
+
+def test_scratch_tables_go_when_their_work_is_done(spark):
+    rows = spark.range(3)
+    with session.scratch(spark):
+        path = session.fresh_path(spark, "x")
+        inside = session.materialise(rows, "y")
+        assert inside.count() == 3 and "/scratch-" in path
+    with pytest.raises(Exception, match="(?i)not.exist|no such"):
+        inside.count()
+    assert "/scratch-" not in session.fresh_path(spark, "x")
