@@ -87,6 +87,7 @@ def absolute_url(base: Column, href: Column) -> Column:
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, href))
         .when(path == "", F.concat(origin, base_path, query, tail))
+        .when(F.startswith(path, F.lit("/")) & ~F.contains(path, F.lit("/.")), F.concat(origin, href))
         .when(F.startswith(path, F.lit("/")), F.concat(origin, without_dots(F.split(path, "/", -1)), tail))
         .otherwise(F.concat(origin, without_dots(inside), tail))
     )
@@ -100,7 +101,9 @@ def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     rows = pages.select(key, F.col("url").alias("base"), F.posexplode(both).alias("pos", "link"))
     rows = rows.where(~F.col("link.href").rlike("^(javascript|mailto|tel):"))
     anchor = T.collapse(F.regexp_replace("link.inner", "<[^>]+>", " "))
-    return rows.select(key, "pos", canonical_url(absolute_url(F.col("base"), F.col("link.href"))).alias("url"), anchor.alias("anchor"))
+    # Through a generator, so that the address is resolved once and not at each place that reads it.
+    rows = rows.select(key, "pos", anchor.alias("anchor"), F.explode(F.array(absolute_url(F.col("base"), F.col("link.href")))).alias("absolute"))
+    return rows.select(key, "pos", canonical_url(F.col("absolute")).alias("url"), "anchor")
 
 
 def first_links(links: DataFrame, key: str = "page_id") -> DataFrame:
