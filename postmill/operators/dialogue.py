@@ -133,13 +133,13 @@ def conversation_writes(requests: DataFrame, conversations: DataFrame) -> tuple[
     highest there is, in the order of request_id. A request for a conversation
     that does not exist makes the query fail. ``request_id`` is a whole number.
     """
-    highest = conversations.agg(F.coalesce(F.max("conversation_id"), F.lit(0)).alias("__highest"))
+    highest = conversations.agg(F.max("conversation_id").alias("n")).first()["n"] or 0
     asked = requests.withColumn("__new", F.coalesce("conversation_id", F.lit(0)) == 0).withColumn("__one", F.col("__new").cast("int"))
     placed = prefix_sum(asked.withColumn("__bucket", F.floor(F.col("request_id") / REQUEST_BUCKET)), [], "__bucket", ["request_id"], "__one", "__before")
     known = conversations.select("conversation_id", F.lit(True).alias("__known")).distinct()
-    placed = placed.join(known, "conversation_id", "left").crossJoin(F.broadcast(highest))  # one row
+    placed = placed.join(known, "conversation_id", "left")
     missing = F.raise_error(F.concat(F.lit("no conversation "), F.col("conversation_id").cast("string"))).cast("long")
-    ident = F.when(F.col("__new"), F.col("__highest") + F.col("__before") + 1).when(F.col("__known"), F.col("conversation_id")).otherwise(missing)
+    ident = F.when(F.col("__new"), F.lit(highest) + F.col("__before") + 1).when(F.col("__known"), F.col("conversation_id")).otherwise(missing)
     rows = placed.withColumn("__id", ident)
     created = rows.where("__new").select(F.col("__id").alias("conversation_id"), F.lit("").alias("title"))
     return created, rows.select("request_id", F.col("__id").alias("conversation_id"), F.lit("user").alias("role"), F.col("message").alias("content"))
