@@ -14,8 +14,6 @@ from postmill.session import fresh_path
 from postmill.sources import readers, runs, sinks
 from postmill.streaming import once, unseen
 
-#: Partitions of the streams' state here; a production stream names its own.
-STATE_PARTITIONS = 2
 PIECE, CHUNK = 7, 11
 K, STEP = 5, 50
 TREE_CHARS = 2000
@@ -50,7 +48,7 @@ def events_stream_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
             arriving.write.mode("append").parquet(inbox)
             release.processAllAvailable()
             if keep is None:
-                keep = unseen.keep_unseen_stream(spark.readStream.schema(schema).parquet(f"{folder}/released"), "event_id", "address", "mark", folder, STATE_PARTITIONS)
+                keep = unseen.keep_unseen_stream(spark.readStream.schema(schema).parquet(f"{folder}/released"), "event_id", "address", "mark", folder)
             keep.processAllAvailable()
     finally:
         release.stop()
@@ -72,7 +70,7 @@ def pages_stream_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.createDataFrame([], log.schema).write.json(inbox)
     stream = spark.readStream.schema(log.schema).json(inbox)
     parsed = crawl.kept_fetches(stream, raw, page_plans.TOPICS, page_plans.LEX).select("ord", "url", "title", "fingerprint")
-    query = unseen.keep_unseen_stream(parsed, "ord", "url", "fingerprint", folder, STATE_PARTITIONS)
+    query = unseen.keep_unseen_stream(parsed, "ord", "url", "fingerprint", folder)
     try:
         for half in (log.where(F.col("ord") <= middle // 2), log.where(F.col("ord") > middle // 2)):
             half.write.mode("append").json(inbox)

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from postmill.operators.dedup import keep_unseen
-from postmill.session import materialise, scratch
+from postmill.session import fresh_path, materialise, scratch
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SHARDS = 64
+#: Columns of the digests of url and fingerprint beside the kept rows.
+DIGESTS = ("__url_digest", "__print_digest")
 
 
 def release_to(rows: DataFrame, time: str, ordinal: str, late: str, slot: str, folder: str) -> StreamingQuery:
@@ -36,70 +33,44 @@ def released(rows: DataFrame, time: str, ordinal: str, late: str, slot: str = "1
     return held.select(F.explode("rows").alias("r")).select("r.*")
 
 
-class SeenByKey(StatefulProcessor):
-    """Flags the rows of a key that has a kept row; kept rows come back as input and are remembered."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", StructType([StructField("rows", LongType())]))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        parts = list(rows)  # of one key in one batch; kept rows are of earlier batches and come first
-        kept = sum(int(part["is_kept"].sum()) for part in parts)
-        if kept:
-            self.kept.update(((self.kept.get()[0] if self.kept.exists() else 0) + kept,))
-        seen = self.kept.exists()
-        for part in parts:
-            yield part.drop(columns="key").assign(seen=part["seen"] | seen)
-
-    def close(self) -> None:
-        pass
-
-
-def flagged(rows: DataFrame, column: str, ordinal: str) -> DataFrame:
-    """One keyed pass: ``seen`` becomes true where ``column`` has a kept row. Null keys are dealt out one by one."""
-    key = F.when(F.col(column).isNotNull(), F.concat(F.lit("="), column)).otherwise(F.concat(F.lit("?"), F.col(ordinal).cast("string")))
-    keyed = rows.withColumn("key", key)
-    return keyed.groupBy("key").transformWithStateInPandas(SeenByKey(), rows.schema, "append", "None")
-
-
 def kept_rows(spark: SparkSession, folder: str) -> DataFrame:
     """What the stream has kept so far, with the batch that kept it."""
-    return spark.read.parquet(f"{folder}/kept")
+    return spark.read.parquet(f"{folder}/kept").drop(*DIGESTS)
 
 
 def keep_unseen_stream(rows: DataFrame, ordinal: str, url: str, fingerprint: str, folder: str, partitions: int | None = None, **trigger: str) -> StreamingQuery:
     """Run ``keep_unseen`` over a stream whose batches come in the order of ``ordinal``.
 
-    ``rows`` has a string url and fingerprint. Two keyed passes, one by url and
-    one by fingerprint, hold a state a key: whether it has a kept row. Neither
-    can decide alone, so both only flag; rows without a flag are decided among
-    themselves in the batch, and what is kept is written to ``folder/kept``,
-    which the same query reads as a second source. A batch therefore sees all
-    that earlier ones kept and costs no more than its own rows, however long the
-    stream has run. Kept rows are partitioned by batch, and a batch that runs
-    again after a failure overwrites its partition. Start it with the default
-    trigger or a processing time: an available-now run would fix the list of
-    kept files at its start. ``partitions`` is that of the state, fixed by the
-    first start (the session's shuffle partitions without it).
+    ``rows`` has a string url and fingerprint. What is kept is written to
+    ``folder/kept`` with two numbers, the digests of both keys. A batch drops the
+    rows whose digests earlier batches kept, by two joins that Spark spreads, and
+    decides the others among themselves. So it costs its own rows and the
+    reading of 16 bytes for each row kept so far, and no row meets Python. Kept
+    rows are partitioned by batch, and a batch that runs again after a failure
+    reads the earlier partitions only and overwrites its own. ``partitions`` is
+    that of the stream's own plan (the session's shuffle partitions without it).
     """
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     shuffled = spark.conf.get("spark.sql.shuffle.partitions")
-    names = rows.columns
-    target = StructType([*rows.schema.fields, StructField("batch", LongType())])
+    schema = rows.schema
+    target = StructType([*schema.fields, *[StructField(d, LongType()) for d in DIGESTS], StructField("batch", LongType())])
     spark.createDataFrame([], target).write.mode("append").partitionBy("batch").parquet(f"{folder}/kept")
-    kept = spark.readStream.schema(target).parquet(f"{folder}/kept").drop("batch")
-    both = rows.withColumn("is_kept", F.lit(False)).unionByName(kept.withColumn("is_kept", F.lit(True))).withColumn("seen", F.lit(False))
-    passed = flagged(flagged(both, url, ordinal), fingerprint, ordinal)
 
     def decide(batch: DataFrame, number: int) -> None:
         with scratch(spark):
-            fresh = materialise(batch.where("NOT is_kept AND NOT seen").select(*names), "unseen-batch")
+            path = fresh_path(spark, "unseen-batch")
+            digests = {d: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for d, c in zip(DIGESTS, (url, fingerprint), strict=True)}
+            batch.withColumns(digests).write.parquet(path)
+            fresh = spark.read.schema(StructType(target.fields[:-1])).parquet(path)  # in the caller's session: the stream's own does not adapt its plans
+            kept = spark.read.schema(target).parquet(f"{folder}/kept").where(F.col("batch") < number)
+            for digest in DIGESTS:
+                fresh = fresh.join(kept.select(digest), digest, "left_anti")
+            fresh = materialise(fresh.select(*schema.names, *DIGESTS), "unseen-fresh")
             if not fresh.isEmpty():
                 chosen = keep_unseen(fresh, ordinal, url, fingerprint).withColumn("batch", F.lit(number).cast("long"))
                 chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/kept")
 
-    writer = passed.writeStream.foreachBatch(decide).option("checkpointLocation", f"{folder}/checkpoint")
+    writer = rows.writeStream.foreachBatch(decide).option("checkpointLocation", f"{folder}/checkpoint")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions or shuffled))
         return (writer.trigger(**trigger) if trigger else writer).start()
