@@ -83,7 +83,7 @@ def labels_candidate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of a log a user: training losses, and validation losses at every fifth event."""
-    loss = F.round(F.col("value") / 20, 3).cast("string")
+    loss = (F.round(F.col("value") / 20 * 1000) / 1000).cast("decimal(38,3)").cast("string")  # rounds the product, as SQL does; never an exponent
     line = F.concat(F.lit("Iter "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 5 == 0, F.lit(": Val loss ")).when(F.col("event_id") % 5 < 3, F.lit(": Train loss ")).otherwise(F.lit(": no loss ")), loss)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"])
     return reporting.loss_metrics(table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("run")).agg(F.array_join(lines, "\n").alias("text")))

@@ -26,3 +26,10 @@ def test_a_stream_keeps_unseen_rows_without_state_or_python(spark, tmp_path):
     query.stop()
     assert ran and not any(p.stateOperators for p in ran)
     assert sorted(r.i for r in unseen.kept_rows(spark, f"{tmp_path}/out").collect()) == list(range(30))
+
+
+def test_losses_round_as_sql_does(spark, tmp_path):
+    values = [0.29, 1.25, 17.49, 17.47, 8.11, 0.01, 1e9, *(k / 100 for k in range(1, 2000, 10))]
+    rows = [(5 * user + kind, user, value) for user, value in enumerate(values) for kind in (0, 1)]
+    sf = events(spark, tmp_path, rows)
+    assert differences(QUERIES["eval_loss"](spark, sf), ORACLE["eval_loss"], connect(sf)) == []
