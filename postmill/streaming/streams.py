@@ -39,18 +39,24 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def best_so_far(rows: DataFrame) -> DataFrame:
     """The best ungated score of each label, updated as monitor rows (label, step, score, gated) arrive.
 
-    A step that comes after a later one was seen is ignored.
+    A step that comes after a later batch was seen is ignored; inside a batch
+    the parts of a label come in any order. Of equal scores the least step
+    counts, and rows without a score never do.
     """
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, best, at = state.get if state.exists else (-1, None, None)
+        newest = last
         for part in parts:
-            for step, score, gated in part.sort_values("step")[["step", "score", "gated"]].itertuples(index=False):
-                if step <= last:
-                    continue
-                last = int(step)
-                if not gated and (best is None or score > best):
-                    best, at = float(score), int(step)
-        state.update((last, best, at))
+            new = part[part["step"] > last]
+            if len(new):
+                newest = max(newest, int(new["step"].max()))
+            fair = new[new["gated"].eq(False) & new["score"].notna()]
+            if len(fair):
+                top = float(fair["score"].max())
+                step = int(fair.loc[fair["score"] == top, "step"].min())
+                if best is None or top > best or (top == best and step < at):
+                    best, at = top, step
+        state.update((newest, best, at))
         yield pd.DataFrame({"label": [key[0]], "best_score": [best], "best_step": [at]})
 
     return rows.groupBy("label").applyInPandasWithState(

@@ -33,3 +33,15 @@ def test_losses_round_as_sql_does(spark, tmp_path):
     rows = [(5 * user + kind, user, value) for user, value in enumerate(values) for kind in (0, 1)]
     sf = events(spark, tmp_path, rows)
     assert differences(QUERIES["eval_loss"](spark, sf), ORACLE["eval_loss"], connect(sf)) == []
+
+
+def test_the_best_of_a_label_that_comes_in_many_parts(spark, tmp_path):
+    rows = [(4000 + (k * 37) % 101, k % 2, float((k * 53) % 89)) for k in range(101)]
+    sf = events(spark, tmp_path, rows)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 3)
+    try:
+        assert differences(QUERIES["events_stream_best"](spark, sf), ORACLE["events_stream_best"], connect(sf)) == []
+    finally:
+        spark.conf.set(size, before)
