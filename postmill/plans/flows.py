@@ -58,7 +58,7 @@ def events_stream_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_stream_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page log parsed as a stream: gate, raw texts and repeats as in the batch form."""
+    """The page log parsed as a stream: gate and raw texts as in the batch form; a repeat has an address or a title and text seen before."""
     pages = table(spark, sf_dir, "pages")
     log = pages.select(
         F.col("page_id").alias("ord"), F.lit("s").alias("source_id"), F.lit("Example").alias("company"), F.substring_index("url", "?", 1).alias("url"), (F.col("page_id") % 11 != 0).alias("success"),
@@ -69,8 +69,9 @@ def pages_stream_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = pages.agg(F.max("page_id")).first()[0] or 0
     spark.createDataFrame([], log.schema).write.json(inbox)
     stream = spark.readStream.schema(log.schema).json(inbox)
-    parsed = crawl.kept_fetches(stream, raw, page_plans.TOPICS, page_plans.LEX).select("ord", "url", "title", "fingerprint")
-    query = unseen.keep_unseen_stream(parsed, "ord", "url", "fingerprint", folder)
+    parsed = crawl.kept_fetches(stream, raw, page_plans.TOPICS, page_plans.LEX)
+    parsed = parsed.select("ord", "url", "title", F.sha2(F.concat("title", "plain_text"), 256).alias("mark"))  # the whole text: a summary is that of other pages too
+    query = unseen.keep_unseen_stream(parsed, "ord", "url", "mark", folder)
     try:
         for half in (log.where(F.col("ord") <= middle // 2), log.where(F.col("ord") > middle // 2)):
             half.write.mode("append").json(inbox)

@@ -45,3 +45,14 @@ def test_the_best_of_a_label_that_comes_in_many_parts(spark, tmp_path):
         assert differences(QUERIES["events_stream_best"](spark, sf), ORACLE["events_stream_best"], connect(sf)) == []
     finally:
         spark.conf.set(size, before)
+
+
+def test_pages_that_differ_behind_their_summary_are_no_repeats(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    kept = QUERIES["pages_stream_fetches"](spark, sf).orderBy("page_id").first()["page_id"]
+    copies = pages.where(F.col("page_id") == kept).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    more = copies.select((11 * 1000 + F.col("k")).cast("long").alias("page_id"), F.concat("url", F.lit("/other/"), F.col("k").cast("string")).alias("url"), F.concat("html", F.lit(" at the end "), F.least("k", F.lit(2)).cast("string")).alias("html"))
+    pages.unionByName(more).coalesce(1).toPandas().to_parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["pages_stream_fetches"](spark, str(tmp_path))
+    assert differences(found, ORACLE["pages_stream_fetches"], connect(str(tmp_path))) == []
+    assert {r.page_id for r in found.where("page_id > 11000").collect()} == {11001, 11002}
