@@ -4,11 +4,10 @@ A text is the set of its runs of ``WIDTH`` words (white space separates words;
 a shorter text is one run). Texts with equal sets are one set with a number of
 copies. Each set gets ``TREES`` labels of up to ``DEEPEST`` MinHash values; the
 labels of a tree, ordered, are a prefix trie, and two sets are candidates where
-their labels share a prefix. How long a prefix must match follows from the
-data: a sample of the rows is compared exactly with all rows, and the prefix is
-shortened from ``DEEPEST`` until the trees find the links so measured with the
-target recall (``matched_prefix``). Rows whose links are close match long
-prefixes and have few candidates, links near the threshold shorten them.
+their labels share a prefix. How long a prefix must match is arithmetic, not
+measured: the longest one at which a link at the threshold itself, the hardest
+to find, is found with the target recall (``matched_prefix`` without measured
+links), so every link of any input is, whatever the others are like.
 
 Candidates are never expanded into pairs: a node links each member to its
 least one, by sizes, since sets within the threshold differ in size by at most
@@ -37,10 +36,6 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 TREES = 40
 DEEPEST = 12
-#: Rows whose links are measured, and the longest text among them. Only the
-#: length of the prefix depends on them; every row is joined.
-SAMPLE_ROWS = 1_000
-SAMPLE_CHARS = 20_000
 #: Steps of similarity, from the threshold to 1, by which measured links are counted.
 SIMILARITY_STEPS = 40
 #: Shingles of one side of a comparison.
@@ -61,7 +56,8 @@ def matched_prefix(counts: np.ndarray) -> int:
     similarity. Recall is the mean over sampled sets with links, so that a
     large group counts no more than a small one; a link counts as the least
     similar of its step. One set with a link at the threshold is added, so
-    few measured links, or none, are no reason for a longer prefix.
+    few measured links, or none, are no reason for a longer prefix. The join
+    passes none; audits of a forest's recall may.
     """
     steps = THRESHOLD + (1 - THRESHOLD) * np.arange(SIMILARITY_STEPS) / SIMILARITY_STEPS
     weakest = np.zeros((1, SIMILARITY_STEPS))
@@ -136,7 +132,7 @@ def node_keys(sets: list[np.ndarray], depth: int) -> np.ndarray:
 
 
 def count_links(sample: list[np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A function of batches that counts the links of the sampled sets to all rows, by step of similarity.
+    """A function of batches that counts the links of some sets to all rows, by step of similarity; for audits of recall.
 
     Only rows that hold enough of the sample's shingles for a link are
     compared. A task returns one row for each sampled set with links in it.
@@ -177,25 +173,6 @@ def count_links(sample: list[np.ndarray]) -> Callable[[Iterator[pd.DataFrame]],
     return count
 
 
-def measured_prefix(plain: DataFrame) -> int:
-    """The prefix that the links of a bounded sample to all rows of (doc_id, text) ask for.
-
-    The driver gets at most ``SAMPLE_ROWS`` texts of at most ``SAMPLE_CHARS``
-    characters and as many rows of counts.
-    """
-    short = plain.where(F.length("text") <= SAMPLE_CHARS).withColumn("rank", F.xxhash64("doc_id", "text", F.lit(11)))
-    last = short.select("rank").orderBy("rank").limit(SAMPLE_ROWS).agg(F.max("rank")).first()[0]
-    chosen = short.where(F.col("rank") <= F.lit(last).cast("long")).select("text").distinct()
-    sets = shingle_sets([row.text for row in chosen.collect()])
-    sample = list({sid: own for own, sid in zip(sets, set_ids(sets), strict=True) if sid is not None}.values())
-    if not sample:
-        return matched_prefix(np.zeros((0, SIMILARITY_STEPS)))
-    counted = plain.select("text").mapInPandas(count_links(sample), "sampled int, counts array<long>")
-    sums = counted.groupBy("sampled").agg(*[F.sum(F.col("counts")[k]).alias(f"n{k}") for k in range(SIMILARITY_STEPS)])
-    rows = [list(row)[1:] for row in sums.collect()]
-    return matched_prefix(np.array(rows, float).reshape(len(rows), SIMILARITY_STEPS))
-
-
 def size_class(n: np.ndarray) -> np.ndarray:
     """Class of a set's size; sets within the threshold are in one class or in neighbours."""
     return np.floor(np.log(np.maximum(n, 1)) / -math.log(THRESHOLD) + 1e-9).astype(int)
@@ -347,7 +324,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     let_workers_import(spark)
     plain = docs.select("doc_id", "text")
-    depth = measured_prefix(plain)
+    depth = matched_prefix(np.zeros((0, SIMILARITY_STEPS)))
     known = materialise(plain.mapInPandas(lambda batches: describe(batches, depth), "doc_id long, sid long, n int, cls int, nodes array<long>"), "sets")
     worded = known.where("sid IS NOT NULL")
     sets = worded.groupBy("sid").agg(

@@ -154,6 +154,18 @@ def test_trees_find_links_near_the_threshold():
     assert (left == right).any(axis=1).mean() >= 0.99
 
 
+def test_the_join_matches_prefixes_that_find_every_link(spark, monkeypatch):
+    used = []
+    asked = jaccard_join.matched_prefix
+    monkeypatch.setattr(jaccard_join, "matched_prefix", lambda counts: used.append((counts.sum(), asked(counts))) or asked(counts))
+    close = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, close if i % 2 else close + " x") for i in range(60)]  # all links are close: measured, they would ask for the longest prefix
+    links = jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in links} == {(0, 59)}
+    (measured, depth), *_ = used
+    assert measured == 0 and jaccard_join.recall_at(depth, np.array([0.8]))[0] >= jaccard_join.TARGET_RECALL
+
+
 def test_shingle_sets():
     sets = jaccard_join.shingle_sets(["a b c d e f", "a  b\tc d e f", "", "  \n", "a b", "a b", "b a", "b c d e f"])
     sizes = [len(s) for s in sets]
