@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from postmill.catalogue import ORACLE, QUERIES
+from postmill.sources import adapters
 from postmill.streaming import unseen
 from tests.oracle import connect, differences
 
@@ -56,3 +57,21 @@ def test_pages_that_differ_behind_their_summary_are_no_repeats(spark, sf, tmp_pa
     found = QUERIES["pages_stream_fetches"](spark, str(tmp_path))
     assert differences(found, ORACLE["pages_stream_fetches"], connect(str(tmp_path))) == []
     assert {r.page_id for r in found.where("page_id > 11000").collect()} == {11001, 11002}
+
+
+def test_a_model_gets_texts_in_slices(spark):
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 100 <> 0 THEN repeat('x', 20) END AS text").coalesce(1)
+    found = adapters.embed(rows, "text", lambda texts: [[float(len(texts)), float(sum(t is None for t in texts))]] * len(texts), 2)
+    got = found.selectExpr("id", "text", "embedding[0] AS n").collect()
+    assert sorted((r.id, r.text) for r in got) == [(i, "x" * 20 if i % 100 else None) for i in range(3000)]
+    assert max(r.n for r in got) <= adapters.SLICE_ROWS
+
+
+def test_answers_of_a_slice_keep_to_the_batch_and_the_bytes(spark):
+    rows = spark.range(100).selectExpr("id", "repeat('y', 600000) AS text").coalesce(1)
+    found = adapters.generate(rows, "text", lambda prompts: [str(len(prompts))] * len(prompts)).selectExpr("id", "length(text) AS n", "output", "error").collect()
+    assert sorted((r.id, r.n, r.output, r.error) for r in found) == [(i, 600000, "8" if i < 96 else "4", None) for i in range(100)]
+    import pyarrow as pa
+
+    cut = [len(s) for s in adapters.in_slices(pa.record_batch({"text": ["z" * 600000] * 20}), "text", 8)]
+    assert cut == [8, 8, 4]
