@@ -38,7 +38,7 @@ def summarised(
     a summary without a part would be wrong. Keys must be unique.
     """
     def asked(rows: DataFrame, label: str) -> DataFrame:
-        out = generate(rows.withColumn("__prompt", F.col("__text")), "__prompt", model)
+        out = generate(rows, "__text", model)
         failed = F.raise_error(F.concat(F.lit("no summary: "), F.col("error"))).cast("string")
         answer = F.when(F.col("error").isNotNull(), failed).otherwise(F.coalesce("output", F.lit("")))
         return materialise(out.select("__key", "__at", "rounds", answer.alias("__text")), label)
