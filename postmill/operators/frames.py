@@ -15,6 +15,8 @@ from postmill.operators.ranges import prefix_sum
 
 #: Rows of a stream that are summed in one task at a time.
 BUCKET = 4096
+#: Chunks of a stream that follow one another and are joined before they are cut into lines.
+JOINED = 256
 DONE = "[DONE]"
 
 
@@ -87,12 +89,16 @@ def cut(frames: DataFrame, key: str, order: list[str], size: int, frame: str = "
 
 
 def lines(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """key, line (from 0) and content of every ended line of chunked streams; LF or CRLF end a line."""
-    split = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    rows = chunks.select(key, order, split.alias("__parts"), F.floor(F.col(order) / BUCKET).alias("__bucket")).withColumn("__ends", F.size("__parts") - 1)
-    placed = prefix_sum(rows, [key], "__bucket", [order], "__ends", "__line")
-    parts = placed.select(key, order, "__line", "__ends", F.posexplode("__parts").alias("__i", "__part"))
-    parts = parts.select(key, (F.col("__line") + F.col("__i")).alias("line"), F.struct(order, F.col("__part").alias("part")).alias("p"), (F.col("__i") < F.col("__ends")).alias("ended"))
+    """key, line (from 0) and content of every ended line of chunked streams; LF or CRLF end a line.
+
+    Runs of chunks are joined first, so that mostly whole lines are shuffled.
+    """
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"))))
+    runs = chunks.groupBy(key, F.floor(F.col(order) / JOINED).alias("__run")).agg(F.array_join(F.transform(in_order, lambda c: c["t"]), "").alias("__text"))
+    rows = runs.select(key, "__run", F.split("__text", "\n", -1).alias("__parts"), F.floor(F.col("__run") / BUCKET).alias("__bucket")).withColumn("__ends", F.size("__parts") - 1)
+    placed = prefix_sum(rows, [key], "__bucket", ["__run"], "__ends", "__line")
+    parts = placed.select(key, "__run", "__line", "__ends", F.posexplode("__parts").alias("__i", "__part"))
+    parts = parts.select(key, (F.col("__line") + F.col("__i")).alias("line"), F.struct("__run", F.col("__part").alias("part")).alias("p"), (F.col("__i") < F.col("__ends")).alias("ended"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
     whole = parts.groupBy(key, "line").agg(joined.alias("content"), F.max("ended").alias("ended")).where("ended")
     return whole.select(key, "line", F.regexp_replace("content", r"\r\z", "").alias("content"))
