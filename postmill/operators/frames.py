@@ -84,8 +84,9 @@ def cut(frames: DataFrame, key: str, order: list[str], size: int, frame: str = "
     begin = F.greatest(F.col("chunk") * size, F.col("__start"))
     end = F.least((F.col("chunk") + 1) * size, F.col("__start") + F.col("__length"))
     part = F.expr("substring(__frame, cast(__begin - __start + 1 as int), cast(__end - __begin as int))")
-    parts = spread.withColumn("__begin", begin).withColumn("__end", end).select(key, "chunk", F.struct("__begin", part.alias("part")).alias("p"))
-    return parts.groupBy(key, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("text"))
+    parts = spread.withColumn("__begin", begin).withColumn("__end", end).select(key, "chunk", F.struct("__begin", part.alias("part")).alias("p"), (F.col("__end") - F.col("__begin") == size).alias("__full"))
+    shared = parts.where("NOT __full").groupBy(key, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("text"))
+    return parts.where("__full").select(key, "chunk", F.col("p.part").alias("text")).unionByName(shared)  # a chunk inside one frame meets no other
 
 
 def lines(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
