@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
+from operator import itemgetter
+from pathlib import Path
 from urllib.parse import unquote
 
+import pyarrow as pa
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +19,8 @@ from postmill.functions import text as T
 from postmill.session import fresh_path
 
 PREVIEW = 1000
+NAMELESS = "__HIVE_DEFAULT_PARTITION__"
+RENAMES = 16
 
 
 def fetch_log_rows(fetches: DataFrame) -> DataFrame:
@@ -47,25 +57,63 @@ def report_lines(rows: DataFrame) -> DataFrame:
     return grouped.select("section", F.concat(F.lit("## "), "section", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("markdown"))
 
 
+def named_files(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Write rows (name, value as bytes), those of a name together and in order, as files under a mounted folder; gives no rows.
+
+    A file gets its name once it is whole, so attempts of a task never mix; a checksum of an older file of that name goes.
+    """
+
+    def pieces() -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            values = iter(batch.column("value").to_pylist())
+            for name, same in groupby(batch.column("name").to_pylist()):
+                yield name, b"".join(value + b"\n" for _, value in zip(same, values))
+
+    for name, texts in groupby(pieces(), itemgetter(0)):
+        target = Path(f"{root}/{name}")
+        target.parent.mkdir(parents=True, exist_ok=True)
+        part = target.with_name(f".{uuid.uuid4().hex}")
+        with part.open("wb") as out:
+            out.writelines(text for _, text in texts)
+        target.with_name(f".{target.name}.crc").unlink(missing_ok=True)
+        part.replace(target)
+    yield from ()
+
+
 def write_files(lines: DataFrame, folder: str, name: str = "name", order: str = "line", text: str = "text") -> None:
     """Text files under ``folder`` with the names of column ``name`` (may hold slashes), each with its lines in order.
 
-    Every file is written by one task; the driver only renames, so their number
-    is what a folder may hold, as for runs, subtitles or reports.
+    Every file is written by one task. In a mounted folder (``file:``) the task
+    also names it, and the driver's work does not grow with the files. Other
+    stores are reached by Spark's writer only: tasks commit the files and the
+    driver renames each, some at a time. Rows without a name go to a file with
+    the name that Spark gives to a partition without one.
     """
     spark = lines.sparkSession
-    scratch = fresh_path(spark, "files")
-    rows = lines.select(F.col(name).alias("__name"), F.col(order).alias("__line"), F.coalesce(text, F.lit("")).alias("value"))
-    rows.repartition("__name").sortWithinPartitions("__name", "__line").drop("__line").write.partitionBy("__name").text(scratch)
     to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = to_path(scratch).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for part in files.globStatus(to_path(f"{scratch}/__name=*/part-*")):
+    files = to_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(to_path(folder))
+    named = F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(NAMELESS))
+    rows = lines.select(named.alias("name"), F.col(order).alias("__line"), F.coalesce(text, F.lit("")).alias("value"))
+    sorted_rows = rows.repartition("name").sortWithinPartitions("name", "__line").drop("__line")
+    if files.getScheme() == "file":
+        root = to_path(folder).toUri().getPath()
+        sorted_rows.withColumn("value", F.col("value").cast("binary")).mapInArrow(lambda batches: named_files(batches, root), "name string").write.format("noop").mode("overwrite").save()
+        return
+    scratch = fresh_path(spark, "files")
+    sorted_rows.withColumnRenamed("name", "__name").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("__name").text(scratch)
+
+    def place(part: JavaObject) -> None:
         source = part.getPath()
         target = to_path(f"{folder}/{unquote(source.getParent().getName().removeprefix('__name='))}")
         files.mkdirs(target.getParent())
         files.delete(target, False)
         if not files.rename(source, target):
             raise OSError(f"{target.toString()} could not be written")
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        for _ in pool.map(place, files.globStatus(to_path(f"{scratch}/__name=*/part-*"))):
+            pass
     files.delete(to_path(scratch), True)
 
 

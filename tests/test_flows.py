@@ -298,6 +298,43 @@ def test_subtitle_folders_and_the_files_made_of_them(spark, tmp_path):
     shutil.rmtree(out)
 
 
+def test_the_driver_does_not_work_on_each_file_that_is_written(spark, tmp_path, monkeypatch):
+    calls, client = [], spark.sparkContext._gateway._gateway_client
+    send = type(client).send_command
+    monkeypatch.setattr(type(client), "send_command", lambda self, command, *a, **k: (calls.append(command), send(self, command, *a, **k))[1])
+
+    def driver_calls(n):
+        lines = spark.range(3 * n).select(F.format_string("d%d/c%d.srt", F.col("id") % n % 3, F.col("id") % n).alias("name"), F.col("id").alias("line"), F.col("id").cast("string").alias("text"))
+        before = len(calls)
+        sinks.write_files(lines, f"{tmp_path}/{n}")
+        made = sum(not command.startswith("m\n") for command in calls[before:])
+        got = {r.file: r.text for r in readers.whole_texts(spark, f"{tmp_path}/{n}", "*.srt").collect()}
+        assert got == {f"c{i}.srt": f"{i}\n{i + n}\n{i + 2 * n}\n" for i in range(n)}
+        return made
+
+    assert driver_calls(100) < driver_calls(10) + 30
+
+
+@pytest.mark.parametrize("store", ["", "viewfs://files"])
+def test_named_files_of_odd_rows(spark, tmp_path, monkeypatch, store):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.files.link./odd", f"file://{tmp_path}")
+    folder = f"{store}/odd/a b" if store else f"{tmp_path}/a b"
+    long = [("long.txt", i, "x" * 9) for i in range(25_000)]
+    odd = [("a=1/é%20.txt", 2, None), ("a=1/é%20.txt", 1, "one\ntwo"), (None, 1, "none"), ("", 2, "blank"), ("old.txt", 1, "new")]
+    schema = "name string, line int, text string"
+    (tmp_path / "a b").mkdir()
+    spark.createDataFrame([("old", "x" * 900)], "k string, value string").select("value").coalesce(1).write.text(f"file://{tmp_path}/was")
+    for part in (tmp_path / "was").glob("*part-*"):
+        part.rename(tmp_path / "a b" / (".old.txt.crc" if part.suffix == ".crc" else "old.txt"))
+    monkeypatch.setattr(sinks, "fresh_path", lambda spark, label: f"{store}/odd/{label}")
+    sinks.write_files(spark.createDataFrame(long + odd, schema), folder)
+    found = {str(p.relative_to(tmp_path / "a b")): p.read_text() for p in (tmp_path / "a b").rglob("*") if p.is_file() and p.suffix != ".crc"}
+    assert found == {"long.txt": ("x" * 9 + "\n") * 25_000, "a=1/é%20.txt": "one\ntwo\n\n", sinks.NAMELESS: "none\nblank\n", "old.txt": "new\n"}
+    assert readers.whole_texts(spark, folder, "old.txt").first().text == "new\n"
+    sinks.write_files(spark.createDataFrame([], schema), f"{folder}/none")
+    assert readers.whole_texts(spark, f"{folder}/none", "*").collect() == []
+
+
 def test_conversations_are_made_or_found(spark, monkeypatch):
     monkeypatch.setattr(dialogue, "REQUEST_BUCKET", 2)
     known = spark.createDataFrame([(4,), (9,)], "conversation_id long")
